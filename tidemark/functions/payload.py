@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NUMBER_TYPES = "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
 
 def body(text: Column | str) -> Column:
@@ -25,11 +24,16 @@ def field(variant: Column, name: str, as_type: str = "variant") -> Column:
 
 def kind(variant: Column) -> Column:
     """``BIGINT``, ``STRING``, ``OBJECT``, ...; null when the field is absent."""
-    return F.regexp_extract(F.schema_of_variant(variant), "^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(variant), "<", 1), "(", 1)
+
+
+def is_object_text(text: Column | str) -> Column:
+    """Whether a valid JSON text is an object, told by its first sign without a look inside."""
+    return F.ltrim(text, F.lit(" \t\r\n")).startswith("{")
 
 
 def is_number(variant: Column) -> Column:
-    return F.schema_of_variant(variant).rlike(NUMBER_TYPES)
+    return kind(variant).isin("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
 
 
 def number(variant: Column, name: str) -> Column:

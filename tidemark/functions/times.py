@@ -130,6 +130,6 @@ def window_bounds(identifier: Column) -> list[Column]:
     """Start and end timestamps of a window id."""
     parts = F.split(identifier, "_")
     return [
-        timestamp((parts[i].try_cast("double") * SECOND).cast("bigint")).alias(name)
+        timestamp((F.get(parts, F.lit(i)).try_cast("double") * SECOND).cast("bigint")).alias(name)
         for i, name in enumerate(("window_start", "window_end"))
     ]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +25,18 @@ from tidemark.operators.windows import (
     packed,
     window_partials,
 )
+from tidemark.plans.durable import written
 from tidemark.plans.ordered import OrderedRows, Running
 from tidemark.schemas import ARRIVAL_ORDER
 
 
 @dataclass(frozen=True)
 class WindowReplay:
-    """Window results of events that went through ``watermark.replay`` with the same lateness."""
+    """Window results of events that went through ``watermark.replay`` with the same lateness.
+
+    ``of`` runs and stores that replay. The on-time partials, which every result starts from, are
+    stored when first asked for.
+    """
 
     replayed: DataFrame
     windows: Windows
@@ -39,6 +45,21 @@ class WindowReplay:
     time: str = "event_time"
     order: Sequence[str] = ARRIVAL_ORDER
 
+    @classmethod
+    def of(
+        cls,
+        events: DataFrame,
+        windows: Windows,
+        fields: Sequence[str],
+        lateness_seconds: float = 10.0,
+        idle_timeout_seconds: float | None = None,
+        time: str = "event_time",
+        order: Sequence[str] = ARRIVAL_ORDER,
+    ) -> WindowReplay:
+        replayed = watermark.replay(events, lateness_seconds, idle_timeout_seconds, time, order)
+        return cls(written(replayed, "replayed"), windows, fields, lateness_seconds, time, order)
+
+    @cached_property
     def on_time(self) -> DataFrame:
         """One partial per window over the accepted, on-time events.
 
@@ -56,15 +77,15 @@ class WindowReplay:
             .groupBy("_pane", "_first")
             .agg(F.count("*").alias("_n"), *field_partials(self.fields))
         )
-        return window_partials(panes, self.windows, self.fields, first=F.col("_first"))
+        spread = window_partials(panes, self.windows, self.fields, first=F.col("_first"))
+        return written(spread, "on-time")
 
+    @cached_property
     def _last_watermark(self) -> Column:
-        return self.replayed.agg(F.max(micros("watermark"))).scalar()
+        return F.lit(self.replayed.agg(F.max(micros("watermark"))).first()[0]).cast("bigint")
 
     def _closed_partials(self) -> DataFrame:
-        return self.on_time().filter(
-            F.col("_start") + self.windows.size <= self._last_watermark()
-        )
+        return self.on_time.filter(F.col("_start") <= self._last_watermark - self.windows.size)
 
     def closed(self) -> DataFrame:
         """Version 0 of every window the watermark has closed."""
@@ -73,8 +94,7 @@ class WindowReplay:
     def open(self) -> DataFrame:
         """Current aggregates of the windows still open."""
         return (
-            self.on_time()
-            .filter(F.col("_start") + self.windows.size > self._last_watermark())
+            self.on_time.filter(F.col("_start") > self._last_watermark - self.windows.size)
             .select(
                 *self.windows.bounds("_start"),
                 *finished(self.fields),

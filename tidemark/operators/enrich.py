@@ -47,13 +47,16 @@ def _column_type(json_type: str | None) -> str:
     return "string"
 
 
-def flatten_attributes(table: DataFrame, types: Mapping[str, str] | None = None) -> DataFrame:
-    """``dimension_key`` and one column per attribute, null where a row lacks it."""
+def flatten_attributes(
+    table: DataFrame,
+    types: Mapping[str, str] | None = None,
+    keep: Sequence[str] = ("dimension_key",),
+) -> DataFrame:
+    """The ``keep`` columns and one column per attribute, null where a row lacks it."""
     if types is None:
         types = attribute_types(table)
-    return (
-        table.withColumn("_body", payload.body("attributes_json"))
-        .select("dimension_key", *_attribute_columns(F.col("_body"), types))
+    return table.withColumn("_body", payload.body("attributes_json")).select(
+        *keep, *_attribute_columns(F.col("_body"), types)
     )
 
 

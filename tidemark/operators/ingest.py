@@ -37,7 +37,7 @@ def _error() -> Column:
     )
     return (
         F.when(F.col("_body").isNull(), NOT_JSON)
-        .when(payload.kind(F.col("_body")) != "OBJECT", NOT_OBJECT)
+        .when(~payload.is_object_text("value"), NOT_OBJECT)
         .when(empty_key, NO_KEY)
         .when(key_kind.isin("OBJECT", "ARRAY"), BAD_KEY)
         .when(F.col("_time").isNull() | (payload.kind(F.col("_time")) == "VOID"), NO_TIME)
@@ -49,7 +49,8 @@ def decode(raw: DataFrame) -> DataFrame:
     """Raw messages with the fact event columns and ``error``, null for a good message.
 
     A message without ``event_id`` is named after its place in the topic, so a replay gives it
-    the same id.
+    the same id. The result passes through a one-element explode: a filter on ``error`` stays
+    above it, where otherwise it would be pushed below and every message parsed twice.
     """
     place = F.concat_ws("-", "topic", "partition", "offset")
     return (
@@ -77,7 +78,8 @@ def decode(raw: DataFrame) -> DataFrame:
                 "source_topic": F.col("topic"),
             }
         )
-        .select("value", *FACT_COLUMNS, "error")
+        .select(F.explode(F.array(F.struct("value", *FACT_COLUMNS, "error"))).alias("_decoded"))
+        .select("_decoded.*")
     )
 
 

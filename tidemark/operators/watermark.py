@@ -21,7 +21,7 @@ from tidemark.schemas import ARRIVAL_ORDER
 
 ACCEPT = "accept"
 DROP = "drop"
-HOUR = 3600 * SECOND
+STRETCH = 4096
 
 
 def replay(
@@ -112,7 +112,7 @@ def spine(frame: DataFrame, column: str, every: int) -> DataFrame:
     Built in two steps so that no single task emits it: first one row per stretch of ticks, then,
     spread over the tasks, the ticks of each stretch.
     """
-    stretch = max(HOUR // every, 1) * every
+    stretch = STRETCH * every
     ends = frame.agg(F.min(column).alias("_first"), F.max(column).alias("_last"))
     stretches = ends.select(
         "_first",

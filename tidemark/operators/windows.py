@@ -97,14 +97,13 @@ def window_partials(
 ) -> DataFrame:
     """Pane partials merged into one partial per (keys, window start).
 
-    ``first`` limits a pane to windows that start at or after it.
+    ``first`` limits a pane to windows that start at or after it; none may be after the last.
     """
     if first is None:
         first = windows.first_start(F.col("_pane"))
     last = windows.last_start(F.col("_pane"))
     return (
-        panes.filter(first <= last)
-        .withColumn("_start", F.explode(windows.starts(first, last)))
+        panes.withColumn("_start", F.explode(windows.starts(first, last)))
         .groupBy(*keys, "_start")
         .agg(*merged_partials(fields))
     )

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.plans.durable import written
+
 BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_KEYS = 256
 SALTS = 32
@@ -35,10 +37,12 @@ def left_join(
 ) -> DataFrame:
     """Left join to a table with one row per key.
 
-    A table measured below ``broadcast_bytes`` is broadcast. A larger one is joined by shuffle,
-    with the heaviest keys of ``rows`` salted: their rows are spread over ``SALTS`` tasks by the
-    ``spread`` columns (which must vary within a key) and their one table row is repeated per salt.
+    The table is written once, so that measuring it and joining it do not compute it twice. Below
+    ``broadcast_bytes`` it is broadcast. A larger one is joined by shuffle, with the heaviest keys
+    of ``rows`` salted: their rows are spread over ``SALTS`` tasks by the ``spread`` columns (which
+    must vary within a key) and their one table row is repeated per salt.
     """
+    table = written(table, "joined-table")
     if measured_bytes(table) <= broadcast_bytes:
         return rows.join(F.broadcast(table), list(on), "left")
     return salted_left_join(rows, table, on, spread)

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.windows import unpacked
 from tidemark.plans.durable import remove, written
+from tidemark.plans.sizing import left_join
 from tidemark.schemas import FACT_COLUMNS, JOINED_EVENTS, WINDOW_RESULTS
 
 RESULT_COLUMNS = WINDOW_RESULTS.fieldNames()
@@ -81,8 +82,10 @@ class Store:
         )
 
     def _write(self, rows: DataFrame, path: str, day: str, batch_id: int) -> None:
+        # Rebalancing by date keeps the files per date few, and splits a date that is very large.
         (
             rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            .hint("rebalance", day)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(day, "batch_id")
@@ -257,7 +260,8 @@ def windows_at_many(
             )
         ),
     )
-    return wanted.join(latest(results), "window_start")
+    found = left_join(wanted, latest(results), ["window_start"], spread=instants.columns)
+    return found.filter(F.col("window_id").isNotNull())
 
 
 def expanded(results: DataFrame) -> DataFrame:

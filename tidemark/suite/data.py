@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.payload import with_numbers
 from tidemark.functions.times import SECOND, Windows
-from tidemark.operators import dimension, watermark
+from tidemark.operators import dimension
 from tidemark.operators.corrections import WindowReplay
-from tidemark.plans.durable import written
 from tidemark.schemas import FACT_COLUMNS
 from tidemark.suite.registry import once
 
@@ -103,13 +102,13 @@ def dimension_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @once
-def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Watermark replay shared by the window queries, stored once."""
-    return written(watermark.replay(measured_facts(spark, sf_dir), LATENESS), "replayed")
+def window_replay(spark: SparkSession, sf_dir: str) -> WindowReplay:
+    """The watermark replay shared by the window queries."""
+    return WindowReplay.of(measured_facts(spark, sf_dir), HOURLY, FIELDS, LATENESS)
 
 
-def window_replay(spark: SparkSession, sf_dir: str) -> WindowReplay:
-    return WindowReplay(replayed(spark, sf_dir), HOURLY, FIELDS, LATENESS)
+def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_replay(spark, sf_dir).replayed
 
 
 # -- SQL fragments ---------------------------------------------------------------------------------

@@ -23,11 +23,10 @@ TYPES = {
 def _shown(table: DataFrame) -> DataFrame:
     """Dimension rows with their attributes as plain columns."""
     types = {"name": "string", "order_key": "bigint", "price": "double"}
-    flat = enrich.flatten_attributes(table, types)
-    rows = table.select(
-        "dimension_key", "version", F.unix_micros("updated_at").alias("updated_us"), "is_active"
+    timed = table.withColumn("updated_us", F.unix_micros("updated_at"))
+    return enrich.flatten_attributes(
+        timed, types, ["dimension_key", "version", "updated_us", "is_active"]
     )
-    return rows.join(flat, "dimension_key")
 
 
 SHOWN = """key AS dimension_key, version, epoch_us(updated_at) AS updated_us, name, order_key, price"""
@@ -51,8 +50,9 @@ def dim_load(spark, sf_dir):
     table = dimension.loaded(
         dimension.load_changes(records, "user_id", F.col("order_key"), F.lit(LOADED_AT))
     )
-    flat = enrich.flatten_attributes(table, {"order_key": "bigint"})
-    return table.select("dimension_key", "version", "is_active").join(flat, "dimension_key")
+    return enrich.flatten_attributes(
+        table, {"order_key": "bigint"}, ["dimension_key", "version", "is_active"]
+    )
 
 
 @query(
