@@ -33,7 +33,11 @@ def is_object_text(text: Column | str) -> Column:
 
 
 def is_number(variant: Column) -> Column:
-    return kind(variant).isin("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
+    return names_number(kind(variant))
+
+
+def names_number(kind_name: Column) -> Column:
+    return kind_name.isin("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
 
 
 def number(variant: Column, name: str) -> Column:

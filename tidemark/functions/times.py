@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 SECOND = 1_000_000
 
-# Accepted timestamp texts: extended or compact ISO date, optional time of day, optional offset.
+# The usual form of a timestamp text, which a plain cast reads.
+PLAIN_TIME = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?)?$"
+
+# All accepted texts: extended or compact ISO date, optional time of day, optional offset.
 ISO_TIME = (
     r"^(\d{4}-\d{2}-\d{2}|\d{8})"
     r"(?:[^0-9](\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?)?|\d{4}|\d{6}(?:[.,]\d+)?)"
@@ -36,26 +39,27 @@ def ceil_to(us: Column, step: int) -> Column:
 
 def iso_timestamp(text: Column) -> Column:
     """Timestamp of an ISO text, UTC when it names no offset; null when it is not one."""
-    date = F.regexp_replace(F.regexp_extract(text, ISO_TIME, 1), "-", "")
-    clock = F.rpad(
-        F.regexp_replace(F.substring_index(_dotted(text), ".", 1), ":", ""), 6, "0"
-    )
-    fraction = F.when(
-        F.contains(_dotted(text), F.lit(".")), F.substring_index(_dotted(text), ".", -1)
-    ).otherwise("")
-    zone = F.regexp_replace(F.regexp_extract(text, ISO_TIME, 3), "[:Z]", "")
-    zone = F.when(zone == "", "+0000").otherwise(F.rpad(zone, 5, "0"))
-    rebuilt = F.concat(
-        F.regexp_replace(date, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3 "),
-        F.regexp_replace(clock, r"^(\d{2})(\d{2})(\d{2})$", "$1:$2:$3."),
-        F.rpad(fraction, 6, "0"),
-        F.regexp_replace(zone, r"^(.\d{2})(\d{2})$", "$1:$2"),
+    return F.when(text.rlike(PLAIN_TIME), text.try_cast("timestamp")).when(
+        text.rlike(ISO_TIME), _plain_form(text).try_cast("timestamp")
     )
-    return F.when(text.rlike(ISO_TIME), F.try_to_timestamp(rebuilt))
 
 
-def _dotted(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(text, ISO_TIME, 2), ",", ".")
+def _plain_form(text: Column) -> Column:
+    date = F.regexp_replace(F.regexp_extract(text, ISO_TIME, 1), "-", "")
+    clock = F.regexp_replace(F.regexp_extract(text, ISO_TIME, 2), ":", "")
+    zone = F.regexp_replace(F.regexp_extract(text, ISO_TIME, 3), "[:Z]", "")
+    # Padded to yyyyMMdd HHmmss ffffff zzzzz, then cut into the usual form.
+    digits = F.concat(
+        date,
+        F.rpad(F.regexp_extract(clock, r"^\d*", 0), 6, "0"),
+        F.rpad(F.regexp_extract(clock, r"[.,](\d+)", 1), 6, "0"),
+        F.when(zone == "", "+0000").otherwise(F.rpad(zone, 5, "0")),
+    )
+    return F.regexp_replace(
+        digits,
+        r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)(\d{6})(.\d\d)(\d\d)$",
+        "$1-$2-$3 $4:$5:$6.$7$8:$9",
+    )
 
 
 def epoch_timestamp(seconds: Column) -> Column:

@@ -56,6 +56,12 @@ class WindowReplay:
         time: str = "event_time",
         order: Sequence[str] = ARRIVAL_ORDER,
     ) -> WindowReplay:
+        """Replay ``events``; pass only the columns needed, all of them are carried along.
+
+        The events are stored first: a range shuffle reads its input twice, and the payload should
+        be parsed once.
+        """
+        events = written(events, "events")
         replayed = watermark.replay(events, lateness_seconds, idle_timeout_seconds, time, order)
         return cls(written(replayed, "replayed"), windows, fields, lateness_seconds, time, order)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import payload
 from tidemark.operators import dimension
+from tidemark.plans.durable import written
 from tidemark.plans.ordered import OrderedRows, Running
 from tidemark.plans.sizing import left_join
 from tidemark.schemas import ARRIVAL_ORDER
@@ -83,6 +84,7 @@ def enrich(
         raise ValueError("on_conflict must be 'suffix' or 'override'")
     current = dimension.active(table)
     if types is None:
+        current = written(current, "dimension")
         types = attribute_types(current)
     if not types:
         return facts

@@ -18,29 +18,27 @@ NO_TIME = "Missing 'event_time' field"
 BAD_TIME = "Invalid 'event_time' field"
 
 
-def event_time(value: Column) -> Column:
+def event_time(value: Column, kind: Column | None = None) -> Column:
     """Timestamp of an ``event_time`` VARIANT: epoch seconds or ISO text, UTC by default."""
+    if kind is None:
+        kind = payload.kind(value)
     return F.when(
-        payload.is_number(value), epoch_timestamp(F.try_variant_get(value, "$", "decimal(38,9)"))
-    ).when(payload.kind(value) == "STRING", iso_timestamp(F.try_variant_get(value, "$", "string")))
+        kind == "STRING", iso_timestamp(F.try_variant_get(value, "$", "string"))
+    ).when(
+        payload.names_number(kind), epoch_timestamp(F.try_variant_get(value, "$", "decimal(38,9)"))
+    )
 
 
 def _error() -> Column:
-    key_kind = payload.kind(F.col("_key"))
-    empty_key = (
-        F.col("_key").isNull()
-        | (key_kind == "VOID")
-        | (F.col("_key_text") == "")
-        | (payload.is_number(F.col("_key")) & (F.col("_key").try_cast("double") == 0))
-        | ((key_kind == "BOOLEAN") & (F.col("_key_text") == "false"))
-        | F.col("_key_text").isin("[]", "{}")
-    )
+    kind, text = F.col("_key_kind"), F.col("_key_text")
+    zero = payload.names_number(kind) & (text.try_cast("double") == 0)
+    empty = kind.isNull() | (kind == "VOID") | text.isin("", "[]", "{}") | zero
     return (
         F.when(F.col("_body").isNull(), NOT_JSON)
         .when(~payload.is_object_text("value"), NOT_OBJECT)
-        .when(empty_key, NO_KEY)
-        .when(key_kind.isin("OBJECT", "ARRAY"), BAD_KEY)
-        .when(F.col("_time").isNull() | (payload.kind(F.col("_time")) == "VOID"), NO_TIME)
+        .when(empty | ((kind == "BOOLEAN") & (text == "false")), NO_KEY)
+        .when(kind.isin("OBJECT", "ARRAY"), BAD_KEY)
+        .when(F.col("_time_kind").isNull() | (F.col("_time_kind") == "VOID"), NO_TIME)
         .when(F.col("event_time").isNull(), BAD_TIME)
     )
 
@@ -53,6 +51,7 @@ def decode(raw: DataFrame) -> DataFrame:
     above it, where otherwise it would be pushed below and every message parsed twice.
     """
     place = F.concat_ws("-", "topic", "partition", "offset")
+    key, time = F.col("_key"), F.col("_time")
     return (
         raw.withColumn("_body", payload.body("value"))
         .withColumns(
@@ -64,10 +63,12 @@ def decode(raw: DataFrame) -> DataFrame:
         )
         .withColumns(
             {
-                "_key_text": F.col("_key").cast("string"),
-                "event_time": event_time(F.col("_time")),
+                "_key_kind": payload.kind(key),
+                "_key_text": key.cast("string"),
+                "_time_kind": payload.kind(time),
             }
         )
+        .withColumn("event_time", event_time(time, F.col("_time_kind")))
         .withColumns(
             {
                 "error": _error(),

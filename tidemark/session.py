@@ -6,11 +6,12 @@ import os
 
 from pyspark.sql import SparkSession
 
-# Set on the running session: naive timestamps mean UTC, and a repeated JSON key keeps its last
-# value, as common JSON readers do.
+# Set on the running session: naive timestamps mean UTC; a repeated JSON key keeps its last value,
+# as common JSON readers do; generated methods stay below the size the JVM is willing to compile.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.schemas import RAW_MESSAGE
+from tidemark.schemas import DIMENSION_CHANGE, RAW_MESSAGE
 
 
 def kafka(
@@ -67,7 +67,5 @@ def json_lines(
 
 def dimension_changes(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """Dimension changes landed as Parquet files; feed them to ``dimension.replay``."""
-    from tidemark.schemas import DIMENSION_CHANGE
-
     reader = spark.readStream if streaming else spark.read
     return reader.schema(DIMENSION_CHANGE).parquet(path)

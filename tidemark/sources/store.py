@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.times import Windows, micros, timestamp
+from tidemark.operators.corrections import latest
 from tidemark.operators.windows import unpacked
 from tidemark.plans.durable import remove, written
 from tidemark.plans.sizing import left_join
@@ -95,37 +97,46 @@ class Store:
     def compact_windows(self) -> None:
         """Fold the copies of each window result into one per (window, version).
 
-        The result replaces each date's batches as the newest of them. A crash half way leaves
-        extra copies, which reading removes anyway.
+        The result replaces the newest batch folder of each date that has several; the others are
+        dropped. A crash half way leaves extra copies, which reading removes anyway. Run it
+        between batches.
         """
         writes = self.window_writes()
-        folders = [
-            (row.window_date, row.batch_id)
-            for row in writes.select("window_date", "batch_id").distinct().collect()
-        ]
-        newest: dict[date, int] = {}
-        for day, batch in folders:
-            newest[day] = max(batch, newest.get(day, batch))
-        folded = written(
-            writes.groupBy("window_date", "window_id", "correction_version").agg(
-                F.max("batch_id").alias("batch_id"),
-                F.max_by(F.struct(*_payload()), "batch_id").alias("_row"),
-            ).select("window_date", "batch_id", "window_id", "correction_version", "_row.*"),
-            "compact",
+        batches: dict[date, list[int]] = {}
+        for row in writes.select("window_date", "batch_id").distinct().collect():
+            batches.setdefault(row.window_date, []).append(row.batch_id)
+        newest = {day: max(found) for day, found in batches.items() if len(found) > 1}
+        if not newest:
+            return
+        # One row per stored date.
+        targets = F.broadcast(
+            self.spark.createDataFrame(list(newest.items()), "window_date date, _newest bigint")
         )
-        top = folded.groupBy("window_date").agg(F.max("batch_id").alias("_newest"))
-        merged = folded.join(top, "window_date").select(
-            *RESULT_COLUMNS, "window_date", F.col("_newest").alias("batch_id")
+        folded = (
+            writes.join(targets, "window_date")
+            .groupBy("window_date", "_newest", "window_id", "correction_version")
+            .agg(F.max_by(F.struct(*_payload()), "batch_id").alias("_row"))
+            .select(
+                "window_id",
+                "correction_version",
+                "_row.*",
+                "window_date",
+                F.col("_newest").alias("batch_id"),
+            )
         )
         (
-            merged.write.mode("overwrite")
+            written(folded, "compacted")
+            .select(*RESULT_COLUMNS, "window_date", "batch_id")
+            .hint("rebalance", "window_date")
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("window_date", "batch_id")
             .parquet(self.windows_path)
         )
-        for day, batch in folders:
-            if batch != newest[day]:
-                remove(self.spark, f"{self.windows_path}/window_date={day}/batch_id={batch}")
+        for day, keep in newest.items():
+            for batch in batches[day]:
+                if batch != keep:
+                    remove(self.spark, f"{self.windows_path}/window_date={day}/batch_id={batch}")
 
     # -- retention and statistics --------------------------------------------------------------
 
@@ -155,7 +166,8 @@ class Store:
         if cut:
             kept = written(rows.filter(F.col(day).isin(cut) & ~old), "retained")
             (
-                kept.write.mode("overwrite")
+                kept.hint("rebalance", day)
+                .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
                 .partitionBy(day, "batch_id")
                 .parquet(path)
@@ -233,23 +245,18 @@ def newest_results(results: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def windows_at(results: DataFrame, instant: datetime) -> DataFrame:
-    from tidemark.operators.corrections import latest
-
     inside = (F.col("window_start") <= F.lit(instant)) & (F.col("window_end") > F.lit(instant))
     return latest(results.filter(inside))
 
 
 def windows_at_many(
-    results: DataFrame, instants: DataFrame, windows, at: str = "instant"
+    results: DataFrame, instants: DataFrame, windows: Windows, at: str = "instant"
 ) -> DataFrame:
     """Newest correction of each window containing each row's instant.
 
     The starts of the windows that contain an instant are known, so the range condition becomes
     an equi join on the window start.
     """
-    from tidemark.functions.times import micros, timestamp
-    from tidemark.operators.corrections import latest
-
     us = micros(at)
     wanted = instants.withColumn(
         "window_start",

@@ -16,7 +16,7 @@ from tidemark.functions.payload import with_numbers
 from tidemark.functions.times import SECOND, Windows
 from tidemark.operators import dimension
 from tidemark.operators.corrections import WindowReplay
-from tidemark.schemas import FACT_COLUMNS
+from tidemark.schemas import ARRIVAL_ORDER, FACT_COLUMNS
 from tidemark.suite.registry import once
 
 TOPIC = "fact-events"
@@ -104,7 +104,8 @@ def dimension_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @once
 def window_replay(spark: SparkSession, sf_dir: str) -> WindowReplay:
     """The watermark replay shared by the window queries."""
-    return WindowReplay.of(measured_facts(spark, sf_dir), HOURLY, FIELDS, LATENESS)
+    events = measured_facts(spark, sf_dir).select("event_id", "event_time", *ARRIVAL_ORDER, *FIELDS)
+    return WindowReplay.of(events, HOURLY, FIELDS, LATENESS)
 
 
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.rules import violation_counts
 from tidemark.operators import dimension, enrich
+from tidemark.operators.validation import dimension_rules
 from tidemark.plans.durable import written
 from tidemark.suite import data
 from tidemark.suite.data import CHANGES, DIM, EV, LOADED_AT
@@ -136,9 +138,6 @@ SELECT unnest(CASE WHEN k2 <> '' AND v2 >= 1 AND NOT text_only THEN ['valid'] EL
   count(*) AS n_rows FROM r GROUP BY outcome""",
 )
 def valid_dimensions(spark, sf_dir):
-    from tidemark.functions.rules import violation_counts
-    from tidemark.operators.validation import dimension_rules
-
     damaged = data.dimension_table(spark, sf_dir).select(
         F.when(F.col("version") == 3, "").otherwise(F.col("dimension_key")).alias("dimension_key"),
         F.when(F.col("version") == 5, '"text"')
@@ -160,10 +159,22 @@ def attribute_keys(spark, sf_dir):
 
 @query(
     "flatten_attributes",
-    f"WITH {DIM} SELECT key AS dimension_key, balance, name, order_key, price, priority, segment FROM dim",
+    """SELECT CAST(c_custkey AS VARCHAR) AS dimension_key, c_acctbal AS balance, c_name AS name,
+       c_mktsegment AS segment FROM customer""",
 )
 def flatten_attributes(spark, sf_dir):
-    return enrich.flatten_attributes(written(data.dimension_table(spark, sf_dir), "dimension"))
+    """Column names and types found in the data."""
+    loaded = dimension.loaded(data.changes(spark, sf_dir).filter("seq < 0"))
+    return enrich.flatten_attributes(written(loaded, "dimension"))
+
+
+@query(
+    "flatten_mixed_attributes",
+    f"WITH {DIM} SELECT key AS dimension_key, name, order_key, price, priority, segment FROM dim",
+)
+def flatten_mixed_attributes(spark, sf_dir):
+    """Rows of two kinds, each lacking the other's attributes."""
+    return enrich.flatten_attributes(data.dimension_table(spark, sf_dir), TYPES)
 
 
 JOINED = f"""WITH {DIM}, {EV}

@@ -128,39 +128,43 @@ SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderstatus) AS INT),
 FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))""",
 )
 
+# The window queries partition by order: an order has a few lines, whatever the data's size.
+LINE = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+
 statement(
     "sql_rank",
-    """SELECT o_orderkey, CAST(row_number() OVER w AS INT) AS rn, CAST(rank() OVER p AS INT) AS rk,
-       CAST(dense_rank() OVER p AS INT) AS dr, CAST(ntile(4) OVER w AS INT) AS quarter
-FROM orders
-WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey),
-       p AS (PARTITION BY o_custkey ORDER BY o_orderpriority)""",
+    f"""SELECT l_orderkey, l_partkey, l_extendedprice, CAST(row_number() OVER w AS INT) AS rn,
+       CAST(rank() OVER p AS INT) AS rk, CAST(dense_rank() OVER p AS INT) AS dr,
+       CAST(ntile(3) OVER w AS INT) AS third
+FROM lineitem
+WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity DESC, {LINE}),
+       p AS (PARTITION BY l_orderkey ORDER BY l_returnflag)""",
 )
 
 statement(
     "sql_lag_lead",
-    """SELECT o_orderkey, lag(o_totalprice) OVER w AS before, lead(o_totalprice) OVER w AS after,
-       first_value(o_orderkey) OVER w AS first_key,
-       last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
-         ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_key
-FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
+    f"""SELECT l_orderkey, l_partkey, l_extendedprice, lag(l_quantity) OVER w AS before,
+       lead(l_quantity) OVER w AS after, first_value(l_partkey) OVER w AS first_part,
+       last_value(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {LINE}
+         ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_part
+FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {LINE})""",
 )
 
 statement(
     "sql_frames",
-    f"""SELECT event_id,
-       {snap_sql('sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)', 2)} AS last_five,
-       count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS last_day
-FROM events""",
+    f"""SELECT l_orderkey, l_partkey, l_extendedprice,
+       {snap_sql(f'sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY {LINE} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)', 2)} AS last_three,
+       count(*) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate RANGE BETWEEN INTERVAL '400' DAY PRECEDING AND CURRENT ROW) AS last_year
+FROM lineitem""",
 )
 
 statement(
     "sql_qualify",
-    """SELECT o_custkey, o_orderkey, o_totalprice FROM (
-  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn
-  FROM orders) WHERE rn <= 2""",
-    """SELECT o_custkey, o_orderkey, o_totalprice FROM orders
-QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2""",
+    f"""SELECT l_orderkey, l_partkey, l_extendedprice FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, {LINE}) AS rn
+  FROM lineitem) WHERE rn <= 2""",
+    f"""SELECT l_orderkey, l_partkey, l_extendedprice FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, {LINE}) <= 2""",
 )
 
 statement(
@@ -299,6 +303,7 @@ FROM (SELECT s_suppkey, map('nation', n_name, 'region', r_name) AS m
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
 )
 
+# Spark counts each distinct value here, and values are amounts of cents below a few hundred.
 statement(
     "sql_quantile",
     f"""SELECT event_type, {snap_sql('percentile_cont(0.5) WITHIN GROUP (ORDER BY value)', 4)} AS median,

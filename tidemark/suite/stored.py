@@ -47,9 +47,15 @@ results AS (
   UNION ALL SELECT s, version, n, value_sum, arr FROM corr)"""
 
 
-@query("tables_init")
+@query(
+    "tables_init",
+    f"""WITH {RESULTS} SELECT 'joined_events' AS table_name, 0 AS n_rows, 'empty' AS state
+UNION ALL SELECT 'window_results', 0, 'empty'
+UNION ALL SELECT 'joined_events', count(*), 'filled' FROM ev
+UNION ALL SELECT 'window_results', count(*), 'filled' FROM results""",
+)
 def tables_init(spark, sf_dir):
-    """Both tables of an empty store, unioned with the stored rows of the other: columns and counts."""
+    """Row counts of a store nobody wrote to and of the filled one."""
     empty = Store(spark, scratch_path(spark, "empty"))
     full = store(spark, sf_dir)
     counts = empty.stats().withColumn("state", F.lit("empty"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import dimension
 from tidemark.operators.corrections import latest
 from tidemark.plans.durable import scratch_path
 from tidemark.schemas import RAW_MESSAGE
@@ -159,13 +160,11 @@ def stream_end_to_end(spark, sf_dir):
 
 
 @query(
-    "stream_changes",
-    f"""WITH {DIM} SELECT key AS dimension_key, version, is_active FROM dim""",
+    "dim_changelog",
+    f"WITH {DIM} SELECT key AS dimension_key, version, is_active FROM dim",
 )
-def stream_changes(spark, sf_dir):
+def dim_changelog(spark, sf_dir):
     """The change log read as a stream into a change table, then folded."""
-    from tidemark.operators import dimension
-
     root = scratch_path(spark, "changes")
     data.changes(spark, sf_dir).write.parquet(f"{root}/landing")
     run = (
