@@ -110,6 +110,20 @@ def test_sums_over_windows(spark):
     assert (tumbling, sliding) == (2000, 8000)
 
 
+@pytest.mark.parametrize("keys", [[], ["k"]])
+@pytest.mark.parametrize("span", [200, 100_000])
+def test_block_sums_equal_repeated_panes(spark, monkeypatch, keys, span):
+    """Dense and sparse events; both ways of merging panes give the same windows."""
+    rng = random.Random(span)
+    rows = [(rng.randrange(span), rng.choice([None, 1.0, 2.5, -7.0]), rng.choice("ab")) for _ in range(400)]
+    frame = events(spark, *rows, fields="value double, k string")
+    shape = Windows(60, 2)
+    assert shape.wide
+    by_block = sorted(map(str, w.aggregate(frame, shape, ["value"], keys).collect()))
+    monkeypatch.setattr(Windows, "wide", False)
+    assert by_block == sorted(map(str, w.aggregate(frame, shape, ["value"], keys).collect()))
+
+
 def test_keys(spark):
     frame = events(spark, (1, 1.0, "a"), (2, 2.0, "b"), (3, 4.0, "a"), fields="value double, k string")
     found = {r.k: r.value_sum for r in w.aggregate(frame, Windows(10, 10), ["value"], ["k"]).collect()}

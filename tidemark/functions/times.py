@@ -95,6 +95,11 @@ class Windows:
         """Longest slice no window boundary cuts."""
         return gcd(self.size, self.slide)
 
+    @property
+    def wide(self) -> bool:
+        """Whether many windows share each pane."""
+        return self.size % self.slide == 0 and self.size // self.slide >= 12
+
     def pane_of(self, us: Column) -> Column:
         return floor_to(us, self.pane)
 

@@ -1,9 +1,10 @@
 """Tumbling and sliding window aggregates.
 
 Aggregates are decomposable, so events are first reduced to panes (slices no window boundary
-cuts) and only the panes are spread over the windows that contain them. A 300 s window sliding by
-1 s repeats each pane 300 times, never an event. Both steps combine map-side, so a pane that
-holds a third of the events is reduced before it is shuffled.
+cuts) and only the panes reach the windows that contain them. Panes of a few windows are repeated
+for each; panes of many (a 300 s window sliding by 1 s) are merged by blocks instead, at two rows
+per window. All steps combine map-side, so a pane that holds a third of the events is reduced
+before it is shuffled.
 
 A partial of a field is (sum, min, max, n); averages are divided at the end. NaN never becomes a
 minimum or maximum, but does carry into sums.
@@ -13,10 +14,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.times import Windows, micros
+from tidemark.functions.times import Windows, floor_to, micros
 
 INFINITY = float("inf")
 
@@ -99,13 +100,83 @@ def window_partials(
 
     ``first`` limits a pane to windows that start at or after it; none may be after the last.
     """
-    if first is None:
-        first = windows.first_start(F.col("_pane"))
+    earliest = windows.first_start(F.col("_pane"))
+    if not windows.wide:
+        rows = _spread(panes, windows, earliest if first is None else first)
+    elif first is None:
+        rows = _block_sums(panes, windows, fields, keys)
+    else:
+        rows = _block_sums(panes.filter(first <= earliest), windows, fields, keys).unionByName(
+            _spread(panes.filter(first > earliest), windows, first), allowMissingColumns=True
+        )
+    return rows.groupBy(*keys, "_start").agg(*merged_partials(fields))
+
+
+def _spread(panes: DataFrame, windows: Windows, first: Column) -> DataFrame:
+    """One row per (pane, window that contains it)."""
     last = windows.last_start(F.col("_pane"))
+    return panes.withColumn("_start", F.explode(windows.starts(first, last)))
+
+
+def _block_sums(
+    panes: DataFrame, windows: Windows, fields: Sequence[str], keys: Sequence[str]
+) -> DataFrame:
+    """At most two rows per (keys, window start), however many panes a window has.
+
+    Time is cut into blocks as long as a window. A window is the end of one block and the
+    beginning of the next, so two running aggregates per block, one from each side, give every
+    window. Blocks have a fixed number of panes, so no window task grows with the data.
+    """
+    merged = merged_partials(fields)
+    names = ["_n", *(f"_{f}_{part}" for f in fields for part in ("sum", "min", "max", "n"))]
+    block = floor_to(F.col("_pane"), windows.size)
+    slots = (
+        panes.select(*keys, block.alias("_block"))
+        .distinct()
+        .select(
+            *keys,
+            F.explode(
+                F.sequence(
+                    F.col("_block"), F.col("_block") + windows.size - windows.slide, F.lit(windows.slide)
+                )
+            ).alias("_pane"),
+        )
+    )
+    dense = (
+        panes.select(*keys, "_pane", *names)
+        .unionByName(slots, allowMissingColumns=True)
+        .groupBy(*keys, "_pane")
+        .agg(*merged)
+        .withColumn("_block", block)
+    )
+    sides = {}
+    for side, order in (("head", F.col("_pane")), ("tail", F.col("_pane").desc())):
+        frame = (
+            Window.partitionBy(*keys, "_block")
+            .orderBy(order)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        for name in names:
+            merge = F.min if name.endswith("_min") else F.max if name.endswith("_max") else F.sum
+            sides[f"_{side}{name}"] = merge(name).over(frame)
+
+    def part(side: str, start: Column) -> Column:
+        return F.struct(
+            start.alias("_start"), *[F.col(f"_{side}{name}").alias(name) for name in names]
+        )
+
+    whole = F.col("_pane") == F.col("_block") + windows.size - windows.slide
+    ends = F.array_compact(
+        F.array(
+            part("tail", F.col("_pane")),
+            F.when(~whole, part("head", F.col("_pane") + windows.slide - windows.size)),
+        )
+    )
     return (
-        panes.withColumn("_start", F.explode(windows.starts(first, last)))
-        .groupBy(*keys, "_start")
-        .agg(*merged_partials(fields))
+        dense.withColumns(sides)
+        .select(*keys, F.explode(ends).alias("_part"))
+        .select(*keys, "_part.*")
+        .filter("_n > 0")
     )
 
 

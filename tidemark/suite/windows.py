@@ -82,6 +82,31 @@ def sliding_agg(spark, sf_dir):
     return rows.select("window_id", *_measures())
 
 
+DEFAULT = Windows()
+
+
+@query(
+    "sliding_agg_default",
+    f"""WITH {EV}, g AS (SELECT s, count(*) AS n, sum(value) AS v, min(value) AS lo, max(value) AS hi
+  FROM {spread_sql('ev', DEFAULT)} GROUP BY s)
+SELECT s // 3600000000 AS hour, count(*) AS n_windows, CAST(sum(n) AS BIGINT) AS event_count,
+       {snap_sql('sum(v)', 2)} AS value_sum, min(lo) AS value_min, max(hi) AS value_max,
+       max(n) AS busiest FROM g GROUP BY 1""",
+)
+def sliding_agg_default(spark, sf_dir):
+    """Windows of 300 s every second, summed up by the hour they start in."""
+    rows = w.aggregate(data.events(spark, sf_dir), DEFAULT, ["value"])
+    hour = F.expr("unix_micros(window_start) div 3600000000")
+    return rows.groupBy(hour.alias("hour")).agg(
+        F.count("*").alias("n_windows"),
+        F.sum("event_count").alias("event_count"),
+        snap(F.sum("value_sum"), 2).alias("value_sum"),
+        F.min("value_min").alias("value_min"),
+        F.max("value_max").alias("value_max"),
+        F.max("event_count").alias("busiest"),
+    )
+
+
 @query(
     "sliding_agg_by_key",
     f"""WITH {EV} SELECT event_type, {ID} AS window_id, {MEASURES}
