@@ -15,7 +15,7 @@ BASE = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
 
 @pytest.fixture(scope="session")
 def spark():
-    found = session(8)
+    found = session(8, shuffle_partitions=4)
     found.sparkContext.setLogLevel("ERROR")
     yield found
     found.stop()

@@ -224,8 +224,16 @@ def shown(r):
     return (r.event_count, pytest.approx(r.value_sum or 0.0), r.value_min, r.value_max)
 
 
-@pytest.mark.parametrize("scope", ["all", "newest"])
-@pytest.mark.parametrize(("size", "slide", "idle"), [(60, 15, None), (60, 60, None), (60, 25, 100), (30, 1, 100)])
+@pytest.mark.parametrize(
+    ("size", "slide", "idle", "scope"),
+    [
+        (60, 15, None, "all"),
+        (60, 60, None, "newest"),
+        (60, 25, 100, "all"),
+        (60, 15, 100, "newest"),
+        (30, 1, 100, "all"),
+    ],
+)
 def test_equals_sequential_run(spark, size, slide, idle, scope):
     rng = random.Random(size + slide)
     clock, rows = 0.0, []
