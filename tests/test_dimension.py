@@ -103,6 +103,12 @@ def test_load(spark):
     }
 
 
+def test_version_must_be_an_integer(spark):
+    records = spark.createDataFrame([("u", "7")], "user_id string, version string")
+    table = dimension.loaded(dimension.load_changes(records, "user_id", F.lit(0), F.lit(at())))
+    assert state(table) == {"u": (1, {"version": "7"}, True)}
+
+
 def test_load_other_key_column(spark):
     records = spark.createDataFrame([("p1", "toys", 99.99)], "product_id string, category string, price double")
     table = dimension.loaded(dimension.load_changes(records, "product_id", F.lit(0), F.lit(at())))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.plans.sizing import left_join
 from tidemark.schemas import DIMENSION
@@ -19,11 +20,14 @@ from tidemark.schemas import DIMENSION
 def load_changes(records: DataFrame, key: str, seq: Column, updated_at: Column) -> DataFrame:
     """Bulk load records as changes: every column but ``key`` becomes an attribute.
 
-    Rows without a key are skipped; a missing or non-positive version counts as 1.
+    Rows without a key are skipped; a version that is missing, not an integer or below 1 counts
+    as 1.
     """
     attributes = F.struct(*[name for name in records.columns if name != key])
-    version = F.col("version") if "version" in records.columns else F.lit(None)
-    version = version.try_cast("bigint")
+    whole = "version" in records.columns and isinstance(
+        records.schema["version"].dataType, T.IntegralType
+    )
+    version = F.col("version") if whole else F.lit(None).cast("bigint")
     return (
         records.withColumn("dimension_key", F.col(key).cast("string"))
         .filter(F.length("dimension_key") > 0)

@@ -105,20 +105,22 @@ class Flow:
         started = time.monotonic()
         lateness = round(self.lateness_seconds * SECOND)
         before, last_arrival = self._standing(batch_id)
-        decoded = ingest.decode(batch.filter(F.col("topic") != HEARTBEAT)).persist()
+        whole = ingest.decode(batch).persist()
+        decoded = whole.filter(F.col("source_topic") != HEARTBEAT)
         facts = ingest.fact_events(decoded)
         on_time = F.lit(True) if before is None else (
             micros("event_time") >= F.lit(before - lateness)
         )
-        seen = decoded.agg(
-            F.max(F.when(F.col("error").isNull(), micros("event_time"))).alias("newest"),
-            F.max(F.when(F.col("error").isNull(), micros("ingest_time"))).alias("arrival"),
-            F.count_if(F.col("error").isNull() & on_time).alias("n_accepted"),
-            F.count_if(F.col("error").isNull() & ~on_time).alias("n_dropped"),
-            F.count_if(F.col("error").isNotNull()).alias("n_dead"),
+        good = F.col("error").isNull()
+        seen = whole.agg(
+            F.max(F.when(good, micros("event_time"))).alias("newest"),
+            F.max(F.when(good, micros("ingest_time"))).alias("arrival"),
+            F.count_if(good & on_time).alias("n_accepted"),
+            F.count_if(good & ~on_time).alias("n_dropped"),
+            F.count_if(~good & (F.col("source_topic") != HEARTBEAT)).alias("n_dead"),
+            F.max(micros("ingest_time")).alias("now"),
         ).first()
-        now = batch.agg(F.max(micros("arrived_at")).alias("now")).first().now
-        after = self._advanced(before, seen, last_arrival, now, lateness)
+        after = self._advanced(before, seen, last_arrival, lateness)
 
         self._write(ingest.dead_letters(decoded), "dead_letters", batch_id)
         self.store.add_events(self._enriched(facts.filter(on_time)), batch_id)
@@ -126,7 +128,7 @@ class Flow:
         self._add_partials(facts, on_time, before, batch_id)
         results = self._window_results(before, after, batch_id)
         if results is not None:
-            emitted = timestamp(F.lit(now))
+            emitted = timestamp(F.lit(seen.now))
             self.store.add_windows(
                 corrections.result_rows(results.withColumn("emitted_at", emitted), self.fields),
                 batch_id,
@@ -148,17 +150,17 @@ class Flow:
             "progress",
             batch_id,
         )
-        decoded.unpersist()
+        whole.unpersist()
 
-    def _advanced(self, before, seen, last_arrival, now, lateness) -> int | None:
+    def _advanced(self, before, seen, last_arrival, lateness) -> int | None:
         """The watermark after a batch: from its newest event, or from a silence."""
         candidates = [] if before is None else [before]
         if seen.newest is not None:
             candidates.append(seen.newest - lateness)
-        elif now is not None and last_arrival is not None:
+        elif seen.now is not None and last_arrival is not None:
             idle = round(self.idle_timeout_seconds * SECOND)
-            if now - last_arrival > idle:
-                candidates.append(now - idle)
+            if seen.now - last_arrival > idle:
+                candidates.append(seen.now - idle)
         return max(candidates, default=None)
 
     def _enriched(self, facts: DataFrame) -> DataFrame:
