@@ -18,6 +18,7 @@ from tidemark.sources import messages
 from tidemark.streaming.jobs import HEARTBEAT, Flow, window_stream
 
 SHAPE = Windows(60, 20)
+WIDE = Windows(60, 5)
 LATENESS = 15
 
 
@@ -47,9 +48,9 @@ def some_batches(n=5, per=60, seed=8):
     return out
 
 
-def model(batches):
+def model(batches, shape):
     """Window versions batch by batch: the watermark moves once per batch."""
-    size, slide = SHAPE.size_seconds, SHAPE.slide_seconds
+    size, slide = shape.size_seconds, shape.slide_seconds
     mark, state, versions, out, dropped = None, {}, {}, {}, 0
     for batch in batches:
         touched = set()
@@ -77,10 +78,10 @@ def model(batches):
     return out, dropped
 
 
-def flow_of(spark, root, **options):
+def flow_of(spark, root, shape=SHAPE, **options):
     table = dimension.replay(log(spark, up("u1", 1, tier="gold"), up("u2", 1, tier="free")))
     return Flow(
-        spark, str(root), SHAPE, ["value"], LATENESS, dimension=lambda _: table,
+        spark, str(root), shape, ["value"], LATENESS, dimension=lambda _: table,
         attribute_types={"tier": "string"}, **options,
     )
 
@@ -98,14 +99,15 @@ def versions_of(flow):
 def test_flow_equals_model(spark, tmp_path):
     """Five landed batches, each its own run of the same job; one of them is run twice."""
     batches = some_batches()
-    flow = flow_of(spark, tmp_path / "out")
+    flow = flow_of(spark, tmp_path / "out", WIDE)
+    assert WIDE.wide and not SHAPE.wide
     land = str(tmp_path / "land")
     bad = [("oops", "t", 0, 999, at(0)), ("[1]", "t", 0, 1000, at(0))]
     for number, batch in enumerate(batches):
         rows = raw_batch(spark, raw_rows(batch) + (bad if number == 1 else []))
         rows.write.mode("append").parquet(land)
         flow.start(messages.landed(spark, land, streaming=True)).awaitTermination()
-    expected, dropped = model(batches)
+    expected, dropped = model(batches, WIDE)
     assert len([key for key in expected if key[1] > 0]) > 10 and dropped > 10
     assert versions_of(flow) == expected
 

@@ -25,7 +25,12 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions.payload import with_numbers
 from tidemark.functions.times import SECOND, Windows, micros, timestamp
 from tidemark.operators import corrections, enrich, ingest
-from tidemark.operators.windows import field_partials, finished, merged_partials
+from tidemark.operators.windows import (
+    field_partials,
+    finished,
+    merged_partials,
+    window_partials,
+)
 from tidemark.plans.durable import exists
 from tidemark.sources.store import Store
 
@@ -209,24 +214,37 @@ class Flow:
         )
         self._partial_schema = partials.schema
 
-    def _spread(self, batch_id: int, first_us: int, last_us: int) -> DataFrame:
-        """Partials up to this batch, per window that starts within the given bounds."""
-        path = f"{self.root}/partials"
-        low = F.lit(first_us)
-        high = F.lit(last_us + self.windows.size)
-        panes = (
+    def _panes(self, batch_id: int, first_us: int, last_us: int) -> DataFrame:
+        """Partials up to this batch that windows starting within the bounds may contain."""
+        low, high = F.lit(first_us), F.lit(last_us + self.windows.size)
+        days = F.col("pane_date").between(F.to_date(timestamp(low)), F.to_date(timestamp(high)))
+        return (
             self.spark.read.schema(self._partial_schema)
-            .parquet(path)
-            .filter(F.col("pane_date").between(F.to_date(timestamp(low)), F.to_date(timestamp(high))))
-            .filter((F.col("_pane") >= low) & (F.col("_pane") < high))
+            .parquet(f"{self.root}/partials")
+            .filter(days & (F.col("_pane") >= low) & (F.col("_pane") < high))
             .filter(F.col("batch_id") <= batch_id)
         )
+
+    def _spread(self, panes: DataFrame, first_us: int, last_us: int) -> DataFrame:
+        """One row per (partial, window it counts for) with a start within the bounds."""
         last = F.least(self.windows.last_start(F.col("_pane")), F.col("_limit"), F.lit(last_us))
-        first = F.greatest(self.windows.first_start(F.col("_pane")), low)
+        first = F.greatest(self.windows.first_start(F.col("_pane")), F.lit(first_us))
         return panes.filter(first <= last).withColumn(
             "_start", F.explode(self.windows.starts(first, last))
         )
 
+    def _totals(self, batch_id: int, first_us: int, last_us: int) -> DataFrame:
+        """One merged partial per window that starts within the bounds."""
+        panes = self._panes(batch_id, first_us, last_us)
+        accepted = window_partials(panes.filter("_limit is null"), self.windows, self.fields)
+        dropped = self._spread(panes.filter("_limit is not null"), first_us, last_us)
+        return (
+            accepted.filter(F.col("_start").between(first_us, last_us))
+            .unionByName(dropped.select(*accepted.columns))
+            .groupBy("_start")
+            .agg(*merged_partials(self.fields))
+        )
+
     # -- window results ------------------------------------------------------------------------
 
     def _window_results(self, before: int | None, after: int | None, batch_id: int) -> DataFrame | None:
@@ -259,9 +277,9 @@ class Flow:
             first = (before - size) // slide * slide + slide
         if first > last:
             return None
-        return self._finished(self._spread(batch_id, first, last).groupBy("_start").agg(
-            *merged_partials(self.fields)
-        ).withColumn("correction_version", F.lit(0)))
+        return self._finished(
+            self._totals(batch_id, first, last).withColumn("correction_version", F.lit(0))
+        )
 
     def _corrected(self, before: int | None, batch_id: int) -> DataFrame | None:
         """The next version of each closed window that this batch's events fall into."""
@@ -281,8 +299,7 @@ class Flow:
         first = (span.low - size) // slide * slide + slide
         last = min(last_closed, span.high // slide * slide)
         touched = (
-            self._spread(batch_id, first, last)
-            .filter(F.col("batch_id") == batch_id)
+            self._spread(late, first, last)
             .select("_start")
             .distinct()
         )
@@ -297,9 +314,7 @@ class Flow:
             .groupBy(micros("window_start").alias("_start"))
             .agg((F.max("correction_version") + 1).alias("correction_version"))
         )
-        totals = self._spread(batch_id, first, last).groupBy("_start").agg(
-            *merged_partials(self.fields)
-        )
+        totals = self._totals(batch_id, first, last)
         return self._finished(totals.join(touched, "_start", "left_semi").join(known, "_start"))
 
     def _finished(self, merged: DataFrame) -> DataFrame:
