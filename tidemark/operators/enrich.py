@@ -73,6 +73,7 @@ def enrich(
     types: Mapping[str, str] | None = None,
     on_conflict: str = "suffix",
     spread: Sequence[str] = ARRIVAL_ORDER,
+    store_table: bool = True,
 ) -> DataFrame:
     """Facts left-joined with the flattened attributes of the active dimension rows.
 
@@ -94,7 +95,7 @@ def enrich(
     flat = current.withColumn("_body", payload.body("attributes_json")).select(
         F.col("dimension_key").alias("join_key"), attributes, names
     )
-    joined = left_join(facts, flat, ["join_key"], spread=spread)
+    joined = left_join(facts, flat, ["join_key"], spread=spread, store_table=store_table)
     return joined.select(*_merged_columns(facts, types, on_conflict))
 
 

@@ -34,15 +34,18 @@ def left_join(
     on: Sequence[str],
     spread: Sequence[str],
     broadcast_bytes: int = BROADCAST_BYTES,
+    store_table: bool = True,
 ) -> DataFrame:
     """Left join to a table with one row per key.
 
-    The table is written once, so that measuring it and joining it do not compute it twice. Below
+    The table is written once, so that measuring it and joining it do not compute it twice; turn
+    ``store_table`` off for one that is cheap to read again. Below
     ``broadcast_bytes`` it is broadcast. A larger one is joined by shuffle, with the heaviest keys
     of ``rows`` salted: their rows are spread over ``SALTS`` tasks by the ``spread`` columns (which
     must vary within a key) and their one table row is repeated per salt.
     """
-    table = written(table, "joined-table")
+    if store_table:
+        table = written(table, "joined-table")
     if measured_bytes(table) <= broadcast_bytes:
         return rows.join(F.broadcast(table), list(on), "left")
     return salted_left_join(rows, table, on, spread)

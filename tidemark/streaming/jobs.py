@@ -79,7 +79,8 @@ def heartbeats(spark: SparkSession, per_second: int = 1) -> DataFrame:
 class Flow:
     """Raw messages in; dead letters, enriched events, late events and window results out.
 
-    ``dimension`` is called once per batch, so updates of the dimension reach the next batch.
+    ``dimension`` is called once per batch, so updates of the dimension reach the next batch; let it
+    read a stored table. Pass ``attribute_types`` to spare each batch the search for them.
     ``fields`` are the numeric payload fields to aggregate.
     """
 
@@ -172,7 +173,11 @@ class Flow:
         if self.dimension is None:
             return facts
         return enrich.enrich(
-            facts, self.dimension(self.spark), self.attribute_types, on_conflict="override"
+            facts,
+            self.dimension(self.spark),
+            self.attribute_types,
+            on_conflict="override",
+            store_table=False,
         )
 
     # -- state ---------------------------------------------------------------------------------
@@ -207,7 +212,8 @@ class Flow:
             .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         )
         (
-            partials.write.mode("overwrite")
+            partials.hint("rebalance", "pane_date")
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("pane_date", "batch_id")
             .parquet(f"{self.root}/partials")

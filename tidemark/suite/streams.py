@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import dimension
 from tidemark.operators.corrections import latest
-from tidemark.plans.durable import scratch_path
+from tidemark.plans.durable import scratch_path, written
 from tidemark.schemas import RAW_MESSAGE
 from tidemark.sources import messages
 from tidemark.sources.store import metrics_of
@@ -59,7 +59,7 @@ def finished_flow(spark, sf_dir: str) -> Flow:
     """The whole flow over the raw messages, started again after each stretch has landed."""
     root = scratch_path(spark, "flow")
     land = f"{root}/landing"
-    table = data.dimension_table(spark, sf_dir)
+    table = written(data.dimension_table(spark, sf_dir), "dimension")
     flow = Flow(
         spark,
         f"{root}/out",
