@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, fingerprints, packing, quality_rules, sharding
+from tidemark.llm import bpe, fingerprints, packing, quality_rules, sharding, warc
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.registry import ORACLES, QUERIES, query
 
@@ -31,6 +31,11 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+@query("op7_warc")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @query("op8_quality_rules", quality_rules.SQL)
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(documents(spark, sf_dir))
