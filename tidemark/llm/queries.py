@@ -5,7 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, fingerprints, grading, language, packing, quality_rules, sharding, warc
+from tidemark.llm import (
+    bpe,
+    fingerprints,
+    grading,
+    language,
+    packing,
+    quality_rules,
+    sharding,
+    substring_dedup,
+    warc,
+)
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.registry import ORACLES, QUERIES, query
 
@@ -16,6 +26,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op1_substring_dedup")
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(documents(spark, sf_dir))
+
+
 @query("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
