@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.joins import join_stored
 from tidemark.llm.words import binary, chunks, shingles, words
 from tidemark.plans.durable import written
 
@@ -247,9 +248,9 @@ def near_pairs(docs: DataFrame) -> DataFrame:
     pairs = written(copies.unionByName(shared.select("doc_id", "near_doc")).distinct(), "print-pairs")
     wanted = pairs.select(F.col("doc_id").alias("id")).unionByName(pairs.select(F.col("near_doc").alias("id")))
     sets = written(
-        source.withColumnRenamed("doc_id", "id")
-        .join(wanted.distinct(), "id", "left_semi")
-        .mapInArrow(_set_batches, "id bigint, members binary"),
+        join_stored(
+            source.withColumnRenamed("doc_id", "id"), wanted.distinct(), ["id"], "left_semi", "print-ids"
+        ).mapInArrow(_set_batches, "id bigint, members binary"),
         "print-sets",
     )
     return (
