@@ -27,9 +27,12 @@ STEM = 4
 GRADES = 3
 # Labelled documents that the model is fitted on, about; all where there are fewer.
 SAMPLE = 10000
-EPOCHS = 30
+EPOCHS = 15
 BATCH = 256
+# Steps that small samples are given at least.
+STEPS = 600
 RATE = 4.0
+THRESHOLD_RATE = 0.2
 PENALTY = 1e-6
 SELECT_GRADE = 2
 MIN_TAIL = 0.5
@@ -101,6 +104,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _ordered(thresholds: np.ndarray) -> np.ndarray:
+    """Each threshold above the one before it."""
+    gaps = 1e-3 * np.arange(len(thresholds))
+    return np.maximum.accumulate(thresholds - gaps) + gaps
+
+
 @dataclass
 class Model:
     """Shared weights and ordered thresholds; without thresholds nothing was learned."""
@@ -119,11 +128,10 @@ def fit(bounds: np.ndarray, bucket: np.ndarray, value: np.ndarray, grades: np.nd
     """Maximum likelihood by mini-batches with steps that shrink by the gradients seen so far."""
     weights, seen = np.zeros(1 << BITS), np.full(1 << BITS, 1e-3)
     share = np.array([(grades <= k).mean() for k in range(GRADES - 1)]).clip(1e-3, 1 - 1e-3)
-    thresholds = np.log(share / (1 - share))
-    thresholds = np.maximum.accumulate(thresholds + 1e-3 * np.arange(GRADES - 1))
+    thresholds = _ordered(np.log(share / (1 - share)))
     seen_thresholds = np.full(GRADES - 1, 1e-3)
     draw = np.random.Generator(np.random.PCG64(9))
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(grades)))):
         order = draw.permutation(len(grades))
         for start in range(0, len(order), BATCH):
             rows = order[start : start + BATCH]
@@ -143,8 +151,7 @@ def fit(bounds: np.ndarray, bucket: np.ndarray, value: np.ndarray, grades: np.nd
             seen += gradient**2
             weights -= RATE * gradient / np.sqrt(seen)
             seen_thresholds += step**2
-            thresholds = thresholds - RATE * step / np.sqrt(seen_thresholds)
-            thresholds = np.maximum.accumulate(thresholds + 1e-3 * np.arange(GRADES - 1))
+            thresholds = _ordered(thresholds - THRESHOLD_RATE * step / np.sqrt(seen_thresholds))
     return Model(weights.astype(np.float32), thresholds)
 
 
