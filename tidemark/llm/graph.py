@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tidemark.plans.durable import written
 
 
+def _stored(edges: DataFrame) -> DataFrame:
+    """Written in two files for each core at most: the rounds are many and may be small."""
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    return written(edges.coalesce(2 * cores), "edges")
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(
         F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
@@ -24,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     meet it in a join whose partitions Spark may split. Null ids and loops are left out.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = written(edges.distinct(), "edges")
+    edges = _stored(edges.distinct())
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -35,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
             .filter("b > a")
             .select(F.col("b").alias("a"), F.col("low").alias("b"))
         )
-        large = written(large.distinct(), "edges")
+        large = _stored(large.distinct())
         lowest = large.groupBy("a").agg(F.min("b").alias("low"))
         small = (
             large.join(lowest, "a")
@@ -43,7 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
             .filter("a <> b")
             .unionByName(lowest.select("a", F.col("low").alias("b")))
         )
-        edges = written(small.distinct(), "edges")
+        edges = _stored(small.distinct())
         before, state = state, _state(edges)
         if state == before:
             break

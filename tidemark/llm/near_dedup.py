@@ -9,10 +9,10 @@ bucket borrows from another that a fixed random sequence names. 32 bands of four
 search keys: a pair at exactly 0.75 is missed by all with a chance of about 5e-6.
 
 Documents with equal sets become one node before the search. In each band all nodes are compared
-with the smallest. Where the links found so far leave the rest of a band in several components, they
-are compared with one taken by hash, and at last each with those of the other components, on their
-full sets and in blocks of which only links come out. So a band of linked copies costs a comparison
-each, and no pair of different components that shares a band is left undecided.
+with the smallest. Where the links found so far leave the rest of a band in several components, each
+is compared with those of the other components, in blocks of which only pairs that may link come out. So
+a band of linked copies costs a comparison each, and no pair of different components that shares a
+band is left undecided.
 """
 
 from __future__ import annotations
@@ -141,6 +141,16 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _short_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets as distinct 32-bit prefixes of their hashes, half as large."""
+    for batch in _set_batches(batches):
+        short = [
+            np.unique((np.frombuffer(x, np.uint64) >> _U(HASH_BITS - 32)).astype(np.uint32)).tobytes()
+            for x in batch.column(1).to_pylist()
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], ["id", "members"])
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     joined = b"".join(column.to_pylist())
     return np.frombuffer(joined, np.uint16).reshape(-1, width)
@@ -196,86 +206,120 @@ def _common(sets: list[np.ndarray], split: int) -> np.ndarray:
     return total
 
 
-def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near_in(left: list[dict], right: list[dict]) -> Iterator[tuple[int, int]]:
+    """Pairs of different components of which the shortened sets do not rule out a link.
+
+    Two hashes may share their first 32 bits, so a shortened set can be smaller than the full one. By
+    that difference the common part may be larger than it looks.
+    """
+    if not left or not right:
+        return
+    sets = [np.frombuffer(x["members"], np.uint32) for x in (*left, *right)]
+    sizes = np.array([x["n_shingles"] for x in (*left, *right)])
+    lost = np.maximum(sizes - np.array([len(s) for s in sets]), 0)
+    split = len(left)
+    common = _common(sets, split) + np.minimum(lost[:split, None], lost[None, split:])
+    union = sizes[:split, None] + sizes[None, split:] - common
+    labels = np.array([x["label"] for x in (*left, *right)])
+    apart = labels[:split, None] != labels[None, split:]
+    for i, j in zip(*np.nonzero(apart & (100 * common >= PERCENT * union)), strict=True):
+        pair = left[i]["node"], right[j]["node"]
+        yield min(pair), max(pair)
+
+
+def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    columns = [pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+
+def _one_block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found: set[tuple[int, int]] = set()
+        for items in batch.column(0):
+            items = items.as_py()
+            found.update(_near_in(items, items))
+        yield _pairs(found)
+
+
+def _two_block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: set[tuple[int, int]] = set()
-        for one, other in zip(batch.column(0), batch.column(1), strict=True):
-            left, right = one.as_py(), other.as_py()
-            sets = [np.frombuffer(x["members"], np.uint64) for x in (*left, *right)]
-            sizes = np.array([len(s) for s in sets])
-            common = _common(sets, len(left))
-            union = sizes[: len(left), None] + sizes[None, len(left) :] - common
-            labels = np.array([x["label"] for x in (*left, *right)])
-            apart = labels[: len(left), None] != labels[None, len(left) :]
-            for i, j in zip(*np.nonzero(apart & (100 * common >= PERCENT * union)), strict=True):
-                pair = left[i]["node"], right[j]["node"]
-                found.add((min(pair), max(pair)))
-        columns = [pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+        for left, right in zip(batch.column(0), batch.column(1), strict=True):
+            found.update(_near_in(left.as_py(), right.as_py()))
+        yield _pairs(found)
 
 
 def _block_links(left: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between the components that still meet in a band, each with each, block by block.
+    """Pairs of the components that still meet in a band that may link, each with each, by blocks.
 
-    A band's nodes are dealt into blocks of about ``BLOCK`` shingles. A row holds two blocks, and
-    only links leave the comparison.
+    A band's nodes are dealt into blocks of about ``BLOCK`` shingles; rows are compared within a block
+    and, where a band has several, between each two of them. Only pairs that may link come out.
     """
-    sets = _sets(docs, left.select(F.col("node").alias("id")))
+    sets = written(
+        _texts(docs, left.select(F.col("node").alias("id")))
+        .mapInArrow(_short_batches, "id bigint, members binary")
+        .filter(F.octet_length("members") > 0)
+        .distinct(),
+        "near-short",
+    )
     blocks = left.groupBy("band").agg(
         F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks")
     )
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
-    placed = left.join(blocks, "band").select("band", "node", "label", block)
-    filled = written(
+    placed = left.join(blocks, "band").select("band", "node", "n_shingles", "label", "blocks", block)
+    filled = (
         placed.join(sets.withColumnRenamed("id", "node"), "node")
-        .groupBy("band", "block")
-        .agg(F.collect_list(F.struct("node", "label", "members")).alias("items")),
-        "near-blocks",
+        .groupBy("band", "block", "blocks")
+        .agg(F.collect_list(F.struct("node", "n_shingles", "label", "members")).alias("items"))
     )
-    return (
-        filled.join(filled.toDF("band", "block2", "items2"), "band")
-        .filter("block <= block2")
+    inside = filled.select("items").mapInArrow(_one_block_batches, "a bigint, b bigint")
+    several = written(filled.filter("blocks > 1").drop("blocks"), "near-blocks")
+    between = (
+        several.join(several.toDF("band", "block2", "items2"), "band")
+        .filter("block < block2")
         .select("items", "items2")
-        .mapInArrow(_block_batches, "a bigint, b bigint")
+        .mapInArrow(_two_block_batches, "a bigint, b bigint")
     )
+    return inside.unionByName(between)
 
 
-def _undecided(rest: DataFrame, found: DataFrame) -> DataFrame:
-    """Band members (band, node, n_shingles, label) of bands in which several components meet."""
-    labelled = rest.join(found.select(F.col("id").alias("node"), "component"), "node", "left")
-    labelled = labelled.select(
-        "band", "node", "n_shingles", F.coalesce("component", "node").alias("label")
-    )
+def _undecided(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members (band, node, n_shingles, label) of bands in which several components meet, leaving out
+    the smallest node of each band."""
+    labelled = members.join(found.select(F.col("id").alias("node"), "component"), "node", "left")
+    labelled = labelled.select("band", "node", F.coalesce("component", "node").alias("label"))
     mixed = labelled.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
     mixed = mixed.filter("l0 <> l1").select("band")
-    return written(labelled.join(mixed, "band"), "near-undecided")
+    sizes = nodes.select("node", "n_shingles")
+    return written(labelled.join(mixed, "band").join(sizes, "node"), "near-undecided")
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, members): the full sets of these ids. A repeated id brings the set of each of its texts."""
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of these ids; a repeated id brings each of its texts."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string"))
-    return written(
-        texts.join(ids.distinct(), "id", "left_semi")
-        .mapInArrow(_set_batches, "id bigint, members binary")
-        .filter(F.octet_length("members") > 0)
-        .distinct(),
-        "near-sets",
-    )
+    return texts.join(ids.distinct(), "id", "left_semi")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the (a, b) pairs that are linked: first by estimate, then on their full sets."""
-    pairs = written(pairs.distinct(), "near-pairs")
+    """Those of the (a, b) pairs that are linked: first by size and estimate, then on their full sets."""
     side = nodes.select("node", "registers", "n_shingles")
     likely = (
-        pairs.join(side.toDF("a", "left", "n_left"), "a")
+        pairs.distinct()
+        .join(side.toDF("a", "left", "n_left"), "a")
         .join(side.toDF("b", "right", "n_right"), "b")
+        .filter(F.least("n_left", "n_right") * 100 >= F.greatest("n_left", "n_right") * PERCENT)
         .select("a", "b", "left", "right", F.least("n_left", "n_right").alias("n"))
         .mapInArrow(_estimate_batches, "a bigint, b bigint")
     )
     likely = written(likely, "near-likely")
     wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
-    sets = _sets(docs, wanted)
+    sets = written(
+        _texts(docs, wanted)
+        .mapInArrow(_set_batches, "id bigint, members binary")
+        .filter(F.octet_length("members") > 0)
+        .distinct(),
+        "near-sets",
+    )
     checked = (
         likely.join(sets.toDF("a", "left"), "a")
         .join(sets.toDF("b", "right"), "b")
@@ -285,10 +329,6 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return written(checked.distinct(), "near-links")
 
 
-def _sizes_fit(a: str, b: str) -> F.Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
-
-
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sketches of all rows, and (id, component) of the ids that are linked with another."""
     rows = written(sketches(docs), "near-sketches")
@@ -312,35 +352,31 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.xxhash64(i, F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS))),
     )
+    banded = nodes.select("node", F.explode(key).alias("band"))
+    shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n"))
     # Only keys that two nodes share are of use.
-    banded = nodes.select("node", "n_shingles", F.explode(key).alias("band"))
-    shared = banded.groupBy("band").agg(
-        F.min(F.struct("node", "n_shingles")).alias("low"), F.count(F.lit(1)).alias("n")
-    )
     members = written(
-        banded.join(shared.filter("n > 1"), "band").select("band", "node", "n_shingles", "low"),
+        banded.join(shared.filter("n > 1"), "band").filter("node <> low").select("band", "node", "low"),
         "near-members",
     )
-    star = members.filter(
-        (F.col("node") != F.col("low.node")) & _sizes_fit("n_shingles", "low.n_shingles")
-    ).select(F.col("low.node").alias("a"), F.col("node").alias("b"))
+    star = members.select(F.col("low").alias("a"), F.col("node").alias("b"))
     links = links.unionByName(_verified(star, nodes, docs))
+    found = components(links)
     # The smallest of a band has been compared with all the others.
-    rest = members.filter(F.col("node") != F.col("low.node")).select("band", "node", "n_shingles")
-    left = _undecided(rest, components(links))
-    lead = left.groupBy("band").agg(
-        F.min_by(F.struct("node", "n_shingles", "label"), F.xxhash64("node", "band")).alias("lead")
-    )
-    star = (
-        left.join(lead, "band")
-        .filter(F.col("label") != F.col("lead.label"))
-        .filter(_sizes_fit("n_shingles", "lead.n_shingles"))
-        .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
-    )
-    links = links.unionByName(_verified(star, nodes, docs))
-    left = _undecided(left.join(lead, "band").filter("node <> lead.node"), components(links))
-    links = links.unionByName(written(_block_links(left, docs), "near-links"))
-    return rows, components(links)
+    more = _verified(_block_links(_undecided(members, found, nodes), docs), nodes, docs)
+    return rows, _merged(found, more)
+
+
+def _merged(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after further links (a, b)."""
+    label = found.toDF("id", "component")
+    ends = more.join(label.toDF("a", "label_a"), "a", "left").join(label.toDF("b", "label_b"), "b", "left")
+    ends = ends.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    joined = components(ends)
+    moved = joined.toDF("component", "to")
+    kept = label.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    # Ids that had no link before are components of their own by now.
+    return kept.unionByName(joined.join(label.select("id"), "id", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
