@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
+from tidemark.llm.joins import join_stored
 from tidemark.llm.words import (
     binary,
     chunks,
@@ -393,3 +394,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns kept, without those whose group has a smaller doc_id.
+
+    Rows that repeat a kept doc_id all stay, and so do rows without doc_id.
+    """
+    _, found = groups(docs)
+    name = "id"
+    while name in docs.columns:
+        name = f"_{name}"
+    gone = found.filter("component <> id").select(F.col("id").alias(name))
+    keyed = docs.withColumn(name, F.col("doc_id").cast("bigint"))
+    return join_stored(keyed, gone, [name], "left_anti", "near-gone").select(*docs.columns)
