@@ -298,7 +298,7 @@ def _undecided(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFr
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of these ids; a repeated id brings each of its texts."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string"))
-    return texts.join(ids.distinct(), "id", "left_semi")
+    return join_stored(texts, ids.distinct(), ["id"], "left_semi", "near-ids")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
