@@ -93,10 +93,20 @@ def test_name_clash(spark):
         ("t", None, None),
     ]
     # A matched row without the attribute keeps its own value; an unmatched row gets null.
+    kept = enrich.enrich(frame, table, on_conflict="override", protected=["source_topic"])
+    assert joined(kept, "source_topic", "source_topic_right") == [("t", "dim"), ("t", None), ("t", None)]
     replaced = enrich.enrich(frame, table, on_conflict="override")
     assert joined(replaced, "source_topic", "tier") == [("dim", "gold"), ("t", "free"), (None, None)]
 
 
+def test_clash_of_types(spark):
+    """A text attribute named like a number column counts as null where it is no number."""
+    table = dimension.replay(log(spark, up("u1", 1, partition="text"), up("u2", 1, partition="7")))
+    replaced = enrich.enrich(facts(spark, "u1", "u2", "u3"), table, on_conflict="override")
+    assert replaced.schema["partition"].dataType == facts(spark, "u1").schema["partition"].dataType
+    assert joined(replaced, "partition") == [(None,), (7,), (None,)]
+
+
 def test_as_of_equals_sequential_run(spark):
     rng = random.Random(3)
     steps, changes, seen = [], [], {}

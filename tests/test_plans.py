@@ -89,16 +89,33 @@ def answer(frame):
 def test_salted_join_equals_plain(spark, sides):
     rows, table = sides
     plain = rows.join(table, "k", "left")
-    salted = sizing.salted_left_join(rows, table, ["k"], ["i"], hot_keys=3, salts=4)
+    salted = sizing.salted_left_join(rows, table, ["k"], ["i"], target_rows=40)
     assert answer(salted) == answer(plain)
     assert salted.columns == plain.columns
 
 
-def test_salting_spreads_the_hot_key(spark, sides):
-    rows, table = sides
-    hot = rows.filter("k = 'hot'").withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(sizing.SALTS)))
-    sizes = [r["count"] for r in hot.groupBy("salt").count().collect()]
-    assert len(sizes) == sizing.SALTS and max(sizes) < 2 * hot.count() / sizing.SALTS
+def test_no_task_above_the_target(spark):
+    """30 % null keys, 30 % of one key: no (key, salt) that meets in a task is far above the target."""
+    rows = spark.range(20_000).selectExpr(
+        "case when id % 10 < 3 then null when id % 10 < 6 then 'hot' else concat('k', id % 997) end k",
+        "id i",
+        "id % 7 v",
+    )
+    table = spark.createDataFrame([("hot", 1), ("k5", 2)], "k string, x long")
+    target = 500
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        joined = sizing.salted_left_join(rows, table, ["k"], ["i"], target_rows=target)
+        joined = joined.hint("merge").withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in joined.groupBy("task").count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) <= 4 * target
+        plain = rows.join(table, "k", "left")
+        assert answer(joined) == answer(plain)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_size_decides(spark, sides):

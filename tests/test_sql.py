@@ -47,6 +47,11 @@ def test_accepted(spark, text):
         ("SELECT * FROM missing", "missing"),
         ("SELECT 1; DROP TABLE numbers", ""),
         ("SELECT 1) t; DROP TABLE numbers; --", ""),
+        ("SELECT reflect('java.lang.System', 'getProperty', 'user.dir') AS x", "'reflect' is not allowed"),
+        ("SELECT `java_method` /* */ ('java.lang.System', 'lineSeparator') AS x", "'java_method'"),
+        ("SELECT id, Try_Reflect\n('java.lang.System', 'gc') FROM numbers", "'try_reflect'"),
+        ("WITH t AS (SELECT * FROM text.`/etc/hostname`) SELECT * FROM t", ""),
+        ("SELECT * FROM numbers WHERE id IN (SELECT value FROM csv.`/etc/hostname`)", ""),
         ("WITH t AS (SELECT 1 AS id, 2 AS k) INSERT INTO numbers SELECT * FROM t", ""),
     ],
 )

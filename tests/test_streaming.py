@@ -15,7 +15,7 @@ from tidemark.operators import windows as w
 from tidemark.operators.corrections import latest
 from tidemark.schemas import RAW_MESSAGE
 from tidemark.sources import messages
-from tidemark.streaming.jobs import HEARTBEAT, Flow, window_stream
+from tidemark.streaming.jobs import HEARTBEAT, Flow
 
 SHAPE = Windows(60, 20)
 WIDE = Windows(60, 5)
@@ -151,27 +151,34 @@ def test_empty_first_batch(spark, tmp_path):
     assert flow.store.joined_events().count() == 1 and flow.store.window_results().count() == 0
 
 
-def test_window_stream_equals_batch(spark, tmp_path):
-    """Spark's own append mode over files: final windows equal the batch aggregate."""
-    rng = random.Random(1)
-    rows = [(at(rng.randrange(0, 2000)), float(rng.randrange(100))) for _ in range(500)]
-    frame = spark.createDataFrame(rows, "event_time timestamp, value double")
-    frame.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
-    run = (
-        window_stream(stream, SHAPE, ["value"], LATENESS)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", str(tmp_path / "out"))
-        .option("checkpointLocation", str(tmp_path / "check"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
-    mark = naive(max(r[0] for r in rows))
-    expected = [
-        r for r in w.aggregate(frame, SHAPE, ["value"]).collect()
-        if (mark - r.window_end).total_seconds() >= LATENESS
+def test_dropped_events_stay_out_of_open_windows(spark, tmp_path):
+    """An event behind the lateness does not count, though its window is still open."""
+    flow = flow_of(spark, tmp_path / "out", Windows(3600, 3600))
+    for number, (event, value) in enumerate([(0, 1.0), (300, 2.0), (100, 4.0), (4000, 8.0)]):
+        flow.process(raw_batch(spark, raw_rows([(event, event, value, "u1")])), number)
+    rows = flow.store.window_results().collect()
+    assert [(r.correction_version, r.event_count, json.loads(r.aggregations_json)["value_sum"]) for r in rows] == [
+        (0, 2, 3.0)
+    ]
+
+
+def test_lost_progress_is_an_error(spark, tmp_path):
+    """Only the first batch may start without the watermark of the one before."""
+    flow = flow_of(spark, tmp_path / "out")
+    flow.process(raw_batch(spark, raw_rows([(0, 1, 1.0, "u1")])), 0)
+    with pytest.raises(RuntimeError, match="progress"):
+        flow.process(raw_batch(spark, raw_rows([(9, 9, 1.0, "u1")])), 2)
+
+
+def test_odd_numbers_and_attributes_do_not_stop_the_flow(spark, tmp_path):
+    table = dimension.replay(log(spark, up("u1", 1, partition="text", event_time="soon", tier="gold")))
+    flow = Flow(spark, str(tmp_path / "out"), SHAPE, ["value"], LATENESS, dimension=lambda _: table)
+    rows = raw_rows([(0, 1, 1.0, "u1")])
+    for i, number in enumerate(["1e28", "12345678901234567890123456789", "-1e300", "1e400"]):
+        rows.append((f'{{"event_time":{number},"join_key":"u1"}}', "t", 0, 100 + i, at(1)))
+    flow.process(raw_batch(spark, rows), 0)
+    assert {r.error for r in flow.table("dead_letters").collect()} == {"Invalid 'event_time' field"}
+    stored = flow.store.joined_events().collect()
+    assert [(r.partition_id, json.loads(r.dimension_attrs_json)) for r in stored] == [
+        (0, {"event_time_right": "soon", "partition_right": "text", "tier": "gold"})
     ]
-    found = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert sorted(map(str, found)) == sorted(map(str, expected)) and found

@@ -64,9 +64,11 @@ def _plain_form(text: Column) -> Column:
 
 def epoch_timestamp(seconds: Column) -> Column:
     """Timestamp of a decimal number of seconds, null outside the years 1 to 9999."""
-    us = F.bround(seconds * SECOND, 0).cast("decimal(38,0)")
-    first, last = -62_135_596_800 * SECOND, 253_402_300_800 * SECOND - 1
-    return F.when(us.between(first, last), F.timestamp_micros(us.cast("bigint")))
+    first, end = -62_135_596_800, 253_402_300_800
+    # Bounded before it is multiplied, so that no number is too large for the product.
+    bounded = F.when((seconds >= first) & (seconds < end), seconds).cast("decimal(21,9)")
+    us = F.bround(bounded * SECOND, 0).cast("bigint")
+    return F.when(us < end * SECOND, F.timestamp_micros(us))
 
 
 @dataclass(frozen=True)
@@ -139,6 +141,6 @@ def window_bounds(identifier: Column) -> list[Column]:
     """Start and end timestamps of a window id."""
     parts = F.split(identifier, "_")
     return [
-        timestamp((F.get(parts, F.lit(i)).try_cast("double") * SECOND).cast("bigint")).alias(name)
+        timestamp((F.get(parts, F.lit(i)).try_cast("double") * SECOND).try_cast("bigint")).alias(name)
         for i, name in enumerate(("window_start", "window_end"))
     ]

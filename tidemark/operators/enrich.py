@@ -25,18 +25,21 @@ def attribute_keys(table: DataFrame) -> DataFrame:
 
 
 def attribute_types(table: DataFrame) -> dict[str, str]:
-    """Column type of each attribute. One row per distinct attribute name reaches the driver."""
-    names = [row.attribute for row in attribute_keys(table).collect()]
-    if not names:
-        return {}
-    body = payload.body("attributes_json")
-    found = table.agg(
-        *[
-            F.schema_of_variant_agg(payload.field(body, name)).alias(f"t{i}")
-            for i, name in enumerate(names)
-        ]
-    ).first()
-    return {name: _column_type(found[i]) for i, name in enumerate(names)}
+    """Column type of each attribute, by name.
+
+    One grouped aggregate over (name, value) pairs; only the (name, type) pairs that become columns
+    reach the driver.
+    """
+    fields = table.sparkSession.tvf.variant_explode(F.col("_body").outer()).select("key", "value")
+    found = (
+        table.filter(payload.is_object_text("attributes_json"))
+        .select(payload.body("attributes_json").alias("_body"))
+        .lateralJoin(fields)
+        .filter(F.col("key").isNotNull())
+        .groupBy("key")
+        .agg(F.schema_of_variant_agg("value").alias("kind"))
+    )
+    return {row["key"]: _column_type(row["kind"]) for row in found.orderBy("key").collect()}
 
 
 def _column_type(json_type: str | None) -> str:
@@ -74,12 +77,15 @@ def enrich(
     on_conflict: str = "suffix",
     spread: Sequence[str] = ARRIVAL_ORDER,
     store_table: bool = True,
+    protected: Sequence[str] = (),
 ) -> DataFrame:
     """Facts left-joined with the flattened attributes of the active dimension rows.
 
     An attribute named like a fact column is added as ``<name>_right`` (``on_conflict="suffix"``)
     or replaces the fact value (``"override"``). Under ``"override"`` a matched row keeps its own
-    value where its dimension row lacks the attribute, and an unmatched row gets null.
+    value where its dimension row lacks the attribute, and an unmatched row gets null; an attribute that
+    does not fit the fact column's type counts as null. Columns in ``protected`` are never replaced:
+    attributes of their names get the suffix.
     """
     if on_conflict not in ("suffix", "override"):
         raise ValueError("on_conflict must be 'suffix' or 'override'")
@@ -96,26 +102,26 @@ def enrich(
         F.col("dimension_key").alias("join_key"), attributes, names
     )
     joined = left_join(facts, flat, ["join_key"], spread=spread, store_table=store_table)
-    return joined.select(*_merged_columns(facts, types, on_conflict))
+    return joined.select(*_merged_columns(facts, types, on_conflict, protected))
 
 
 def _merged_columns(
-    facts: DataFrame, types: Mapping[str, str], on_conflict: str
+    facts: DataFrame, types: Mapping[str, str], on_conflict: str, protected: Sequence[str] = ()
 ) -> list[Column]:
     taken = set(facts.columns)
     kept = []
     for name in facts.columns:
-        if name in types and on_conflict == "override":
+        if name in types and on_conflict == "override" and name not in protected:
             own = F.when(
                 F.col("_attributes").isNotNull() & ~F.array_contains("_names", name), F.col(name)
-            ).otherwise(F.col("_attributes").getField(name).cast(facts.schema[name].dataType))
+            ).otherwise(F.col("_attributes").getField(name).try_cast(facts.schema[name].dataType))
             kept.append(own.alias(name))
         else:
             kept.append(F.col(name))
     for name in types:
         if name not in taken:
             kept.append(F.col("_attributes").getField(name).alias(name))
-        elif on_conflict == "suffix":
+        elif on_conflict == "suffix" or name in protected:
             kept.append(F.col("_attributes").getField(name).alias(f"{name}_right"))
     return kept
 

@@ -1,7 +1,8 @@
 """Read-only SQL over registered views.
 
 Only one SELECT or WITH statement passes. The text is first analysed inside a subquery, where
-Spark's grammar admits no command and no second statement, and only then run as written.
+Spark's grammar admits no command and no second statement, and only then run as written. Files cannot be
+named as relations, and the functions that call into the JVM are refused.
 """
 
 from __future__ import annotations
@@ -15,8 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Statements named in the refusal.
+ON_FILES = "spark.sql.runSQLOnFiles"
 WRITES = ("DROP", "ALTER", "CREATE", "TRUNCATE", "DELETE", "UPDATE", "INSERT")
 ONLY_SELECT = "Only SELECT queries are permitted."
+# Functions that call any static method of the JVM.
+REFLECTIVE = ("reflect", "java_method", "try_reflect")
+_GAP = r"`?(?:\s|--[^\n]*\n|/\*.*?\*/)*\("
+# Also matched inside a text literal: better one refusal too many.
+_REFLECTIVE = re.compile(rf"\b({'|'.join(REFLECTIVE)}){_GAP}", re.DOTALL | re.IGNORECASE)
 _COMMENTS = re.compile(r"\A(?:\s+|--[^\n]*(?:\n|\Z)|/\*.*?\*/)+", re.DOTALL)
 _PLACE = re.compile(r"line (\d+),? pos(?:ition)? (\d+)")
 
@@ -41,6 +48,7 @@ def run(spark: SparkSession, text: str, args: Sequence | None = None) -> DataFra
     """The result of a read-only statement; ``args`` fill its ``?`` marks. Nothing is collected."""
     text = text.strip().removesuffix(";")
     _check_first_word(text)
+    _check_functions(text)
     _analyse(spark, f"SELECT * FROM (\n{text}\n)", args, shift=1)
     return _analyse(spark, text, args)
 
@@ -63,7 +71,15 @@ def _check_first_word(text: str) -> None:
         raise QueryRefused(ONLY_SELECT)
 
 
+def _check_functions(text: str) -> None:
+    found = _REFLECTIVE.search(text)
+    if found:
+        raise QueryRefused(f"Function '{found[1].lower()}' is not allowed.")
+
+
 def _analyse(spark: SparkSession, text: str, args: Sequence | None, shift: int = 0) -> DataFrame:
+    before = spark.conf.get(ON_FILES)
+    spark.conf.set(ON_FILES, "false")
     try:
         return spark.sql(text, args=list(args)) if args else spark.sql(text)
     except (ParseException, AnalysisException, PySparkException) as error:
@@ -71,6 +87,8 @@ def _analyse(spark: SparkSession, text: str, args: Sequence | None, shift: int =
         place = _PLACE.search(message)
         line, column = (int(place[1]) - shift, int(place[2])) if place else (1, 0)
         raise QueryRefused(message.split("\n")[0], max(line, 1), column) from error
+    finally:
+        spark.conf.set(ON_FILES, before)
 
 
 def limited(frame: DataFrame, max_rows: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import payload
@@ -73,16 +73,28 @@ def conforms(body: Column) -> Column:
 
 
 def field_profile(messages: DataFrame, text: str = "value") -> DataFrame:
-    """Per top-level field and JSON type: the messages that carry it and their share."""
-    bodies = messages.select(payload.body(text).alias("_body"))
-    fields = bodies.lateralJoin(
-        messages.sparkSession.tvf.variant_explode(F.col("_body").outer()).select("key", "value")
-    ).filter(F.col("key").isNotNull())
-    objects = bodies.filter(payload.kind(F.col("_body")) == "OBJECT").agg(F.count("*").alias("n"))
+    """Per top-level field and JSON type: the messages that carry it and their share.
+
+    Each message is parsed once: the first field of an object, or the row of an empty one, counts it.
+    """
+    fields = messages.sparkSession.tvf.variant_explode(F.col("_body").outer())
+    found = (
+        messages.filter(payload.is_object_text(text))
+        .select(payload.body(text).alias("_body"))
+        .filter(F.col("_body").isNotNull())
+        .lateralJoin(fields.select("pos", "key", "value"))
+        .groupBy(F.col("key").alias("field"), payload.kind(F.col("value")).alias("json_type"))
+        .agg(
+            F.count("*").alias("n_messages"),
+            F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("_objects"),
+        )
+    )
+    # One row for each field and type: few enough for one window.
+    objects = F.sum("_objects").over(Window.partitionBy(F.lit(0)))
     return (
-        fields.groupBy(F.col("key").alias("field"), payload.kind(F.col("value")).alias("json_type"))
-        .agg(F.count("*").alias("n_messages"))
-        .withColumn("share", F.col("n_messages") / objects.scalar())
+        found.withColumn("share", F.col("n_messages") / objects)
+        .filter(F.col("field").isNotNull())
+        .drop("_objects")
     )
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from tidemark.plans.durable import written
 
 BROADCAST_BYTES = 32 * 1024 * 1024
-HOT_KEYS = 256
-SALTS = 32
+# Rows of one key that a task of a shuffle join is given, about.
+TARGET_ROWS = 1_000_000
 
 
 def measured_bytes(frame: DataFrame) -> int:
@@ -40,9 +40,9 @@ def left_join(
 
     The table is written once, so that measuring it and joining it do not compute it twice; turn
     ``store_table`` off for one that is cheap to read again. Below
-    ``broadcast_bytes`` it is broadcast. A larger one is joined by shuffle, with the heaviest keys
-    of ``rows`` salted: their rows are spread over ``SALTS`` tasks by the ``spread`` columns (which
-    must vary within a key) and their one table row is repeated per salt.
+    ``broadcast_bytes`` it is broadcast. A larger one is joined by shuffle, with the heavy keys of
+    ``rows`` salted: their rows are dealt out by the ``spread`` columns (which must vary within a key) and
+    their one table row is repeated per salt.
     """
     if store_table:
         table = written(table, "joined-table")
@@ -56,33 +56,42 @@ def salted_left_join(
     table: DataFrame,
     on: Sequence[str],
     spread: Sequence[str],
-    hot_keys: int = HOT_KEYS,
-    salts: int = SALTS,
+    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
+    """Left join by shuffle in which no key brings much more than ``target_rows`` rows to a task.
+
+    Every key with more rows is dealt over as many salts as it holds targets, and its row of the table
+    is repeated for each. Null keys match nothing; many of them are dealt out likewise.
+    """
     on = list(on)
-    # The heaviest keys, a fixed number of them: every other key holds at most 1/hot_keys of the rows.
-    hot = (
-        rows.filter(F.col(on[0]).isNotNull())
-        .groupBy(*on)
+    # The count reads the key columns only. There are no more hot keys than rows / target_rows.
+    hot = written(
+        rows.groupBy(*on)
         .count()
-        .orderBy(F.desc("count"), *on)
-        .limit(hot_keys)
-        .select(*on, F.lit(True).alias("_hot"))
+        .filter(F.col("count") > target_rows)
+        .select(*on, F.ceil(F.col("count") / target_rows).cast("int").alias("_salts")),
+        "hot-keys",
     )
+    if measured_bytes(hot) <= BROADCAST_BYTES:
+        hot = F.broadcast(hot)
+    names = {name: f"_hot_{name}" for name in on}
+    same = F.lit(True)
+    for name, other in names.items():
+        same = same & F.col(name).eqNullSafe(F.col(other))
     salted_rows = (
-        rows.join(F.broadcast(hot), on, "left")
+        rows.join(hot.withColumnsRenamed(names), same, "left")
         .withColumn(
             "_salt",
-            F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(0).cast("int"),
+            F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("_salts")))
+            .otherwise(0)
+            .cast("int"),
         )
-        .drop("_hot")
+        .drop("_salts", *names.values())
     )
+    last = F.coalesce(F.col("_salts"), F.lit(1)) - 1
     salted_table = (
-        table.join(F.broadcast(hot), on, "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0))),
-        )
-        .drop("_hot")
+        table.join(hot, on, "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+        .drop("_salts")
     )
     return salted_rows.join(salted_table, [*on, "_salt"], "left").drop("_salt")

@@ -11,7 +11,7 @@ wins when the table is read, and ``compact_windows`` folds the copies away.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +49,10 @@ class Store:
 
     def window_results(self) -> DataFrame:
         """One row per (window, correction version): the last one written."""
+        return self.dated_results().select(*RESULT_COLUMNS)
+
+    def dated_results(self) -> DataFrame:
+        """Window results with ``window_date``; a filter on it reads only those dates."""
         return _last_written(self.window_writes())
 
     def _read(self, path: str, layout: T.StructType, day: str) -> DataFrame:
@@ -61,9 +65,9 @@ class Store:
             return self.spark.createDataFrame([], schema)
 
     def register(self) -> None:
-        """Make both tables known to SQL under their names."""
+        """Make both tables known to SQL under their names, with the date columns that prune them."""
         self.joined_events().createOrReplaceTempView("joined_events")
-        self.window_results().createOrReplaceTempView("window_results")
+        self.dated_results().createOrReplaceTempView("window_results")
 
     # -- writing -------------------------------------------------------------------------------
 
@@ -155,6 +159,8 @@ class Store:
 
     def _drop(self, rows: DataFrame, path: str, day: str, column: str, cutoff: datetime) -> int:
         old = F.col(column) < F.lit(cutoff)
+        # A row that old can only lie in a folder dated at or before the cutoff.
+        rows = rows.filter(F.col(day) <= F.lit(cutoff.date()))
         # One row per stored folder reaches the driver; the rows stay on the executors.
         folders = (
             rows.groupBy(day, "batch_id")
@@ -190,9 +196,17 @@ class Store:
         """The newest results by emission; several versions of one window may appear."""
         return newest_results(self.window_results(), limit)
 
-    def windows_at(self, instant: datetime) -> DataFrame:
-        """Newest correction of each window that contains the instant."""
-        return windows_at(self.window_results(), instant)
+    def windows_at(self, instant: datetime, longest_seconds: int | None = None) -> DataFrame:
+        """Newest correction of each window that contains the instant.
+
+        No date after the instant is read, and none before the start of the longest window that
+        can contain it, where ``longest_seconds`` tells.
+        """
+        rows = self.dated_results().filter(F.col("window_date") <= F.lit(instant.date()))
+        if longest_seconds is not None:
+            first = (instant - timedelta(seconds=longest_seconds)).date()
+            rows = rows.filter(F.col("window_date") >= F.lit(first))
+        return windows_at(rows.select(*RESULT_COLUMNS), instant)
 
     def events_between(
         self, start: datetime, end: datetime, event_ids: Sequence[str] | None = None
@@ -211,11 +225,15 @@ def _payload() -> list[str]:
 
 
 def _last_written(writes: DataFrame) -> DataFrame:
+    # A window's id stands for its bounds and date; grouping by them too lets filters on them reach
+    # the scan.
+    bounds = ["window_start", "window_end"]
+    rest = [name for name in _payload() if name not in bounds]
     return (
-        writes.groupBy("window_id", "correction_version")
-        .agg(F.max_by(F.struct(*_payload()), "batch_id").alias("_row"))
-        .select("window_id", "correction_version", "_row.*")
-        .select(*RESULT_COLUMNS)
+        writes.groupBy("window_date", *bounds, "window_id", "correction_version")
+        .agg(F.max_by(F.struct(*rest), "batch_id").alias("_row"))
+        .select("window_id", *bounds, "correction_version", "_row.*", "window_date")
+        .select(*RESULT_COLUMNS, "window_date")
     )
 
 

@@ -1,8 +1,9 @@
 """The live form of the operators.
 
-``window_stream`` is Spark's own watermark and window aggregation in append mode. ``Flow`` is the
-whole job: decode, dead letters, enrichment, window results and late corrections, all from one
-``foreachBatch``. Its state is two tables it writes itself (pane partials and progress), each
+``Flow`` is the whole job: decode, dead letters, enrichment, window results and late corrections, all
+from one ``foreachBatch``. Spark's own watermark drops only events whose windows are all closed and so
+counts late events into open windows; here events behind the watermark by more than the lateness are
+kept out of them. Its state is two tables it writes itself (pane partials and progress), each
 batch in its own folder: a batch that is run again reads only what earlier batches wrote and
 overwrites what its first attempt left, so results do not double.
 
@@ -32,6 +33,7 @@ from tidemark.operators.windows import (
     window_partials,
 )
 from tidemark.plans.durable import exists
+from tidemark.schemas import FACT_COLUMNS
 from tidemark.sources.store import Store
 
 HEARTBEAT = "_heartbeat"
@@ -48,21 +50,6 @@ PROGRESS = T.StructType(
 )
 
 
-def window_stream(
-    events: DataFrame, windows: Windows, fields: Sequence[str], lateness_seconds: float = 10.0
-) -> DataFrame:
-    """First results of closed windows, as a streaming frame for append mode."""
-    window = F.window(
-        "event_time", f"{windows.size_seconds} seconds", f"{windows.slide_seconds} seconds"
-    )
-    return (
-        events.withWatermark("event_time", f"{round(lateness_seconds * SECOND)} microseconds")
-        .groupBy(window.alias("_window"))
-        .agg(F.count("*").alias("_n"), *field_partials(fields))
-        .select(*windows.bounds(micros("_window.start")), *finished(fields))
-    )
-
-
 def heartbeats(spark: SparkSession, per_second: int = 1) -> DataFrame:
     """Wall-clock rows to union with a raw stream, so that silence too produces batches."""
     beats = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
@@ -81,7 +68,8 @@ class Flow:
 
     ``dimension`` is called once per batch, so updates of the dimension reach the next batch; let it
     read a stored table. Pass ``attribute_types`` to spare each batch the search for them.
-    ``fields`` are the numeric payload fields to aggregate.
+    ``fields`` are the numeric payload fields to aggregate. The stored tables are laid out by the columns
+    of the event envelope, so an attribute of such a name is stored with the suffix ``_right``.
     """
 
     spark: SparkSession
@@ -178,6 +166,7 @@ class Flow:
             self.attribute_types,
             on_conflict="override",
             store_table=False,
+            protected=FACT_COLUMNS,
         )
 
     # -- state ---------------------------------------------------------------------------------
@@ -188,8 +177,10 @@ class Flow:
     def _standing(self, batch_id: int) -> tuple[int | None, int | None]:
         """Watermark and last arrival at the end of the batch before."""
         path = f"{self.root}/progress/batch_id={batch_id - 1}"
-        if not exists(self.spark, path):
+        if batch_id == 0:
             return None, None
+        if not exists(self.spark, path):
+            raise RuntimeError(f"{path} is missing: without it the watermark would start anew")
         row = self.spark.read.schema(PROGRESS).parquet(path).first()
         return row.watermark_us, row.last_arrival_us
 

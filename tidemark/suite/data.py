@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.payload import with_numbers
 from tidemark.functions.times import SECOND, Windows
-from tidemark.operators import dimension
+from tidemark.operators import dimension, enrich
 from tidemark.operators.corrections import WindowReplay
 from tidemark.schemas import ARRIVAL_ORDER, FACT_COLUMNS
 from tidemark.suite.registry import once
@@ -97,6 +97,12 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load.unionByName(updates)
 
 
+@once
+def attribute_types(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Every attribute that the dimension log names, with its type."""
+    return enrich.attribute_types(changes(spark, sf_dir))
+
+
 def dimension_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dimension.replay(changes(spark, sf_dir))
 

@@ -13,15 +13,6 @@ from tidemark.suite import data
 from tidemark.suite.data import CHANGES, DIM, EV, LOADED_AT
 from tidemark.suite.registry import query
 
-TYPES = {
-    "name": "string",
-    "order_key": "bigint",
-    "price": "double",
-    "priority": "string",
-    "segment": "string",
-}
-
-
 def _shown(table: DataFrame) -> DataFrame:
     """Dimension rows with their attributes as plain columns."""
     types = {"name": "string", "order_key": "bigint", "price": "double"}
@@ -170,25 +161,27 @@ def flatten_attributes(spark, sf_dir):
 
 @query(
     "flatten_mixed_attributes",
-    f"WITH {DIM} SELECT key AS dimension_key, name, order_key, price, priority, segment FROM dim",
+    f"WITH {DIM} SELECT key AS dimension_key, balance, name, order_key, price, priority, segment FROM dim",
 )
 def flatten_mixed_attributes(spark, sf_dir):
     """Rows of two kinds, each lacking the other's attributes."""
-    return enrich.flatten_attributes(data.dimension_table(spark, sf_dir), TYPES)
+    types = data.attribute_types(spark, sf_dir)
+    return enrich.flatten_attributes(data.dimension_table(spark, sf_dir), types)
 
 
 JOINED = f"""WITH {DIM}, {EV}
 SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS join_key,
-       us AS event_time_us, name, order_key, price, priority, segment
+       us AS event_time_us, balance, name, order_key, price, priority, segment
 FROM ev LEFT JOIN dim ON dim.key = CAST(user_id AS VARCHAR) AND dim.is_active"""
 
 
 @query("stream_table_join", JOINED)
 def stream_table_join(spark, sf_dir):
     table = data.dimension_table(spark, sf_dir)
-    joined = enrich.enrich(data.facts(spark, sf_dir), table, TYPES)
+    types = data.attribute_types(spark, sf_dir)
+    joined = enrich.enrich(data.facts(spark, sf_dir), table, types)
     return joined.select(
-        "event_id", "join_key", F.unix_micros("event_time").alias("event_time_us"), *TYPES
+        "event_id", "join_key", F.unix_micros("event_time").alias("event_time_us"), *types
     )
 
 
@@ -196,14 +189,18 @@ def stream_table_join(spark, sf_dir):
     "enrich_latest",
     f"""WITH {DIM}, {EV}
 SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS join_key, order_key,
-       CASE WHEN dim.key IS NULL THEN NULL WHEN dim.seq < 0 THEN ev.value ELSE dim.price END AS price
+       CASE WHEN dim.key IS NULL THEN NULL WHEN dim.seq < 0 THEN ev.value ELSE dim.price END AS price,
+       CASE WHEN dim.seq < 0 THEN CAST(ev.k AS DOUBLE) END AS priority, balance
 FROM ev LEFT JOIN dim ON dim.key = CAST(user_id AS VARCHAR) AND dim.is_active""",
 )
 def enrich_latest(spark, sf_dir):
     facts = data.measured_facts(spark, sf_dir).withColumnRenamed("value", "price")
     table = data.dimension_table(spark, sf_dir)
-    joined = enrich.enrich(facts, table, TYPES, on_conflict="override")
-    return joined.select("event_id", "join_key", "order_key", "price")
+    # A text attribute named like a numeric fact column: its value cannot be taken over.
+    facts = facts.withColumn("priority", F.col("k"))
+    types = data.attribute_types(spark, sf_dir)
+    joined = enrich.enrich(facts, table, types, on_conflict="override")
+    return joined.select("event_id", "join_key", "order_key", "price", "priority", "balance")
 
 
 @query(

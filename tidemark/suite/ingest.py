@@ -38,6 +38,8 @@ def raw_messages(spark, sf_dir: str) -> DataFrame:
         F.when(kind == 17, "")
         .when(kind == 19, '"event_time":"not-a-time",')
         .when(kind == 41, '"event_time":true,')
+        .when(kind == 1, F.concat(F.lit('"event_time":1e'), (F.lit(20) + F.col("event_id") % 300).cast("string"), F.lit(",")))
+        .when(kind == 3, F.concat(F.lit('"event_time":'), F.rpad((F.col("event_id") + 1).cast("string"), 29, "0"), F.lit(",")))
         .when(kind == 2, quoted(F.replace(iso, F.lit("T"), F.lit(" "))))
         .when(kind == 4, quoted(iso))
         .when(kind == 6, quoted(F.concat(two_hours_on, F.lit("+02:00"))))
@@ -84,6 +86,8 @@ raw AS (
       || CASE WHEN kind = 17 THEN ''
               WHEN kind = 19 THEN '"event_time":"not-a-time",'
               WHEN kind = 41 THEN '"event_time":true,'
+              WHEN kind = 1 THEN '"event_time":1e' || (20 + event_id % 300) || ','
+              WHEN kind = 3 THEN '"event_time":' || rpad(CAST(event_id + 1 AS VARCHAR), 29, '0') || ','
               WHEN kind = 2 THEN '"event_time":"' || replace(iso, 'T', ' ') || '",'
               WHEN kind = 4 THEN '"event_time":"' || iso || '",'
               WHEN kind = 6 THEN '"event_time":"'
@@ -109,7 +113,7 @@ ERROR = """CASE
     WHEN kind IN (11, 13, 29) OR (kind = 43 AND user_id = 0) THEN 'Missing or empty ''join_key'' field'
     WHEN kind = 47 THEN 'Field ''join_key'' is not a scalar'
     WHEN kind = 17 THEN 'Missing ''event_time'' field'
-    WHEN kind IN (19, 41) THEN 'Invalid ''event_time'' field' END"""
+    WHEN kind IN (1, 3, 19, 41) THEN 'Invalid ''event_time'' field' END"""
 
 
 @query(
@@ -141,7 +145,7 @@ def dead_letter(spark, sf_dir):
     "event_time_norm",
     f"""WITH {RAW}
 SELECT part AS "partition", off AS "offset",
-       CASE WHEN kind IN (17, 19, 41) THEN NULL ELSE us END AS event_time_us
+       CASE WHEN kind IN (1, 3, 17, 19, 41) THEN NULL ELSE us END AS event_time_us
 FROM raw WHERE kind NOT IN (7, 23)""",
 )
 def event_time_norm(spark, sf_dir):
@@ -276,6 +280,7 @@ def schema_drift(spark, sf_dir):
 f AS (
   SELECT 'event_id' AS field, 'STRING' AS json_type FROM o WHERE kind <> 37 UNION ALL
   SELECT 'event_time', CASE WHEN kind = 41 THEN 'BOOLEAN'
+                            WHEN kind = 1 THEN 'DOUBLE'
                             WHEN kind % 2 = 0 OR kind = 19 THEN 'STRING'
                             WHEN us % 1000000 = 0 THEN 'DECIMAL' ELSE 'DECIMAL' END
   FROM o WHERE kind <> 17 UNION ALL

@@ -10,7 +10,7 @@ from tidemark.plans.durable import scratch_path, written
 from tidemark.schemas import RAW_MESSAGE
 from tidemark.sources import messages
 from tidemark.sources.store import metrics_of
-from tidemark.streaming.jobs import Flow, window_stream
+from tidemark.streaming.jobs import Flow
 from tidemark.suite import data
 from tidemark.suite.data import DIM, EV, FIELDS, HOURLY, LATENESS, spread_sql, window_id_sql
 from tidemark.suite.ingest import ERROR, RAW, raw_messages
@@ -24,36 +24,6 @@ STRETCH = 10 * 86_400 * 1_000_000
 ORIGIN_SQL = "epoch_us(TIMESTAMP '2024-01-01')"
 
 
-@query(
-    "stream_windows",
-    f"""WITH {EV}, g AS (SELECT s, count(*) AS n, sum(value) AS v FROM {spread_sql('ev', HOURLY)} GROUP BY s)
-SELECT {ID} AS window_id, n AS event_count, {snap_sql('v', 2)} AS value_sum FROM g
-WHERE s + {SIZE} <= (SELECT max(us) FROM ev) - {L}""",
-)
-def stream_windows(spark, sf_dir):
-    source = data.table(spark, sf_dir, "events")
-    stream = (
-        spark.readStream.schema(source.schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-        .select(F.col("ts").cast("timestamp").alias("event_time"), "value")
-    )
-    root = scratch_path(spark, "stream")
-    run = (
-        window_stream(stream, HOURLY, ["value"], LATENESS)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{root}/out")
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
-    return spark.read.parquet(f"{root}/out").select(
-        "window_id", "event_count", snap("value_sum", 2).alias("value_sum")
-    )
-
-
 @once
 def finished_flow(spark, sf_dir: str) -> Flow:
     """The whole flow over the raw messages, started again after each stretch has landed."""
@@ -67,12 +37,13 @@ def finished_flow(spark, sf_dir: str) -> Flow:
         FIELDS,
         LATENESS,
         dimension=lambda _: table,
-        attribute_types={"name": "string", "order_key": "bigint"},
+        attribute_types=data.attribute_types(spark, sf_dir),
     )
     raw = raw_messages(spark, sf_dir).to(RAW_MESSAGE)
     origin = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
     stretch = F.floor((F.unix_micros("arrived_at") - origin) / STRETCH)
-    for number in range(4):
+    bounds = raw.agg(F.min(stretch).alias("first"), F.max(stretch).alias("last")).first()
+    for number in range(bounds["first"] or 0, (-1 if bounds["last"] is None else bounds["last"]) + 1):
         raw.filter(stretch == number).write.mode("append").parquet(land)
         flow.start(messages.landed(spark, land, streaming=True)).awaitTermination()
     return flow
@@ -95,6 +66,20 @@ corr AS (SELECT late.s, row_number() OVER w AS version, v0.n + sum(late.n) OVER
 flow_results AS (SELECT s, 0 AS version, n, v FROM v0 UNION ALL SELECT s, version, n, v FROM corr)"""
 
 
+@query(
+    "stream_windows",
+    f"""WITH {FLOW} SELECT {ID} AS window_id, CAST(n AS INTEGER) AS event_count,
+       {snap_sql('v', 2)} AS value_sum FROM v0""",
+)
+def stream_windows(spark, sf_dir):
+    """First results of closed windows, fed in order of arrival, events behind the lateness left out."""
+    results = finished_flow(spark, sf_dir).store.window_results().filter("correction_version = 0")
+    rows = metrics_of(results).filter("metric = 'value_sum'")
+    return rows.select(
+        "window_id", "event_count", snap("metric_value", 2).alias("value_sum")
+    )
+
+
 @query(
     "stream_corrections",
     f"""WITH {FLOW} SELECT {ID} AS window_id, CAST(version AS INTEGER) AS correction_version,
