@@ -408,3 +408,28 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     gone = found.filter("component <> id").select(F.col("id").alias(name))
     keyed = docs.withColumn(name, F.col("doc_id").cast("bigint"))
     return join_stored(keyed, gone, [name], "left_anti", "near-gone").select(*docs.columns)
+
+
+SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+    lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) >= 5 THEN list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (
+  SELECT one.doc_id AS a, two.doc_id AS b, count(*) AS c
+  FROM s one JOIN s two ON one.x = two.x AND one.doc_id <> two.doc_id GROUP BY a, b),
+link AS (
+  SELECT a, b FROM pair JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * c >= {PERCENT} * (na.n + nb.n - c)),
+reach(id, top) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT link.b, reach.top FROM reach JOIN link ON link.a = reach.id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, low AS component_id, low = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(top) AS low FROM reach GROUP BY id) r ON r.id = d.doc_id
+"""

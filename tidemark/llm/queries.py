@@ -10,13 +10,13 @@ from tidemark.llm import (
     fingerprints,
     grading,
     language,
+    near_dedup,
     packing,
     quality_rules,
     sharding,
     substring_dedup,
     warc,
 )
-from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -52,12 +52,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(documents(spark, sf_dir))
 
 
-@query("op6_near_dedup")
+@query("op6_near_dedup", near_dedup.SQL)
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
-@query("op7_warc")
+@query("op7_warc", warc.SQL)
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 

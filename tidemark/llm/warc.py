@@ -449,3 +449,19 @@ def archived(pages: DataFrame, path: str | None = None) -> DataFrame:
 
 def _page_number(column: str) -> F.Column:
     return F.expr(f"try_cast(substring({column}, {len('urn:x-page:') + 1}) as bigint)")
+
+
+SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex
+  FROM pages),
+f AS (SELECT hex, min(page_id) AS first FROM p GROUP BY hex)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    ((16 * (strpos('0123456789abcdef', substr(hex, 5 * i // 4 + 1, 1)) - 1)
+      + strpos('0123456789abcdef', substr(hex, 5 * i // 4 + 2, 1)) - 1)
+     // CAST(2 ** (3 - 5 * i % 4) AS BIGINT)) % 32 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (hex)
+"""
