@@ -122,3 +122,36 @@ def test_date_of_event_decides_folder(spark, store):
     days = {r.event_date.isoformat() for r in store.joined_events().collect()}
     assert days == {"2024-01-01", "2024-01-02"}
     assert store.joined_events().filter(F.col("event_date") == "2024-01-02").count() == 1
+
+
+def scans(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [x.split("]")[0] for x in plan.split("PartitionFilters: [")[1:]], plan
+
+
+def test_only_needed_dates_are_read(spark, store):
+    for day in range(5):
+        store.add_windows(results(spark, (f"w{day}", day * DAY, 0, 1)), day)
+        store.add_events(joined(spark, day * DAY), day)
+    found = store.windows_at(at(2 * DAY + 10), 300)
+    filters, plan = scans(found)
+    assert [r.window_id for r in found.collect()] == ["w2"]
+    assert all("window_date" in x for x in filters) and "window_start" in plan.split("PushedFilters")[1]
+    store.register()
+    day = at(3 * DAY).date()
+    for text in (
+        f"SELECT event_count FROM window_results WHERE window_date = DATE '{day}'",
+        f"SELECT event_id FROM joined_events WHERE event_date = DATE '{day}'",
+    ):
+        rows = spark.sql(text)
+        assert rows.count() == 1
+        assert all("date" in x for x in scans(rows)[0])
+
+
+def test_retention_drops_whole_dates(spark, store):
+    for batch, day in enumerate((0, 0, 1, 2, 2)):
+        store.add_events(joined(spark, day * DAY, day * DAY + 600), batch)
+    assert store.drop_before(at(2 * DAY + 300)) == 8
+    left = [d for d in os.listdir(store.events_path) if d.startswith("event_date")]
+    assert left == [f"event_date={at(2 * DAY).date()}"]
+    assert store.joined_events().count() == 2

@@ -49,6 +49,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return file_system.exists(location)
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob pattern, from a listing alone."""
+    file_system, location = _file_system(spark, pattern)
+    return [str(status.getPath()) for status in file_system.globStatus(location) or []]
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     """Delete a path this library wrote, on whatever file system holds it."""
     file_system, location = _file_system(spark, path)

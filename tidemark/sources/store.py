@@ -10,6 +10,7 @@ wins when the table is read, and ``compact_windows`` folds the copies away.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta
 
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from tidemark.functions.times import Windows, micros, timestamp
 from tidemark.operators.corrections import latest
 from tidemark.operators.windows import unpacked
-from tidemark.plans.durable import remove, written
+from tidemark.plans.durable import folders, remove, written
 from tidemark.plans.sizing import left_join
 from tidemark.schemas import FACT_COLUMNS, JOINED_EVENTS, WINDOW_RESULTS
 
@@ -107,8 +108,10 @@ class Store:
         """
         writes = self.window_writes()
         batches: dict[date, list[int]] = {}
-        for row in writes.select("window_date", "batch_id").distinct().collect():
-            batches.setdefault(row.window_date, []).append(row.batch_id)
+        for name in folders(self.spark, f"{self.windows_path}/window_date=*/batch_id=*"):
+            found = re.search(r"window_date=(\d{4}-\d\d-\d\d)/batch_id=(\d+)$", name)
+            if found:
+                batches.setdefault(date.fromisoformat(found[1]), []).append(int(found[2]))
         newest = {day: max(found) for day, found in batches.items() if len(found) > 1}
         if not newest:
             return
@@ -161,16 +164,15 @@ class Store:
         old = F.col(column) < F.lit(cutoff)
         # A row that old can only lie in a folder dated at or before the cutoff.
         rows = rows.filter(F.col(day) <= F.lit(cutoff.date()))
-        # One row per stored folder reaches the driver; the rows stay on the executors.
-        folders = (
-            rows.groupBy(day, "batch_id")
-            .agg(F.count("*").alias("n"), F.count_if(old).alias("n_old"))
-            .filter("n_old > 0")
-            .collect()
-        )
-        cut = sorted({row[day] for row in folders if row.n_old < row.n})
+        counts = F.count("*").alias("n"), F.count_if(old).alias("n_old")
+        # One row per stored date that has old rows reaches the driver.
+        days = rows.groupBy(day).agg(*counts).filter("n_old > 0").collect()
+        cut = sorted(row[day] for row in days if row.n_old < row.n)
         if cut:
-            kept = written(rows.filter(F.col(day).isin(cut) & ~old), "retained")
+            # Only on the dates that the cutoff cuts, batch folders matter one by one.
+            here = rows.filter(F.col(day).isin(cut))
+            gone = here.groupBy(day, "batch_id").agg(*counts).filter("n_old = n").collect()
+            kept = written(here.filter(~old), "retained")
             (
                 kept.hint("rebalance", day)
                 .write.mode("overwrite")
@@ -178,10 +180,12 @@ class Store:
                 .partitionBy(day, "batch_id")
                 .parquet(path)
             )
-        for row in folders:
-            if row.n_old == row.n:
+            for row in gone:
                 remove(self.spark, f"{path}/{day}={row[day]}/batch_id={row.batch_id}")
-        return sum(row.n_old for row in folders)
+        for row in days:
+            if row.n_old == row.n:
+                remove(self.spark, f"{path}/{day}={row[day]}")
+        return sum(row.n_old for row in days)
 
     def stats(self) -> DataFrame:
         events = self.joined_events().agg(F.count("*").alias("n_rows"))
