@@ -9,6 +9,7 @@ from tidemark.functions.rules import violation_counts
 from tidemark.operators import dimension, enrich
 from tidemark.operators.validation import dimension_rules
 from tidemark.plans.durable import written
+from tidemark.schemas import ARRIVAL_ORDER
 from tidemark.suite import data
 from tidemark.suite.data import CHANGES, DIM, EV, LOADED_AT
 from tidemark.suite.registry import query
@@ -219,7 +220,8 @@ SELECT CAST(ev.event_id AS VARCHAR) AS event_id,
 FROM ev ASOF LEFT JOIN eff ON CAST(ev.user_id AS VARCHAR) = eff.key AND ev.event_id >= eff.seq""",
 )
 def enrich_as_of(spark, sf_dir):
-    facts = data.facts(spark, sf_dir)
+    # Only what the result and the order need travels through the ordered ranges.
+    facts = data.facts(spark, sf_dir).select("event_id", "join_key", *ARRIVAL_ORDER)
     position = F.col("offset") * 3 + F.col("partition")
     joined = enrich.enrich_as_of(facts, data.changes(spark, sf_dir), F.col("seq"), position)
     return joined.select(
