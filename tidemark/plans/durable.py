@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -55,6 +58,17 @@ def folders(spark: SparkSession, pattern: str) -> list[str]:
     return [str(status.getPath()) for status in file_system.globStatus(location) or []]
 
 
+def dated(
+    spark: SparkSession, path: str, schema: StructType, column: str, days: Iterable[date]
+) -> DataFrame:
+    """The folders of some dates of a table partitioned by ``column`` first; no others are listed."""
+    named = ",".join(sorted({str(day) for day in days}))
+    found = folders(spark, f"{path}/{column}={{{named}}}") if named else []
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*found)
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     """Delete a path this library wrote, on whatever file system holds it."""
     file_system, location = _file_system(spark, path)

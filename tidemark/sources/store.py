@@ -11,7 +11,7 @@ wins when the table is read, and ``compact_windows`` folds the copies away.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from datetime import date, datetime, timedelta
 
 from pyspark.errors import AnalysisException
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from tidemark.functions.times import Windows, micros, timestamp
 from tidemark.operators.corrections import latest
 from tidemark.operators.windows import unpacked
-from tidemark.plans.durable import folders, remove, written
+from tidemark.plans.durable import dated, folders, remove, written
 from tidemark.plans.sizing import left_join
 from tidemark.schemas import FACT_COLUMNS, JOINED_EVENTS, WINDOW_RESULTS
 
@@ -44,9 +44,12 @@ class Store:
         """Stored events with ``event_date``; no rows when nothing was stored yet."""
         return self._read(self.events_path, JOINED_EVENTS, "event_date").drop("batch_id")
 
-    def window_writes(self) -> DataFrame:
-        """Every stored copy of every window result."""
-        return self._read(self.windows_path, WINDOW_RESULTS, "window_date")
+    def window_writes(self, days: Iterable[date] | None = None) -> DataFrame:
+        """Every stored copy of every window result, or of those that start on some dates."""
+        if days is None:
+            return self._read(self.windows_path, WINDOW_RESULTS, "window_date")
+        schema = _with_partitions(WINDOW_RESULTS, "window_date")
+        return dated(self.spark, self.windows_path, schema, "window_date", days)
 
     def window_results(self) -> DataFrame:
         """One row per (window, correction version): the last one written."""
@@ -57,7 +60,7 @@ class Store:
         return _last_written(self.window_writes())
 
     def _read(self, path: str, layout: T.StructType, day: str) -> DataFrame:
-        schema = T.StructType([*layout.fields, T.StructField(day, T.DateType()), _BATCH])
+        schema = _with_partitions(layout, day)
         try:
             return self.spark.read.schema(schema).parquet(path)
         except AnalysisException as missing:
@@ -224,6 +227,10 @@ class Store:
         return rows if event_ids is None else rows.filter(F.col("event_id").isin(list(event_ids)))
 
 
+def _with_partitions(layout: T.StructType, day: str) -> T.StructType:
+    return T.StructType([*layout.fields, T.StructField(day, T.DateType()), _BATCH])
+
+
 def _payload() -> list[str]:
     return [c for c in RESULT_COLUMNS if c not in ("window_id", "correction_version")]
 

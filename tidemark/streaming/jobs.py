@@ -15,10 +15,11 @@ window gets at most one new version per batch.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -32,11 +33,12 @@ from tidemark.operators.windows import (
     merged_partials,
     window_partials,
 )
-from tidemark.plans.durable import exists
+from tidemark.plans.durable import dated, exists
 from tidemark.schemas import FACT_COLUMNS
 from tidemark.sources.store import Store
 
 HEARTBEAT = "_heartbeat"
+DAY = timedelta(days=1)
 
 PROGRESS = T.StructType(
     [
@@ -50,6 +52,17 @@ PROGRESS = T.StructType(
 )
 
 
+def _days_between(first: date, last: date) -> list[date]:
+    return [first + number * DAY for number in range((last - first).days + 1)]
+
+
+def _dates(first_us: int, last_us: int) -> list[date]:
+    """Dates from one instant to another, both included."""
+    epoch = date(1970, 1, 1)
+    first, last = (epoch + us // (86_400 * SECOND) * DAY for us in (first_us, last_us))
+    return _days_between(first, last)
+
+
 def heartbeats(spark: SparkSession, per_second: int = 1) -> DataFrame:
     """Wall-clock rows to union with a raw stream, so that silence too produces batches."""
     beats = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
@@ -113,6 +126,7 @@ class Flow:
             F.count_if(good & ~on_time).alias("n_dropped"),
             F.count_if(~good & (F.col("source_topic") != HEARTBEAT)).alias("n_dead"),
             F.max(micros("ingest_time")).alias("now"),
+            F.collect_set(F.when(good, self._pane_date(micros("event_time")))).alias("days"),
         ).first()
         after = self._advanced(before, seen, last_arrival, lateness)
 
@@ -120,7 +134,7 @@ class Flow:
         self.store.add_events(self._enriched(facts.filter(on_time)), batch_id)
         self._write(facts.filter(~on_time), "late_events", batch_id)
         self._add_partials(facts, on_time, before, batch_id)
-        results = self._window_results(before, after, batch_id)
+        results = self._window_results(before, after, batch_id, seen.days)
         if results is not None:
             emitted = timestamp(F.lit(seen.now))
             self.store.add_windows(
@@ -199,7 +213,7 @@ class Flow:
             .withColumns({"_pane": self.windows.pane_of(micros("event_time")), "_limit": limit})
             .groupBy("_pane", "_limit")
             .agg(F.count("*").alias("_n"), *field_partials(self.fields))
-            .withColumn("pane_date", F.to_date(timestamp("_pane")))
+            .withColumn("pane_date", self._pane_date(F.col("_pane")))
             .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         )
         (
@@ -211,14 +225,25 @@ class Flow:
         )
         self._partial_schema = partials.schema
 
-    def _panes(self, batch_id: int, first_us: int, last_us: int) -> DataFrame:
-        """Partials up to this batch that windows starting within the bounds may contain."""
-        low, high = F.lit(first_us), F.lit(last_us + self.windows.size)
-        days = F.col("pane_date").between(F.to_date(timestamp(low)), F.to_date(timestamp(high)))
+    def _pane_date(self, us) -> Column:
+        return F.to_date(timestamp(self.windows.pane_of(us)))
+
+    def _partials(self, days: Iterable[date]) -> DataFrame:
+        """Partials of panes on these dates; no other folder is listed."""
+        path = f"{self.root}/partials"
+        return dated(self.spark, path, self._partial_schema, "pane_date", days)
+
+    def _panes(
+        self, batch_id: int, first_us: int, last_us: int, days: Iterable[date] | None = None
+    ) -> DataFrame:
+        """Partials up to this batch that windows starting within the bounds may contain, or those of
+        them on some dates."""
+        low, high = first_us, last_us + self.windows.size
+        if days is None:
+            days = _dates(low, high)
         return (
-            self.spark.read.schema(self._partial_schema)
-            .parquet(f"{self.root}/partials")
-            .filter(days & (F.col("_pane") >= low) & (F.col("_pane") < high))
+            self._partials(days)
+            .filter((F.col("_pane") >= low) & (F.col("_pane") < high))
             .filter(F.col("batch_id") <= batch_id)
         )
 
@@ -230,9 +255,11 @@ class Flow:
             "_start", F.explode(self.windows.starts(first, last))
         )
 
-    def _totals(self, batch_id: int, first_us: int, last_us: int) -> DataFrame:
-        """One merged partial per window that starts within the bounds."""
-        panes = self._panes(batch_id, first_us, last_us)
+    def _totals(
+        self, batch_id: int, first_us: int, last_us: int, days: Iterable[date] | None = None
+    ) -> DataFrame:
+        """One merged partial per window that starts within the bounds, from panes on ``days``."""
+        panes = self._panes(batch_id, first_us, last_us, days)
         accepted = window_partials(panes.filter("_limit is null"), self.windows, self.fields)
         dropped = self._spread(panes.filter("_limit is not null"), first_us, last_us)
         return (
@@ -244,10 +271,12 @@ class Flow:
 
     # -- window results ------------------------------------------------------------------------
 
-    def _window_results(self, before: int | None, after: int | None, batch_id: int) -> DataFrame | None:
+    def _window_results(
+        self, before: int | None, after: int | None, batch_id: int, days: list[date]
+    ) -> DataFrame | None:
         if after is None or not exists(self.spark, f"{self.root}/partials"):
             return None
-        parts = [self._newly_closed(before, after, batch_id), self._corrected(before, batch_id)]
+        parts = [self._newly_closed(before, after, batch_id), self._corrected(before, batch_id, days)]
         parts = [part for part in parts if part is not None]
         out = None
         for part in parts:
@@ -278,19 +307,26 @@ class Flow:
             self._totals(batch_id, first, last).withColumn("correction_version", F.lit(0))
         )
 
-    def _corrected(self, before: int | None, batch_id: int) -> DataFrame | None:
-        """The next version of each closed window that this batch's events fall into."""
-        if before is None:
+    def _corrected(self, before: int | None, batch_id: int, days: list[date]) -> DataFrame | None:
+        """The next version of each closed window that this batch's events fall into.
+
+        Only dates within a window's reach of the batch's late panes are read, however far apart
+        they lie.
+        """
+        if before is None or not days:
             return None
         slide, size = self.windows.slide, self.windows.size
         last_closed = (before - size) // slide * slide
         late = (
-            self.spark.read.schema(self._partial_schema)
-            .parquet(f"{self.root}/partials")
+            self._partials(days)
             .filter((F.col("batch_id") == batch_id))
             .filter(self.windows.first_start(F.col("_pane")) <= last_closed)
         )
-        span = late.agg(F.min("_pane").alias("low"), F.max("_pane").alias("high")).first()
+        span = late.agg(
+            F.min("_pane").alias("low"),
+            F.max("_pane").alias("high"),
+            F.collect_set("pane_date").alias("days"),
+        ).first()
         if span.low is None:
             return None
         first = (span.low - size) // slide * slide + slide
@@ -300,18 +336,15 @@ class Flow:
             .select("_start")
             .distinct()
         )
+        reach = timedelta(microseconds=size)
+        near = {day for own in span.days for day in _days_between(own - reach, own + reach + DAY)}
         known = (
-            self.store.window_writes()
+            self.store.window_writes(near)
             .filter(F.col("batch_id") < batch_id)
-            .filter(
-                F.col("window_date").between(
-                    F.to_date(timestamp(F.lit(first))), F.to_date(timestamp(F.lit(last)))
-                )
-            )
             .groupBy(micros("window_start").alias("_start"))
             .agg((F.max("correction_version") + 1).alias("correction_version"))
         )
-        totals = self._totals(batch_id, first, last)
+        totals = self._totals(batch_id, first, last, near)
         return self._finished(totals.join(touched, "_start", "left_semi").join(known, "_start"))
 
     def _finished(self, merged: DataFrame) -> DataFrame:
