@@ -241,11 +241,11 @@ def graded(docs: DataFrame, model: Model, min_tail: float = MIN_TAIL) -> DataFra
 def selected(docs: DataFrame, model: Model, min_tail: float = MIN_TAIL) -> DataFrame:
     """Rows of ``docs``, all columns kept, whose tail probability is ``min_tail`` or more."""
 
-    @F.pandas_udf("boolean")
-    def kept(texts):
-        import pandas as pd
+    at = docs.columns.index("text")
 
-        tails = _tails(pa.array(texts, pa.string()), model)
-        return pd.Series(tails[:, SELECT_GRADE - 1] >= min_tail)
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            tails = _tails(batch.column(at).cast(pa.string()), model)
+            yield batch.filter(pa.array(tails[:, SELECT_GRADE - 1] >= min_tail))
 
-    return docs.filter(kept(F.col("text").cast("string")))
+    return docs.mapInArrow(batches, docs.schema)

@@ -156,10 +156,14 @@ def in_language(docs: DataFrame, profiles: Profiles, min_score: float = MIN_SCOR
     """Rows of ``docs``, all columns kept, whose text is in a learned language: not ``und`` and with a
     score of ``min_score`` or more. Where nothing was learned all rows with a text stay."""
 
-    @F.pandas_udf("double")
-    def score(texts):
-        return texts.map(lambda text: profiles.nearest(text)[1])
+    at, least = docs.columns.index("text"), max(min_score, 1e-9)
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            texts = batch.column(at).cast(pa.string())
+            kept = [profiles.nearest(text.as_py())[1] >= least for text in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     if not profiles.languages:
         return docs.filter(F.col("text").isNotNull())
-    return docs.filter(score(F.col("text").cast("string")) >= F.lit(max(min_score, 1e-9)))
+    return docs.mapInArrow(batches, docs.schema)
