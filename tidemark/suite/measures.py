@@ -6,7 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics, watermark
+from tidemark.operators import metrics, quantiles, watermark
 from tidemark.suite import data
 from tidemark.suite.data import EV, HOURLY, REPLAY, WM
 from tidemark.suite.registry import query, snap, snap_sql
@@ -43,6 +43,21 @@ def join_throughput(spark, sf_dir):
     )
 
 
+@query(
+    "exact_quantiles",
+    f"""SELECT event_type, {snap_sql('quantile_cont(value, 0.5)', 4)} AS median,
+       quantile_disc(value, 0.9) AS p90, {snap_sql('quantile_cont(value, 0.25)', 4)} AS q1
+FROM events GROUP BY event_type""",
+)
+def exact_quantiles(spark, sf_dir):
+    """The quantiles of few and large groups, each spread over many tasks."""
+    rows = data.events(spark, sf_dir)
+    found = quantiles.exact_quantiles(
+        rows, ["event_type"], "value", ["event_id"], {"median": 0.5, "q1": 0.25}, {"p90": 0.9}
+    )
+    return found.select("event_type", snap("median", 4).alias("median"), "p90", snap("q1", 4).alias("q1"))
+
+
 @query(
     "p99_latency",
     f"""WITH {EV}, newest AS (SELECT (arr - us) / 1000.0 AS ms FROM ev
