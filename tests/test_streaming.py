@@ -162,6 +162,21 @@ def test_dropped_events_stay_out_of_open_windows(spark, tmp_path):
     ]
 
 
+def test_open_windows(spark, tmp_path):
+    """Partial results while windows are open, and none once the watermark has passed them."""
+    flow = flow_of(spark, tmp_path / "out", Windows(3600, 1800))
+    seen = []
+    for number, (event, value) in enumerate([(0, 1.0), (300, 2.0), (100, 4.0), (2500, 8.0), (90_000, 16.0)]):
+        flow.process(raw_batch(spark, raw_rows([(event, event, value, "u1")])), number)
+        rows = flow.open_windows().collect()
+        seen.append(sorted((seconds(r.window_start), r.event_count, r.value_sum) for r in rows))
+    base = seconds(naive(at(0)))
+    assert seen[1] == [(base - 1800, 2, 3.0), (base, 2, 3.0)]
+    assert seen[2] == seen[1]  # dropped for its lateness
+    assert seen[3] == [(base, 3, 11.0), (base + 1800, 1, 8.0)]
+    assert [x[1:] for x in seen[4]] == [(1, 16.0), (1, 16.0)]
+
+
 def test_lost_progress_is_an_error(spark, tmp_path):
     """Only the first batch may start without the watermark of the one before."""
     flow = flow_of(spark, tmp_path / "out")

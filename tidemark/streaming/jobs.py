@@ -354,6 +354,24 @@ class Flow:
 
     # -- reading -------------------------------------------------------------------------------
 
+    def open_windows(self) -> DataFrame:
+        """Results so far of the windows that the watermark has not closed, from the stored partials."""
+        newest = self.table("progress").orderBy(F.desc("batch_id")).first()
+        path = f"{self.root}/partials"
+        self._partial_schema = self.spark.read.parquet(path).schema
+        slide, size = self.windows.slide, self.windows.size
+        panes = self.spark.read.schema(self._partial_schema).parquet(path).filter("_limit is null")
+        if newest.watermark_us is not None:
+            since = _dates(newest.watermark_us - size, newest.watermark_us)[0]
+            panes = panes.filter(F.col("pane_date") >= F.lit(since))
+        span = panes.agg(F.min("_pane").alias("low"), F.max("_pane").alias("high")).first()
+        low, high = (0, -1) if span.low is None else (span.low, span.high)
+        first = (low - size) // slide * slide + slide
+        if newest.watermark_us is not None:
+            first = max(first, (newest.watermark_us - size) // slide * slide + slide)
+        totals = self._totals(newest.batch_id, first, high // slide * slide)
+        return self._finished(totals.withColumn("correction_version", F.lit(0)))
+
     def table(self, name: str) -> DataFrame:
         """A table the flow wrote: ``dead_letters``, ``late_events`` or ``progress``."""
         return self.spark.read.parquet(f"{self.root}/{name}")
