@@ -17,7 +17,7 @@ ORACLES: dict[str, str] = {}
 
 SETTINGS = {
     # Arrow batches go by bytes: a record may hold a whole text of any length.
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
     "spark.sql.python.filterPushdown.enabled": "true",
 }

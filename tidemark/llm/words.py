@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WIDTH = 5
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 1 << 15
 
 _U = np.uint64
