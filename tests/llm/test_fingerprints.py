@@ -67,3 +67,33 @@ def test_near_pairs(spark):
         assert r.near_doc < r.doc_id and abs(r.jaccard - len(a & b) / len(a | b)) < 1e-9
         assert r.jaccard >= 0.75
     assert {r.doc_id for r in found} == {*range(100, 105), *range(200, 210)}
+
+
+def test_near_pairs_of_groups_with_a_dissimilar_smallest_member(spark, no_docs):
+    rng = random.Random(4)
+    words = vocabulary(rng, 500)
+    rows = []
+    for g in range(25):
+        base = prose(rng, words, 200).split()
+        # The smallest shares 0.55 to 0.72 with the others of its group, which are close to each other.
+        for k, kept in enumerate((150 + g % 5 * 5, 200, 195, 190, 180)):
+            rows.append((10 * g + k, " ".join(base[:kept] + prose(rng, words, 20).split()[: 20 * (k == 0)])))
+        rows.append((10 * g + 5, rows[-2][1]))
+    texts = dict(rows)
+    docs = table(spark, rows)
+    smallest = {}
+    for i in texts:
+        a = shingles_of(texts[i])
+        for j in sorted(x for x in texts if x < i and x // 10 == i // 10):
+            b = shingles_of(texts[j])
+            if len(a & b) / len(a | b) >= 0.75:
+                smallest[i] = (j, len(a & b) / len(a | b))
+                break
+    found = {}
+    for r in fingerprints.near_pairs(docs).collect():
+        a, b = shingles_of(texts[r.doc_id]), shingles_of(texts[r.near_doc])
+        assert r.near_doc < r.doc_id and abs(r.jaccard - len(a & b) / len(a | b)) < 1e-9
+        assert r.jaccard >= 0.75
+        found[r.doc_id] = min(found.get(r.doc_id, r.near_doc), r.near_doc)
+    assert any(i % 10 == 2 and j % 10 == 1 for i, (j, _) in smallest.items())
+    assert found == {i: j for i, (j, _) in smallest.items()}

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import near_dedup
 from tidemark.llm.joins import join_stored
 from tidemark.llm.words import binary, chunks, shingles, words
 from tidemark.plans.durable import written
@@ -194,11 +195,19 @@ def _edited_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = of_texts(batch.column(1))
-        sizes = pc.not_equal(pc.utf8_trim_whitespace(pc.fill_null(batch.column(1), "")), "")
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), binary(prints), sizes], ["doc_id", "fingerprint", "filled"]
-        )
+        for first, end, data, offsets in chunks(batch.column(1)):
+            found = shingles(words(data, offsets))
+            values, bounds = near_dedup.distinct_sets(*found)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(first, end - first),
+                    binary(minhash(*found)),
+                    pa.array(np.diff(bounds)),
+                    pa.array(near_dedup._digests(values, bounds, 11)),
+                    pa.array(near_dedup._digests(values, bounds, 23)),
+                ],
+                ["doc_id", "fingerprint", "n_shingles", "set_a", "set_b"],
+            )
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,41 +231,80 @@ def _jaccard_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         )
 
 
+def _jaccards(pairs: DataFrame, source: DataFrame) -> DataFrame:
+    """Those (doc_id, near_doc) of similarity 0.75 or more, with their Jaccard similarity."""
+    wanted = pairs.select(F.col("doc_id").alias("id")).unionByName(pairs.select(F.col("near_doc").alias("id")))
+    sets = written(
+        join_stored(
+            source.withColumnRenamed("doc_id", "id"), wanted.distinct(), ["id"], "left_semi", "print-ids"
+        ).mapInArrow(_set_batches, "id bigint, members binary"),
+        "print-sets",
+    )
+    checked = (
+        pairs.join(sets.toDF("doc_id", "left"), "doc_id")
+        .join(sets.toDF("near_doc", "right"), "near_doc")
+        .select("doc_id", "near_doc", "left", "right")
+        .mapInArrow(_jaccard_batches, "doc_id bigint, near_doc bigint, jaccard double")
+        .filter(F.col("jaccard") >= PERCENT / 100)
+    )
+    return written(checked, "print-near")
+
+
 def near_pairs(docs: DataFrame) -> DataFrame:
     """(doc_id, near_doc, jaccard): documents and smaller ones of similarity 0.75 or more.
 
-    Bands of four places are joined; in each band a document is compared with the smallest doc_id,
-    and equal fingerprints count as one document in the search, so a group of copies costs one pair
-    for each of them. Rows without words or doc_id have no pairs.
+    Bands of four places are joined; in each band a document is compared with the smallest doc_id, and
+    where it is not similar to that one with all others of the band, in blocks. So of the
+    documents that share a band with it the smallest similar one is among its pairs; pairs of documents that
+    are both similar to the smallest of their band may be left out. Equal sets of shingles count as one document
+    in the search; a copy has a pair with the smallest document of its set and with the smallest that is similar
+    to that one. Rows without words or doc_id have no pairs.
     """
     source = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     prints = written(
-        source.mapInArrow(_print_batches, "doc_id bigint, fingerprint binary, filled boolean")
-        .filter("filled and doc_id is not null")
-        .drop("filled"),
+        source.mapInArrow(_print_batches, "doc_id bigint, fingerprint binary, n_shingles bigint, set_a bigint, set_b bigint")
+        .filter("n_shingles > 0 and doc_id is not null"),
         "prints",
     )
-    first = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    copies = prints.join(first, "fingerprint").filter("doc_id <> first").select("doc_id", F.col("first").alias("near_doc"))
+    first = written(
+        prints.groupBy("set_a", "set_b").agg(
+            F.min("doc_id").alias("first"),
+            F.min("n_shingles").alias("n_shingles"),
+            F.min("fingerprint").alias("fingerprint"),
+        ),
+        "print-firsts",
+    )
+    copies = (
+        prints.select("doc_id", "set_a", "set_b")
+        .join(first.select("set_a", "set_b", "first"), ["set_a", "set_b"])
+        .filter("doc_id <> first")
+        .select("doc_id", F.col("first").alias("near_doc"))
+    )
+    copies = written(copies.distinct(), "print-copies")
     key = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.xxhash64(i, F.substring("fingerprint", i * (2 * ROWS) + 1, F.lit(2 * ROWS))),
     )
-    banded = first.select(F.col("first").alias("doc_id"), F.explode(key).alias("band"))
-    lowest = banded.groupBy("band").agg(F.min("doc_id").alias("near_doc"), F.count(F.lit(1)).alias("n"))
-    shared = banded.join(lowest.filter("n > 1").drop("n"), "band").filter("doc_id <> near_doc")
-    pairs = written(copies.unionByName(shared.select("doc_id", "near_doc")).distinct(), "print-pairs")
-    wanted = pairs.select(F.col("doc_id").alias("id")).unionByName(pairs.select(F.col("near_doc").alias("id")))
-    sets = written(
-        join_stored(
-            source.withColumnRenamed("doc_id", "id"), wanted.distinct(), ["id"], "left_semi", "print-ids"
-        ).mapInArrow(_set_batches, "id bigint, members binary"),
-        "print-sets",
+    banded = first.select(F.col("first").alias("node"), "n_shingles", F.explode(key).alias("band"))
+    lowest = banded.groupBy("band").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n"))
+    members = written(
+        banded.join(lowest.filter("n > 1").drop("n"), "band").filter("node <> low"), "print-members"
     )
-    return (
-        pairs.join(sets.toDF("doc_id", "left"), "doc_id")
-        .join(sets.toDF("near_doc", "right"), "near_doc")
-        .select("doc_id", "near_doc", "left", "right")
-        .mapInArrow(_jaccard_batches, "doc_id bigint, near_doc bigint, jaccard double")
-        .filter(F.col("jaccard") >= PERCENT / 100)
+    star = members.select(F.col("node").alias("doc_id"), F.col("low").alias("near_doc"))
+    near = _jaccards(written(copies.unionByName(star).distinct(), "print-pairs"), source)
+    # Documents that are similar to the smallest of a band get its label; the others one of their own.
+    linked = near.select(F.col("doc_id").alias("node"), F.col("near_doc").alias("low"), F.lit(True).alias("linked"))
+    labelled = members.join(linked.distinct(), ["node", "low"], "left")
+    labelled = labelled.withColumn("label", F.when(F.col("linked"), F.col("low")).otherwise(F.col("node")))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
+    left = labelled.join(mixed.filter("l0 <> l1").select("band"), "band")
+    left = written(left.select("band", "node", "n_shingles", "label"), "print-left")
+    more = near_dedup._block_links(left, docs).select(F.col("b").alias("doc_id"), F.col("a").alias("near_doc"))
+    more = written(
+        more.distinct().join(near.select("doc_id", "near_doc"), ["doc_id", "near_doc"], "left_anti"), "print-more"
     )
+    near = near.unionByName(_jaccards(more, source))
+    smallest = near.join(copies, ["doc_id", "near_doc"], "left_anti").groupBy("doc_id")
+    smallest = smallest.agg(F.min(F.struct("near_doc", "jaccard")).alias("near"))
+    of_copies = copies.join(smallest.withColumnRenamed("doc_id", "first"), F.col("near_doc") == F.col("first"))
+    return near.unionByName(of_copies.select("doc_id", "near.near_doc", "near.jaccard"))
