@@ -97,3 +97,13 @@ def test_near_pairs_of_groups_with_a_dissimilar_smallest_member(spark, no_docs):
         found[r.doc_id] = min(found.get(r.doc_id, r.near_doc), r.near_doc)
     assert any(i % 10 == 2 and j % 10 == 1 for i, (j, _) in smallest.items())
     assert found == {i: j for i, (j, _) in smallest.items()}
+    rows = fingerprints.compared(docs).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    assert {r.doc_id: r.near_doc for r in rows if r.near_doc is not None} == found
+    assert not fingerprints.compared(no_docs).count()
+
+
+def test_compared_keeps_every_odd_row(odd_docs, odd_rows):
+    rows = fingerprints.compared(odd_docs).collect()
+    check(rows, odd_rows)
+    assert {(r.doc_id, r.near_doc) for r in rows if r.near_doc is not None} >= {(5, 4), (6, 4), (12, 11), (8, 7)}

@@ -6,7 +6,7 @@ places estimates the Jaccard similarity of two texts' shingle sets, so equal tex
 A text without words has a fixed fingerprint of its own.
 
 ``with_edits`` compares each document with the one that follows it and with an edit of itself.
-``near_pairs`` joins bands of the fingerprints and verifies Jaccard similarities.
+``near_pairs`` joins bands of the fingerprints and verifies Jaccard similarities. ``compared`` returns both.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from tidemark.llm import near_dedup
 from tidemark.llm.joins import join_stored
 from tidemark.llm.words import binary, chunks, shingles, words
 from tidemark.plans.durable import written
+from tidemark.plans.sizing import left_join
 
 PLACES = 128
 BANDS = 32
@@ -308,3 +309,13 @@ def near_pairs(docs: DataFrame) -> DataFrame:
     smallest = smallest.agg(F.min(F.struct("near_doc", "jaccard")).alias("near"))
     of_copies = copies.join(smallest.withColumnRenamed("doc_id", "first"), F.col("near_doc") == F.col("first"))
     return near.unionByName(of_copies.select("doc_id", "near.near_doc", "near.jaccard"))
+
+
+def compared(docs: DataFrame) -> DataFrame:
+    """``with_edits`` with the smallest document of similarity 0.75 or more that ``near_pairs`` finds, and
+    the Jaccard similarity to it; null where there is none."""
+    # Rows that repeat a doc_id have a similarity for each of their texts; the largest counts.
+    near = near_pairs(docs).groupBy("doc_id", "near_doc").agg(F.max("jaccard").alias("jaccard"))
+    near = near.groupBy("doc_id").agg(F.min(F.struct("near_doc", "jaccard")).alias("near"))
+    near = near.select("doc_id", "near.near_doc", "near.jaccard")
+    return left_join(with_edits(docs), near, ["doc_id"], ["doc_id"])

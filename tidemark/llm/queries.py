@@ -49,7 +49,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_fingerprints")
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.with_edits(documents(spark, sf_dir))
+    return fingerprints.compared(documents(spark, sf_dir))
 
 
 @query("op6_near_dedup", near_dedup.SQL)
