@@ -141,6 +141,15 @@ def test_odd_rows_of_batches(odd_docs, odd_rows, no_docs):
     assert not packing.packed(no_docs).count()
 
 
+def test_padded_to_the_longest_of_the_bucket(spark):
+    rows = [(i, "w " * n) for i, n in enumerate((3, 257, 259, 1001, 1003, 5001))]
+    longest, padded = defaultdict(int), {}
+    for r in packing.packed(table(spark, rows), buckets=3).collect():
+        longest[r.bucket] = max(longest[r.bucket], r.n_tokens)
+        padded[r.bucket] = r.padded_tokens
+    assert padded == longest and max(padded.values()) == 5001
+
+
 def test_grid(spark):
     rows = spark.range(0, 200_000, 7).selectExpr("id").withColumn("g", packing.grid_length(packing.F.col("id")))
     found = rows.toPandas()
