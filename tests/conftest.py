@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import sys
-from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
 import pytest
@@ -10,8 +9,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from tidemark.session import session  # noqa: E402
 
-BASE = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -19,12 +16,3 @@ def spark():
     found.sparkContext.setLogLevel("ERROR")
     yield found
     found.stop()
-
-
-def at(seconds: float = 0) -> datetime:
-    """An instant relative to the base time of the fixtures."""
-    return BASE + timedelta(seconds=seconds)
-
-
-def naive(moment: datetime | None) -> datetime | None:
-    return None if moment is None else moment.astimezone(timezone.utc).replace(tzinfo=None)

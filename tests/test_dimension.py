@@ -4,20 +4,10 @@ import json
 import random
 
 import pytest
-from conftest import at
+from helpers import gone, log, up
 from pyspark.sql import functions as F
 
 from tidemark.operators import dimension
-from tidemark.schemas import DIMENSION_CHANGE
-
-
-def log(spark, *changes):
-    """Changes written as (key, op, version, attributes); the position is the sequence number."""
-    rows = [
-        (key, op, json.dumps(attrs) if attrs is not None else None, version, seq, at(seq))
-        for seq, (key, op, version, attrs) in enumerate(changes)
-    ]
-    return spark.createDataFrame(rows, DIMENSION_CHANGE)
 
 
 def state(table):
@@ -27,14 +17,6 @@ def state(table):
     }
 
 
-def up(key, version, **attrs):
-    return (key, "upsert", version, attrs)
-
-
-def gone(key):
-    return (key, "delete", None, None)
-
-
 @pytest.mark.parametrize(
     ("changes", "expected"),
     [

@@ -4,9 +4,8 @@ import json
 import random
 
 import pytest
-from conftest import at
+from helpers import at, gone, log, up
 from pyspark.sql import functions as F
-from test_dimension import gone, log, up
 
 from tidemark.operators import dimension, enrich
 from tidemark.schemas import FACT_EVENT

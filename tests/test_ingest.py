@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import at
+from helpers import at
 from pyspark.sql import functions as F
 
 from tidemark.operators import ingest

@@ -4,7 +4,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from conftest import BASE, at, naive
+from helpers import BASE, at, naive
 
 from tidemark.operators import metrics
 

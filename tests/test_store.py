@@ -5,7 +5,7 @@ import os
 from datetime import timedelta
 
 import pytest
-from conftest import at, naive
+from helpers import at, naive
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import Windows

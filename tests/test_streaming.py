@@ -4,10 +4,8 @@ import json
 import random
 
 import pytest
-from conftest import at, naive
+from helpers import EPOCH, at, log, naive, seconds, up
 from pyspark.sql import functions as F
-from test_dimension import log, up
-from test_windows import EPOCH, seconds
 
 from tidemark.functions.times import Windows
 from tidemark.operators import dimension

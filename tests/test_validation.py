@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import at
+from helpers import at
 
 from tidemark.functions import payload
 from tidemark.functions.rules import checked, valid_rows, violation_counts

@@ -5,7 +5,7 @@ import random
 from datetime import datetime, timezone
 
 import pytest
-from conftest import BASE, at, naive
+from helpers import BASE, EPOCH, at, naive, seconds
 from pyspark.sql import functions as F
 
 from tidemark.functions import payload
@@ -13,7 +13,6 @@ from tidemark.functions.times import Windows, window_bounds
 from tidemark.operators import windows as w
 from tidemark.operators.corrections import WindowReplay, latest
 
-EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 SECONDS = int((BASE - EPOCH).total_seconds())
 
 
@@ -216,10 +215,6 @@ def model(rows, windows, lateness, idle, scope):
     return first, fixes, still_open
 
 
-def seconds(moment):
-    return (moment - naive(EPOCH)).total_seconds()
-
-
 def shown(r):
     return (r.event_count, pytest.approx(r.value_sum or 0.0), r.value_min, r.value_max)
 
