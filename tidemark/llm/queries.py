@@ -10,6 +10,7 @@ from tidemark.llm import (
     fingerprints,
     grading,
     language,
+    mixing,
     near_dedup,
     packing,
     quality_rules,
@@ -76,3 +77,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encoded(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+
+
+@query("op12_mixing", mixing.SQL)
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir))
