@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import (
     bpe,
+    clustering,
     fingerprints,
     grading,
     language,
@@ -79,6 +80,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+@query("op11_clustering", clustering.SQL)
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query("op12_mixing", mixing.SQL)
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
