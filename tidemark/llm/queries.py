@@ -11,6 +11,7 @@ from tidemark.llm import (
     fingerprints,
     grading,
     language,
+    lexical,
     mixing,
     near_dedup,
     packing,
@@ -88,3 +89,8 @@ def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_mixing", mixing.SQL)
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
+
+
+@query("op13_lexical_search", lexical.SQL)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

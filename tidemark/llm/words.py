@@ -76,12 +76,12 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         first = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
-    """Words of the texts that lie one after the other in ``data``."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, between: np.ndarray = _SPACE) -> Words:
+    """Words of the texts that lie one after the other in ``data``; ``between`` marks the bytes that part them."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64))
-    space = _SPACE[data]
+    space = between[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     inside = ~space
