@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,7 +111,7 @@ def test_unwanted_payloads_are_not_read(tmp_path):
             return whole(count)
 
     window.file = Counted()
-    kinds = [h["warc-record-id"] for _, h, _ in warc.records(window, False, lambda h: h["warc-type"] == "other")]
+    kinds = [h["warc-record-id"] for _, h, *_ in warc.records(window, False, lambda h: h["warc-type"] == "other")]
     assert kinds == ["<urn:2>"] and sum(read) <= 3 * warc.WINDOW_BYTES
 
 
@@ -147,3 +148,97 @@ def test_files_are_bounded_and_committed(spark, tmp_path):
     (tmp_path / "archive" / "left-over.warc").write_bytes(b"of a lost task")
     found = warc.read_records(spark, path)
     assert found.count() == 50 and found.select("file").distinct().count() > 4
+
+
+def record(number, block, length=None, kind="response"):
+    length = "" if length is None else f"Content-Length: {length}\r\n"
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{number}>\r\n{length}\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def read_back(spark, path, payload="bytes"):
+    found = warc.read_records(spark, str(path), payload).orderBy("offset").collect()
+    return [(r.record_id, None if r.payload is None else bytes(r.payload), r.error) for r in found]
+
+
+@pytest.mark.parametrize("length", ["abc", "-40", None, "", "3", "99", "1e3", "9" * 30])
+def test_a_wrong_length_spoils_one_record_only(spark, tmp_path, length):
+    good = [record(i, b"block %d" % i, 7) for i in range(3)]
+    bad = record(9, b"a block of its own", length)
+    (tmp_path / "a.warc").write_bytes(good[0] + bad + good[1] + good[2])
+    found = read_back(spark, tmp_path)
+    assert found == [("urn:0", b"block 0", None), ("urn:9", None, "length")] + [
+        (f"urn:{i}", b"block %d" % i, None) for i in (1, 2)
+    ]
+
+
+@pytest.mark.parametrize("length", ["abc", "-40", None])
+def test_a_member_bounds_a_record_of_unknown_length(spark, tmp_path, length):
+    parts = [record(0, b"zero", 4), record(9, b"a block", length), record(1, b"one", 3)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    assert read_back(spark, tmp_path) == [
+        ("urn:0", b"zero", None), ("urn:9", b"a block", "length"), ("urn:1", b"one", None),
+    ]
+
+
+def own_members(count):
+    return [
+        warc._record(
+            {"record_type": "response", "record_id": f"urn:{i}", "target_uri": "u", "date": "d", "refers_to": None,
+             "digest": "x", "payload": bytes([i]) * 9000 + bytes(range(256)) * 40, "payload_bytes": 19240}, True
+        )
+        for i in range(count)
+    ]
+
+
+@pytest.mark.parametrize("place", [0, 3, 12, 17, 30, 60, 120, -6, -2])
+@pytest.mark.parametrize("noted", [True, False])
+def test_a_damaged_member_spoils_one_record_only(spark, tmp_path, place, noted):
+    members = own_members(4)
+    if not noted:
+        members = [gzip.compress(gzip.decompress(x)) for x in members]
+    members[1] = bytearray(members[1])
+    members[1][place] ^= 0xFF
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(bytes, members)))
+    found = read_back(spark, tmp_path)
+    whole = {i: bytes([i]) * 9000 + bytes(range(256)) * 40 for i in range(4)}
+    for i in (0, 2, 3):
+        assert (f"urn:{i}", whole[i], None) in found
+    # The record itself comes out whole, or with an error and nothing made up.
+    rest = [r for r in found if r[0] not in ("urn:0", "urn:2", "urn:3")]
+    assert all((r[1] == whole[1] and r[2] is None) or (r[1] is None and r[2]) for r in rest)
+    assert warc.read_records(spark, str(tmp_path), "none").filter("record_id = 'urn:3'").count() == 1
+
+
+@pytest.mark.parametrize("keep", [1, 20, 100, 200, -3])
+@pytest.mark.parametrize("packed", [True, False])
+def test_a_file_cut_off(spark, tmp_path, keep, packed):
+    parts = [record(0, b"zero" * 100, 400), record(1, random.Random(1).randbytes(400), 400)]
+    last = gzip.compress(parts[1]) if packed else parts[1].removesuffix(b"\r\n\r\n")
+    first = gzip.compress(parts[0]) if packed else parts[0]
+    last = last[:keep]
+    (tmp_path / f"a.warc{'.gz' if packed else ''}").write_bytes(first + last)
+    found = read_back(spark, tmp_path)
+    assert found[0] == ("urn:0", b"zero" * 100, None)
+    assert len(found) == 2 and found[1][1] is None and found[1][2] in ("cut", "gzip", "length")
+
+
+def test_not_an_archive(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(b"\x00" * 100_000)
+    (tmp_path / "b.warc.gz").write_bytes(b"\x1f\x8b\x08" * 10_000)
+    (tmp_path / "c.warc").write_bytes(b"")
+    found = warc.read_records(spark, str(tmp_path), "bytes").collect()
+    assert [(r.record_id, r.payload) for r in found] == [(None, None)] * 2 and all(r.error for r in found)
+
+
+def test_single_payloads_are_not_shuffled(spark, tmp_path):
+    """Where few digests repeat, what is shuffled before the archive is written is far below the payloads."""
+    rows = spark.range(2000).selectExpr("id page_id", "'u' url", "repeat(cast(id as string), 2000) html")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lean", "lean")
+    warc.write_pages(rows, f"{tmp_path}/x")
+    store = spark._jsc.sc().statusStore()
+    stages = [i for j in tracker.getJobIdsForGroup("lean") for i in tracker.getJobInfo(j).stageIds]
+    written = sum(store.lastStageAttempt(i).shuffleWriteBytes() for i in stages if tracker.getStageInfo(i))
+    assert written < 1_000_000
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -6,6 +6,12 @@ gzip member for each record; the writer notes a member's length in its ``sl`` ex
 annex on gzip recommends, so an unwanted record is skipped without inflating it. Members without it are
 inflated to find their end.
 
+Damaged archives are read as far as they go. A record whose length is missing, no number or not that of its block
+comes out with ``error`` ``length``, one whose gzip member cannot be inflated with ``gzip``, the last
+of a file that ends inside it with ``cut``. Its headers are given as far as they are legible; its payload is null
+unless a gzip member bounds it. Reading goes on at the next place where a record begins, so its
+neighbours come out as ever. Pushed predicates see the headers of damaged records as those of others.
+
 Paths go through Arrow's file systems (local or shared folders, S3, HDFS where its client library is
 found). A task's files count only once the job has committed them to the manifest, so lost or
 repeated tasks leave nothing that a reader sees.
@@ -47,7 +53,7 @@ from tidemark.plans.sizing import left_join
 SCHEMA = (
     "record_id string, record_type string, target_uri string, date string, refers_to string, "
     "payload_digest string, content_length bigint, payload_bytes bigint, file string, "
-    "offset bigint, headers map<string,string>, computed_digest string, payload binary"
+    "offset bigint, headers map<string,string>, computed_digest string, payload binary, error string"
 )
 NAMED = {
     "record_id": "warc-record-id",
@@ -64,6 +70,10 @@ HEAD_BYTES = 4096
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
 BREAK = b"\r\n\r\n"
+MARK = b"WARC/"
+MAGIC = b"\x1f\x8b\x08"
+# Heads of records longer than this are taken for damage.
+LONGEST_HEAD = 16 << 20
 
 
 def base32_sha1(data: bytes) -> str:
@@ -94,60 +104,124 @@ def _headers(head: bytes) -> dict[str, str]:
     return out
 
 
-def _member(window: Window, at: int) -> tuple[bytes, Callable[[], bytes], int | None]:
-    """Of a gzip member: inflated start, a way to all of it, and its length if the header tells."""
+def _number(text: str | None) -> int | None:
+    """A length as a header states it; None where it is missing or no count."""
+    return int(text) if text is not None and re.fullmatch("[0-9]{1,18}", text) else None
+
+
+def _found(window: Window, mark: bytes, at: int) -> int:
+    """The next place at or after ``at`` where the mark stands, or the end of the file."""
+    while at < window.size:
+        raw = window.get(at, WINDOW_BYTES)
+        place = raw.find(mark)
+        if place >= 0:
+            return at + place
+        if at + len(raw) >= window.size:
+            break
+        at += len(raw) - len(mark) + 1
+    return window.size
+
+
+Record = tuple[int, dict[str, str], Callable[[], bytes], str | None]
+
+
+def _member(window: Window, at: int) -> tuple[bytes, int | None]:
+    """Of a gzip member: its inflated start, and its length if the header tells."""
     raw = window.get(at, HEAD_BYTES)
     length = None
     if len(raw) > 24 and raw[3] & 4 and raw[12:14] == b"sl":
         length = struct.unpack("<I", raw[16:20])[0]
-    start = zlib.decompressobj(31).decompress(raw[:length], HEAD_BYTES)
-    if length is not None:
-        return start, lambda: zlib.decompress(window.get(at, length), 31), length
-    return start, lambda: b"", None
+        after = window.get(at + length, len(MAGIC)) if length > 24 and at + length <= window.size else b"?"
+        if after not in (b"", MAGIC):
+            length = None
+    return zlib.decompressobj(31).decompress(raw[:length], HEAD_BYTES), length
 
 
-def _inflated(window: Window, at: int) -> tuple[bytes, int]:
-    """All of a member whose length is not known, and that length."""
+def _inflated(window: Window, at: int) -> tuple[bytes, int | None]:
+    """All of a member whose length is not known, and that length; None if the file ends inside it."""
     inflater, parts, here = zlib.decompressobj(31), [], at
     while not inflater.eof and here < window.size:
         raw = window.get(here, WINDOW_BYTES)
         parts.append(inflater.decompress(raw))
         here += len(raw)
-    return b"".join(parts), here - at - len(inflater.unused_data)
-
-
-def records(
-    window: Window, packed: bool, wanted: Callable[[dict[str, str]], bool]
-) -> Iterator[tuple[int, dict[str, str], Callable[[], bytes]]]:
-    """(offset, headers, a way to the block) of each record whose headers are wanted."""
+    return b"".join(parts), here - at - len(inflater.unused_data) if inflater.eof else None
+
+
+def _packed_record(window: Window, at: int) -> tuple[Record, int | None]:
+    """The record of the gzip member at a place, and where the next begins, if that can be told."""
+    nothing = lambda: b""
+    start = b""
+    try:
+        start, length = _member(window, at)
+        whole = lambda: zlib.decompress(window.get(at, length), 31)
+        if length is None or BREAK not in start:
+            full, length = _inflated(window, at)
+            start, whole = full, lambda: full
+    except zlib.error:
+        return (at, _headers(start.partition(BREAK)[0]), nothing, "gzip"), None
+    head, cut_at, _ = start.partition(BREAK)
+    found = _headers(head)
+    if length is None:
+        return (at, found, nothing, "cut"), None
+    if not cut_at or not start.startswith(MARK):
+        return (at, found, nothing, "length"), at + length
+    body, size = len(head) + len(BREAK), _number(found.get("content-length"))
+    if size is None:
+        return (at, found, lambda: whole()[body:].removesuffix(BREAK), "length"), at + length
+    return (at, found, lambda: whole()[body : body + size], None), at + length
+
+
+def _plain_record(window: Window, at: int) -> tuple[Record, int | None]:
+    """The same in a file that is not compressed."""
+    nothing = lambda: b""
+    count = HEAD_BYTES
+    raw = window.get(at, count)
+    while BREAK not in raw and at + len(raw) < window.size and count < LONGEST_HEAD:
+        count *= 4
+        raw = window.get(at, count)
+    head, cut_at, _ = raw.partition(BREAK)
+    found = _headers(head) if raw.startswith(MARK) else {}
+    if not cut_at:
+        return (at, found, nothing, "cut" if at + len(raw) >= window.size else "length"), None
+    if not raw.startswith(MARK):
+        return (at, found, nothing, "length"), None
+    body, size = at + len(head) + len(BREAK), _number(found.get("content-length"))
+    if size is None:
+        return (at, found, nothing, "length"), None
+    end = body + size
+    if end > window.size:
+        # Cut off, or a wrong length with other records after it.
+        cut = _found(window, BREAK + MARK, body) >= window.size
+        return (at, found, nothing, "cut" if cut else "length"), None
+    if end + len(BREAK) < window.size and window.get(end, len(BREAK)) != BREAK:
+        return (at, found, nothing, "length"), None
+    return (at, found, lambda: window.get(body, size), None), end + len(BREAK)
+
+
+def records(window: Window, packed: bool, wanted: Callable[[dict[str, str]], bool]) -> Iterator[Record]:
+    """(offset, headers, a way to the block, error) of each record whose headers are wanted."""
     at = 0
     while at < window.size:
-        if packed:
-            start, whole, length = _member(window, at)
-            if length is None or BREAK not in start:
-                full, known = _inflated(window, at)
-                start, whole, length = full, (lambda full=full: full), known
-            head, _, _ = start.partition(BREAK)
-            found = _headers(head)
-            if wanted(found):
-                body = len(head) + len(BREAK)
-                size = int(found.get("content-length", 0))
-                yield at, found, lambda w=whole, b=body, s=size: w()[b : b + s]
-            at += length
-            continue
-        count = HEAD_BYTES
-        raw = window.get(at, count)
-        while BREAK not in raw and at + len(raw) < window.size:
-            count *= 4
-            raw = window.get(at, count)
-        head, found_break, _ = raw.partition(BREAK)
-        if not found_break:
-            return  # a cut last record
-        found = _headers(head)
-        body, size = at + len(head) + len(BREAK), int(found.get("content-length", 0))
-        if wanted(found):
-            yield at, found, lambda b=body, s=size: window.get(b, s)
-        at = body + size + len(BREAK)
+        record, after = (_packed_record if packed else _plain_record)(window, at)
+        if wanted(record[1]):
+            yield record
+        if after is None:
+            # Always further on, wherever a record seems to begin.
+            if packed:
+                after = _found(window, MAGIC, at + 1)
+                while after < window.size and not _begins(window, after):
+                    after = _found(window, MAGIC, after + 1)
+            else:
+                after = min(_found(window, BREAK + MARK, at + 1) + len(BREAK), window.size)
+        at = after
+
+
+def _begins(window: Window, at: int) -> bool:
+    """Whether a gzip member with a record begins at a place."""
+    try:
+        return zlib.decompressobj(31).decompress(window.get(at, HEAD_BYTES), len(MARK)) == MARK
+    except zlib.error:
+        return False
 
 
 def _split_block(found: dict[str, str], block: bytes) -> tuple[bytes, int | None]:
@@ -155,8 +229,7 @@ def _split_block(found: dict[str, str], block: bytes) -> tuple[bytes, int | None
     if not found.get("content-type", "").startswith("application/http"):
         return block, None
     head, _, payload = block.partition(BREAK)
-    stated = _headers(head).get("content-length")
-    return payload, int(stated) if stated is not None else None
+    return payload, _number(_headers(head).get("content-length"))
 
 
 class WarcReader(DataSourceReader):
@@ -214,16 +287,18 @@ class WarcReader(DataSourceReader):
         held = 0
         with system.open_input_file(partition.value) as file:
             window = Window(file)
-            for at, found, block in records(window, partition.value.endswith(".gz"), self.wanted):
+            for at, found, block, error in records(window, partition.value.endswith(".gz"), self.wanted):
                 row = {
-                    "content_length": int(found.get("content-length", 0)),
+                    "content_length": _number(found.get("content-length")),
+                    "error": error,
                     "file": partition.value,
                     "offset": at,
                     "headers": list(found.items()),
                     **{name: _bare(key, found.get(key)) for name, key in NAMED.items()},
                 }
-                if self.payload != "none":
-                    payload, stated = _split_block(found, block())
+                content = None if self.payload == "none" else self._content(row, block)
+                if content is not None:
+                    payload, stated = _split_block(found, content)
                     whole = found.get("warc-type") != "revisit"
                     row["payload_bytes"] = len(payload) if whole else stated
                     if whole and self.payload == "digest":
@@ -238,6 +313,15 @@ class WarcReader(DataSourceReader):
         if rows:
             yield self._batch(rows)
 
+    @staticmethod
+    def _content(row: dict, block: Callable[[], bytes]) -> bytes | None:
+        """The block; None, and an error noted, where there is none to be had."""
+        try:
+            content = block()
+        except zlib.error:
+            content, row["error"] = b"", "gzip"
+        return None if row["error"] and not content else content
+
     def _batch(self, rows: list[dict]) -> pa.RecordBatch:
         kinds = {
             "content_length": pa.int64(),
@@ -372,22 +456,26 @@ def write_pages(pages: DataFrame, path: str, compression: str = "gzip") -> None:
     spark.dataSource.register(WarcSource)
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     digest = F.sha1(html)
-    rows = pages.select(F.col("page_id").cast("bigint"), digest.alias("sha1")).distinct()
-    first = rows.groupBy("sha1").agg(F.min("page_id").alias("first"))
-    # Payloads stay where they are while their digests meet; one digest may be that of a third of them.
-    known = left_join(rows, first, ["sha1"], ["page_id"]).toDF("sha1", "id", "first")
+    rows = pages.select(F.col("page_id").cast("bigint"), digest.alias("own")).distinct()
+    # Only payloads that several pages have need to learn which is the first; the list of their digests is joined
+    # to the pages, which stay where they are unless it is too long to be sent to them.
+    first = (
+        rows.groupBy("own")
+        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+        .filter("n > 1")
+        .select("own", "first")
+    )
     found = pages.select(
         F.col("page_id").cast("bigint"), F.col("url").cast("string"), html.alias("payload"), digest.alias("own")
     )
-    same = F.col("page_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("sha1"))
+    known = left_join(found, first, ["own"], ["page_id"])
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
 
     def page(name: str) -> F.Column:
         return F.concat(F.lit("urn:x-page:"), F.coalesce(F.col(name).cast("string"), F.lit("null")))
 
     (
-        found.join(known, same)
-        .select(
+        known.select(
             F.when(revisit, "revisit").otherwise("response").alias("record_type"),
             page("page_id").alias("record_id"),
             F.col("url").alias("target_uri"),
