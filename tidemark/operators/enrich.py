@@ -78,6 +78,7 @@ def enrich(
     spread: Sequence[str] = ARRIVAL_ORDER,
     store_table: bool = True,
     protected: Sequence[str] = (),
+    table_bytes: int | None = None,
 ) -> DataFrame:
     """Facts left-joined with the flattened attributes of the active dimension rows.
 
@@ -85,7 +86,7 @@ def enrich(
     or replaces the fact value (``"override"``). Under ``"override"`` a matched row keeps its own
     value where its dimension row lacks the attribute, and an unmatched row gets null; an attribute that
     does not fit the fact column's type counts as null. Columns in ``protected`` are never replaced:
-    attributes of their names get the suffix.
+    attributes of their names get the suffix. ``table_bytes`` is the table's size where it is known.
     """
     if on_conflict not in ("suffix", "override"):
         raise ValueError("on_conflict must be 'suffix' or 'override'")
@@ -101,7 +102,9 @@ def enrich(
     flat = current.withColumn("_body", payload.body("attributes_json")).select(
         F.col("dimension_key").alias("join_key"), attributes, names
     )
-    joined = left_join(facts, flat, ["join_key"], spread=spread, store_table=store_table)
+    joined = left_join(
+        facts, flat, ["join_key"], spread=spread, store_table=store_table, table_bytes=table_bytes
+    )
     return joined.select(*_merged_columns(facts, types, on_conflict, protected))
 
 

@@ -75,6 +75,18 @@ def remove(spark: SparkSession, path: str) -> bool:
     return file_system.delete(location, True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    file_system, location = _file_system(spark, path)
+    file_system.mkdirs(location)
+
+
+def moved(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder; on file systems with atomic renames it appears whole or not at all."""
+    file_system, location = _file_system(spark, source)
+    if not file_system.rename(location, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
 def release(spark: SparkSession) -> bool:
     """Drop every scratch table of this application; call it when the job's results are stored."""
     return remove(spark, scratch_root(spark))

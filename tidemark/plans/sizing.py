@@ -35,18 +35,21 @@ def left_join(
     spread: Sequence[str],
     broadcast_bytes: int = BROADCAST_BYTES,
     store_table: bool = True,
+    table_bytes: int | None = None,
 ) -> DataFrame:
     """Left join to a table with one row per key.
 
     The table is written once, so that measuring it and joining it do not compute it twice; turn
-    ``store_table`` off for one that is cheap to read again. Below
+    ``store_table`` off for one that is cheap to read again, and pass ``table_bytes`` where its size is known. Below
     ``broadcast_bytes`` it is broadcast. A larger one is joined by shuffle, with the heavy keys of
     ``rows`` salted: their rows are dealt out by the ``spread`` columns (which must vary within a key) and
     their one table row is repeated per salt.
     """
     if store_table:
         table = written(table, "joined-table")
-    if measured_bytes(table) <= broadcast_bytes:
+    if table_bytes is None:
+        table_bytes = measured_bytes(table)
+    if table_bytes <= broadcast_bytes:
         return rows.join(F.broadcast(table), list(on), "left")
     return salted_left_join(rows, table, on, spread)
 

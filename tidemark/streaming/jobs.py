@@ -1,44 +1,53 @@
 """The live form of the operators.
 
-``Flow`` is the whole job: decode, dead letters, enrichment, window results and late corrections, all
-from one ``foreachBatch``. Spark's own watermark drops only events whose windows are all closed and so
-counts late events into open windows; here events behind the watermark by more than the lateness are
-kept out of them. Its state is two tables it writes itself (pane partials and progress), each
-batch in its own folder: a batch that is run again reads only what earlier batches wrote and
-overwrites what its first attempt left, so results do not double.
+``Flow`` is the whole job in two streaming queries. The first decodes: dead letters, enriched events, late
+events, and per batch one row for each (pane, field) that its events fall into, published together with the
+watermark before and after the batch. Spark's own watermark drops only events whose windows are all
+closed and so counts late events into open windows; here events behind the watermark by more than the
+lateness are kept out of them. The second query feeds what is published to Spark's state store
+(``streaming.state``), whose timers follow the first one's watermark, and stores window results and their
+corrections.
 
 Spark moves a watermark once per micro-batch, not per event. ``Flow`` does the same: the watermark
 a batch starts with decides which of its events are accepted and which windows they correct, and a
 window gets at most one new version per batch.
+
+A batch of the first query that is run again overwrites what its first attempt left; what it published stays,
+since it is published by one rename and would be the same. The second query keeps its own place and
+overwrites its results likewise.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
-from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.payload import with_numbers
+from tidemark.functions import payload
 from tidemark.functions.times import SECOND, Windows, micros, timestamp
-from tidemark.operators import corrections, enrich, ingest
-from tidemark.operators.windows import (
-    field_partials,
-    finished,
-    merged_partials,
-    window_partials,
-)
-from tidemark.plans.durable import dated, exists
-from tidemark.schemas import FACT_COLUMNS
+from tidemark.operators import enrich, ingest
+from tidemark.operators.windows import field_partials, packed, unpacked
+from tidemark.plans.durable import exists, make_folder, moved
+from tidemark.plans.sizing import measured_bytes
+from tidemark.schemas import FACT_COLUMNS, WINDOW_RESULTS
 from tidemark.sources.store import Store
+from tidemark.streaming import state
 
 HEARTBEAT = "_heartbeat"
-DAY = timedelta(days=1)
+# State with timers needs RocksDB; with a changelog a batch writes what it changes.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+# Fixed value: error text of the dead-letter envelope for an event ahead of its arrival.
+FUTURE = "Field 'event_time' lies in the future"
 
 PROGRESS = T.StructType(
     [
@@ -48,21 +57,11 @@ PROGRESS = T.StructType(
         T.StructField("n_dropped", T.LongType()),
         T.StructField("n_dead", T.LongType()),
         T.StructField("elapsed_seconds", T.DoubleType()),
+        T.StructField("now_us", T.LongType()),
     ]
 )
 
 
-def _days_between(first: date, last: date) -> list[date]:
-    return [first + number * DAY for number in range((last - first).days + 1)]
-
-
-def _dates(first_us: int, last_us: int) -> list[date]:
-    """Dates from one instant to another, both included."""
-    epoch = date(1970, 1, 1)
-    first, last = (epoch + us // (86_400 * SECOND) * DAY for us in (first_us, last_us))
-    return _days_between(first, last)
-
-
 def heartbeats(spark: SparkSession, per_second: int = 1) -> DataFrame:
     """Wall-clock rows to union with a raw stream, so that silence too produces batches."""
     beats = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
@@ -75,90 +74,162 @@ def heartbeats(spark: SparkSession, per_second: int = 1) -> DataFrame:
     )
 
 
+class FlowRun:
+    """A started flow: both of its queries, or the first with the second to follow when it has ended."""
+
+    def __init__(self, queries: Sequence[StreamingQuery], after: Callable[[], None] | None = None):
+        self.queries, self._after = list(queries), after
+
+    def awaitTermination(self, timeout: float | None = None) -> bool | None:
+        """Wait for the end; False when that did not come within ``timeout`` seconds."""
+        for query in self.queries:
+            if timeout is None:
+                query.awaitTermination()
+            elif not query.awaitTermination(timeout):
+                return False
+        if self._after is not None:
+            self._after()
+            self._after = None
+        return True
+
+    @property
+    def isActive(self) -> bool:
+        return any(query.isActive for query in self.queries)
+
+    def stop(self) -> None:
+        for query in self.queries:
+            query.stop()
+
+
 @dataclass
 class Flow:
     """Raw messages in; dead letters, enriched events, late events and window results out.
 
     ``dimension`` is called once per batch, so updates of the dimension reach the next batch; let it
-    read a stored table. Pass ``attribute_types`` to spare each batch the search for them.
-    ``fields`` are the numeric payload fields to aggregate. The stored tables are laid out by the columns
-    of the event envelope, so an attribute of such a name is stored with the suffix ``_right``.
+    read a stored table. If it has a method ``version`` (as ``sources.dimension_table`` has), the table is
+    measured again only when that changes. Pass ``attribute_types`` to spare each batch the search for them.
+
+    ``fields`` are the numeric payload fields to aggregate, None all that are found, whenever they
+    first appear. ``attribute_fields`` are numeric attributes of the dimension to aggregate as well, taken
+    from the enriched event. The stored tables are laid out by the columns of the event envelope, so an
+    attribute of such a name is stored with the suffix ``_right``.
+
+    Events more than ``future_seconds`` ahead of their arrival are dead letters, so that none moves the
+    watermark to a time that has not come; None accepts them. Late events correct a closed window for
+    ``keep_seconds`` after the end of its block, always if None.
     """
 
     spark: SparkSession
     root: str
     windows: Windows
-    fields: Sequence[str]
+    fields: Sequence[str] | None
     lateness_seconds: float = 10.0
     idle_timeout_seconds: float = 30.0
     dimension: Callable[[SparkSession], DataFrame] | None = None
     attribute_types: Mapping[str, str] | None = None
+    attribute_fields: Sequence[str] = ()
+    future_seconds: float | None = 300.0
+    keep_seconds: float | None = None
 
     def __post_init__(self):
         self.root = self.root.rstrip("/")
         self.store = Store(self.spark, self.root)
+        self._measured: tuple[object, int] | None = None
 
     # -- running -------------------------------------------------------------------------------
 
-    def start(self, raw: DataFrame, **trigger) -> StreamingQuery:
-        return (
-            raw.writeStream.foreachBatch(self.process)
+    def start(self, raw: DataFrame, **trigger) -> FlowRun:
+        """Without a trigger both queries take what is there and end, the second after the first."""
+        trigger = trigger or {"availableNow": True}
+        first = (
+            raw.writeStream.foreachBatch(self.ingest)
             .option("checkpointLocation", f"{self.root}/checkpoint")
-            .trigger(**(trigger or {"availableNow": True}))
+            .trigger(**trigger)
             .start()
         )
+        if trigger.get("availableNow") or trigger.get("once"):
+            return FlowRun([first], self.settle)
+        return FlowRun([first, self._windows_query(trigger)])
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
+        """One batch from messages to window results."""
+        self.ingest(batch, batch_id)
+        self.settle()
+
+    def settle(self) -> None:
+        """Bring window results up to what has been published."""
+        if exists(self.spark, f"{self.root}/published"):
+            self._windows_query({"availableNow": True}).awaitTermination()
+
+    def _windows_query(self, trigger: Mapping) -> StreamingQuery:
+        make_folder(self.spark, f"{self.root}/published")
+        for key, value in STATE_SETTINGS.items():
+            self.spark.conf.set(key, value)
+        partials = (
+            self.spark.readStream.schema(state.PARTIALS)
+            .option("recursiveFileLookup", True)
+            .option("cleanSource", "delete")
+            .parquet(f"{self.root}/published")
+        )
+        return (
+            state.window_changes(partials, self.windows, self.keep_seconds)
+            .writeStream.foreachBatch(self.store_results)
+            .option("checkpointLocation", f"{self.root}/checkpoint-windows")
+            .trigger(**trigger)
+            .start()
+        )
+
+    # -- from messages to partials -------------------------------------------------------------
+
+    def ingest(self, batch: DataFrame, batch_id: int) -> None:
         started = time.monotonic()
         lateness = round(self.lateness_seconds * SECOND)
         before, last_arrival = self._standing(batch_id)
-        whole = ingest.decode(batch).persist()
-        decoded = whole.filter(F.col("source_topic") != HEARTBEAT)
-        facts = ingest.fact_events(decoded)
-        on_time = F.lit(True) if before is None else (
-            micros("event_time") >= F.lit(before - lateness)
-        )
-        good = F.col("error").isNull()
-        seen = whole.agg(
-            F.max(F.when(good, micros("event_time"))).alias("newest"),
-            F.max(F.when(good, micros("ingest_time"))).alias("arrival"),
-            F.count_if(good & on_time).alias("n_accepted"),
-            F.count_if(good & ~on_time).alias("n_dropped"),
-            F.count_if(~good & (F.col("source_topic") != HEARTBEAT)).alias("n_dead"),
-            F.max(micros("ingest_time")).alias("now"),
-            F.collect_set(F.when(good, self._pane_date(micros("event_time")))).alias("days"),
-        ).first()
-        after = self._advanced(before, seen, last_arrival, lateness)
-
-        self._write(ingest.dead_letters(decoded), "dead_letters", batch_id)
-        self.store.add_events(self._enriched(facts.filter(on_time)), batch_id)
-        self._write(facts.filter(~on_time), "late_events", batch_id)
-        self._add_partials(facts, on_time, before, batch_id)
-        results = self._window_results(before, after, batch_id, seen.days)
-        if results is not None:
-            emitted = timestamp(F.lit(seen.now))
-            self.store.add_windows(
-                corrections.result_rows(results.withColumn("emitted_at", emitted), self.fields),
-                batch_id,
+        whole = self._decoded(batch).persist()
+        try:
+            decoded = whole.filter(F.col("source_topic") != HEARTBEAT)
+            facts = ingest.fact_events(decoded)
+            on_time = F.lit(True) if before is None else (
+                micros("event_time") >= F.lit(before - lateness)
             )
-        self._write(
-            self.spark.createDataFrame(
-                [
-                    (
-                        after,
-                        max((t for t in (last_arrival, seen.arrival) if t is not None), default=None),
-                        seen.n_accepted,
-                        seen.n_dropped,
-                        seen.n_dead,
-                        time.monotonic() - started,
-                    )
-                ],
-                PROGRESS,
-            ),
-            "progress",
-            batch_id,
-        )
-        whole.unpersist()
+            good = F.col("error").isNull()
+            seen = whole.agg(
+                F.max(F.when(good, micros("event_time"))).alias("newest"),
+                F.max(F.when(good, micros("ingest_time"))).alias("arrival"),
+                F.count_if(good & on_time).alias("n_accepted"),
+                F.count_if(good & ~on_time).alias("n_dropped"),
+                F.count_if(~good & (F.col("source_topic") != HEARTBEAT)).alias("n_dead"),
+                F.max(micros("ingest_time")).alias("now"),
+            ).first()
+            after = self._advanced(before, seen, last_arrival, lateness)
+            # A batch is written only where it has rows; what its first attempt left is overwritten.
+            self._write(ingest.dead_letters(decoded), "dead_letters", batch_id, seen.n_dead)
+            if seen.n_accepted:
+                self.store.add_events(self._enriched(facts.filter(on_time)), batch_id)
+            self._write(facts.filter(~on_time), "late_events", batch_id, seen.n_dropped)
+            arrived = [t for t in (last_arrival, seen.arrival) if t is not None]
+            row = (
+                after,
+                max(arrived, default=None),
+                seen.n_accepted,
+                seen.n_dropped,
+                seen.n_dead,
+                time.monotonic() - started,
+                seen.now,
+            )
+            self._write(_one_row(self.spark, row, PROGRESS), "progress", batch_id, 1)
+            n_events = seen.n_accepted + seen.n_dropped
+            if after is not None and (n_events or after != before):
+                self._publish(facts if n_events else None, on_time, before, after, batch_id)
+        finally:
+            whole.unpersist()
+
+    def _decoded(self, batch: DataFrame) -> DataFrame:
+        decoded = ingest.decode(batch)
+        if self.future_seconds is None:
+            return decoded
+        ahead = micros("event_time") > micros("ingest_time") + round(self.future_seconds * SECOND)
+        return decoded.withColumn("error", F.coalesce("error", F.when(ahead, FUTURE)))
 
     def _advanced(self, before, seen, last_arrival, lateness) -> int | None:
         """The watermark after a batch: from its newest event, or from a silence."""
@@ -174,19 +245,34 @@ class Flow:
     def _enriched(self, facts: DataFrame) -> DataFrame:
         if self.dimension is None:
             return facts
+        table = self.dimension(self.spark)
         return enrich.enrich(
             facts,
-            self.dimension(self.spark),
+            table,
             self.attribute_types,
             on_conflict="override",
             store_table=False,
             protected=FACT_COLUMNS,
+            table_bytes=self._table_bytes(table),
         )
 
-    # -- state ---------------------------------------------------------------------------------
-
-    def _write(self, rows: DataFrame, table: str, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/batch_id={batch_id}")
+    def _table_bytes(self, table: DataFrame) -> int | None:
+        """Size of the dimension where its version tells that it is as last measured."""
+        version = getattr(self.dimension, "version", None)
+        if version is None:
+            return None
+        now = version(self.spark)
+        if self._measured is None or self._measured[0] != now:
+            self._measured = now, measured_bytes(table)
+        return self._measured[1]
+
+    def _write(self, rows: DataFrame, table: str, batch_id: int, count: int) -> None:
+        path = f"{self.root}/{table}/batch_id={batch_id}"
+        if count or exists(self.spark, path):
+            rows.write.mode("overwrite").parquet(path)
+        elif not exists(self.spark, f"{self.root}/{table}"):
+            # So that the table can be read before it has rows.
+            rows.limit(0).write.mode("overwrite").parquet(path)
 
     def _standing(self, batch_id: int) -> tuple[int | None, int | None]:
         """Watermark and last arrival at the end of the batch before."""
@@ -198,180 +284,167 @@ class Flow:
         row = self.spark.read.schema(PROGRESS).parquet(path).first()
         return row.watermark_us, row.last_arrival_us
 
-    def _add_partials(self, facts: DataFrame, on_time, before: int | None, batch_id: int) -> None:
-        """One partial per (pane, limit) of the batch.
-
-        ``_limit`` is the last window start the partial counts for: none for accepted events, the
-        last closed window for dropped ones.
-        """
-        limit = F.lit(None).cast("bigint")
-        if before is not None:
-            last_closed = self.windows.first_open_start(F.lit(before)) - self.windows.slide
-            limit = F.when(~on_time, last_closed)
-        partials = (
-            with_numbers(facts, self.fields)
-            .withColumns({"_pane": self.windows.pane_of(micros("event_time")), "_limit": limit})
-            .groupBy("_pane", "_limit")
-            .agg(F.count("*").alias("_n"), *field_partials(self.fields))
-            .withColumn("pane_date", self._pane_date(F.col("_pane")))
-            .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        )
-        (
-            partials.hint("rebalance", "pane_date")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("pane_date", "batch_id")
-            .parquet(f"{self.root}/partials")
-        )
-        self._partial_schema = partials.schema
-
-    def _pane_date(self, us) -> Column:
-        return F.to_date(timestamp(self.windows.pane_of(us)))
-
-    def _partials(self, days: Iterable[date]) -> DataFrame:
-        """Partials of panes on these dates; no other folder is listed."""
-        path = f"{self.root}/partials"
-        return dated(self.spark, path, self._partial_schema, "pane_date", days)
-
-    def _panes(
-        self, batch_id: int, first_us: int, last_us: int, days: Iterable[date] | None = None
-    ) -> DataFrame:
-        """Partials up to this batch that windows starting within the bounds may contain, or those of
-        them on some dates."""
-        low, high = first_us, last_us + self.windows.size
-        if days is None:
-            days = _dates(low, high)
-        return (
-            self._partials(days)
-            .filter((F.col("_pane") >= low) & (F.col("_pane") < high))
-            .filter(F.col("batch_id") <= batch_id)
+    def _publish(self, facts: DataFrame | None, on_time, before, after: int, batch_id: int) -> None:
+        """The partials of a batch, all at once under a name that is its own."""
+        target = f"{self.root}/published/batch_id={batch_id}"
+        if exists(self.spark, target):
+            return
+        mark = timestamp(F.lit(after)).alias("mark")
+        told = [F.lit(batch_id).cast("bigint").alias("batch"), F.lit(before).cast("bigint").alias("before"), mark]
+        names = state.PARTIALS.fieldNames()[:7]
+        rows = self.spark.range(1).select(
+            *[F.lit(None).cast(state.PARTIALS[name].dataType).alias(name) for name in names], *told
         )
-
-    def _spread(self, panes: DataFrame, first_us: int, last_us: int) -> DataFrame:
-        """One row per (partial, window it counts for) with a start within the bounds."""
-        last = F.least(self.windows.last_start(F.col("_pane")), F.col("_limit"), F.lit(last_us))
-        first = F.greatest(self.windows.first_start(F.col("_pane")), F.lit(first_us))
-        return panes.filter(first <= last).withColumn(
-            "_start", F.explode(self.windows.starts(first, last))
+        if facts is not None:
+            rows = self._partials(facts, on_time).select(*names, *told).unionByName(rows)
+        path = f"{self.root}/publishing/batch_id={batch_id}"
+        rows.write.mode("overwrite").parquet(path)
+        make_folder(self.spark, f"{self.root}/published")
+        moved(self.spark, path, target)
+
+    def _partials(self, facts: DataFrame, on_time: Column) -> DataFrame:
+        """One row per (pane, accepted or not, field) of the batch, in long form."""
+        keys = ["pane", "accepted"]
+        pane = self.windows.pane_of(micros("event_time")).alias("pane")
+        listed = [*(self.fields or ()), *self.attribute_fields]
+        if self.attribute_fields:
+            facts = self._enriched(facts)
+        own = [name for name in self.fields or () if name not in self.attribute_fields]
+        numbers = facts.withColumn("_body", payload.body("payload_json")).select(
+            pane,
+            on_time.alias("accepted"),
+            *[payload.number(F.col("_body"), name).alias(name) for name in own],
+            *[F.col(name).try_cast("double").alias(name) for name in self.attribute_fields],
         )
-
-    def _totals(
-        self, batch_id: int, first_us: int, last_us: int, days: Iterable[date] | None = None
-    ) -> DataFrame:
-        """One merged partial per window that starts within the bounds, from panes on ``days``."""
-        panes = self._panes(batch_id, first_us, last_us, days)
-        accepted = window_partials(panes.filter("_limit is null"), self.windows, self.fields)
-        dropped = self._spread(panes.filter("_limit is not null"), first_us, last_us)
-        return (
-            accepted.filter(F.col("_start").between(first_us, last_us))
-            .unionByName(dropped.select(*accepted.columns))
-            .groupBy("_start")
-            .agg(*merged_partials(self.fields))
+        listed = [*own, *self.attribute_fields]
+        wide = numbers.groupBy(*keys).agg(F.count("*").alias("_n"), *field_partials(listed))
+        none = F.lit(None).cast("double")
+        parts = [_partial(F.lit(state.COUNT), F.col("_n"), none, none, none)]
+        parts += [
+            _partial(F.lit(state.FIELD + name), *[F.col(f"_{name}_{x}") for x in ("n", "sum", "min", "max")])
+            for name in listed
+        ]
+        rows = wide.select(*keys, F.inline(F.array(*parts))).filter("n > 0")
+        if self.fields is not None:
+            return rows
+        found = payload.numeric_fields(facts.select(pane, on_time.alias("accepted"), "payload_json"), keys)
+        return rows.unionByName(
+            found.filter(~F.col("field").isin([*FACT_COLUMNS, *self.attribute_fields]))
+            .groupBy(*keys, "field")
+            .agg(*field_partials(["value"]))
+            .select(
+                *keys,
+                _partial(
+                    F.concat(F.lit(state.FIELD), "field"), *[F.col(f"_value_{x}") for x in ("n", "sum", "min", "max")]
+                ).alias("_row"),
+            )
+            .select(*keys, "_row.*")
         )
 
     # -- window results ------------------------------------------------------------------------
 
-    def _window_results(
-        self, before: int | None, after: int | None, batch_id: int, days: list[date]
-    ) -> DataFrame | None:
-        if after is None or not exists(self.spark, f"{self.root}/partials"):
-            return None
-        parts = [self._newly_closed(before, after, batch_id), self._corrected(before, batch_id, days)]
-        parts = [part for part in parts if part is not None]
-        out = None
-        for part in parts:
-            out = part if out is None else out.unionByName(part)
-        return out
-
-    def _newly_closed(self, before: int | None, after: int, batch_id: int) -> DataFrame | None:
-        """Version 0 of the windows the watermark passed in this batch."""
-        slide, size = self.windows.slide, self.windows.size
-        last = (after - size) // slide * slide
-        if before is None:
-            oldest = (
-                self.spark.read.schema(self._partial_schema)
-                .parquet(f"{self.root}/partials")
-                .filter(F.col("batch_id") <= batch_id)
-                .agg(F.min("_pane").alias("p"))
-                .first()
-                .p
+    def store_results(self, changes: DataFrame, batch_id: int) -> None:
+        """Changes of windows as rows of the stored table; fields that a correction leaves as they were are
+        taken from the version before."""
+        changes = changes.persist()
+        try:
+            head = F.col("field") == state.COUNT
+            day = F.to_date(timestamp("start"))
+            span = changes.filter(head).agg(
+                F.min(F.when(F.col("step") < 0, F.col("start"))).alias("first"),
+                F.collect_set(F.when(F.col("step") >= 0, day)).alias("days"),
+                F.collect_set("step").alias("steps"),
+            ).first()
+            if not span.steps:
+                return
+            known = (
+                self.store.window_writes(span.days)
+                .filter(F.col("batch_id") < batch_id)
+                .groupBy(micros("window_start").alias("start"))
+                .agg(F.max_by("aggregations_json", F.struct("correction_version", "batch_id")).alias("known"))
+                .select("start", F.map_entries(unpacked("known")).alias("known"))
             )
-            if oldest is None:
-                return None
-            first = (oldest - size) // slide * slide + slide
-        else:
-            first = (before - size) // slide * slide + slide
-        if first > last:
-            return None
-        return self._finished(
-            self._totals(batch_id, first, last).withColumn("correction_version", F.lit(0))
-        )
+            rows = state.result_maps(changes).join(known, "start", "left")
+            names = F.transform("entries", lambda x: x["key"])
+            kept = F.filter("known", lambda x: ~F.array_contains(names, x["key"]))
+            entries = F.concat(F.col("entries"), F.coalesce(kept, F.array().cast(rows.schema["entries"].dataType)))
+            emitted = self._emitted(span.steps, span.first)
+            self.store.add_windows(
+                rows.select(
+                    *self.windows.bounds("start"),
+                    packed(F.map_from_entries(F.array_sort(entries))).alias("aggregations_json"),
+                    F.col("event_count").cast("int").alias("event_count"),
+                    (F.col("version") > 0).alias("is_correction"),
+                    F.col("version").alias("correction_version"),
+                    emitted.alias("emitted_at"),
+                    emitted.alias("created_at"),
+                ).select(*WINDOW_RESULTS.fieldNames()),
+                batch_id,
+            )
+        finally:
+            changes.unpersist()
 
-    def _corrected(self, before: int | None, batch_id: int, days: list[date]) -> DataFrame | None:
-        """The next version of each closed window that this batch's events fall into.
+    def _emitted(self, steps: Sequence[int], first: int | None) -> Column:
+        """Arrival of the batch that made a correction, or that closed a window.
 
-        Only dates within a window's reach of the batch's late panes are read, however far apart
-        they lie.
+        One small row per batch since the oldest of these windows ended reaches the driver.
         """
-        if before is None or not days:
-            return None
-        slide, size = self.windows.slide, self.windows.size
-        last_closed = (before - size) // slide * slide
-        late = (
-            self._partials(days)
-            .filter((F.col("batch_id") == batch_id))
-            .filter(self.windows.first_start(F.col("_pane")) <= last_closed)
-        )
-        span = late.agg(
-            F.min("_pane").alias("low"),
-            F.max("_pane").alias("high"),
-            F.collect_set("pane_date").alias("days"),
-        ).first()
-        if span.low is None:
-            return None
-        first = (span.low - size) // slide * slide + slide
-        last = min(last_closed, span.high // slide * slide)
-        touched = (
-            self._spread(late, first, last)
-            .select("_start")
-            .distinct()
-        )
-        reach = timedelta(microseconds=size)
-        near = {day for own in span.days for day in _days_between(own - reach, own + reach + DAY)}
-        known = (
-            self.store.window_writes(near)
-            .filter(F.col("batch_id") < batch_id)
-            .groupBy(micros("window_start").alias("_start"))
-            .agg((F.max("correction_version") + 1).alias("correction_version"))
-        )
-        totals = self._totals(batch_id, first, last, near)
-        return self._finished(totals.join(touched, "_start", "left_semi").join(known, "_start"))
-
-    def _finished(self, merged: DataFrame) -> DataFrame:
-        return merged.select(
-            *self.windows.bounds("_start"), "correction_version", *finished(self.fields)
+        wanted = F.col("batch_id").isin([step for step in steps if step >= 0])
+        if first is not None:
+            wanted = wanted | (F.col("watermark_us") >= first + self.windows.size)
+        told = self.table("progress").filter(wanted).select("batch_id", "watermark_us", "now_us")
+        marks = F.array(
+            *[
+                F.struct(*[F.lit(x).cast("bigint").alias(name) for x, name in zip(row, ("batch", "mark", "now"))])
+                for row in sorted(told.collect())
+            ]
         )
+        own = F.filter(marks, lambda x: x["batch"] == F.col("step"))
+        closing = F.filter(marks, lambda x: x["mark"] >= F.col("start") + self.windows.size)
+        return timestamp(F.get(F.when(F.col("step") >= 0, own).otherwise(closing), F.lit(0))["now"])
 
     # -- reading -------------------------------------------------------------------------------
 
     def open_windows(self) -> DataFrame:
-        """Results so far of the windows that the watermark has not closed, from the stored partials."""
-        newest = self.table("progress").orderBy(F.desc("batch_id")).first()
-        path = f"{self.root}/partials"
-        self._partial_schema = self.spark.read.parquet(path).schema
-        slide, size = self.windows.slide, self.windows.size
-        panes = self.spark.read.schema(self._partial_schema).parquet(path).filter("_limit is null")
-        if newest.watermark_us is not None:
-            since = _dates(newest.watermark_us - size, newest.watermark_us)[0]
-            panes = panes.filter(F.col("pane_date") >= F.lit(since))
-        span = panes.agg(F.min("_pane").alias("low"), F.max("_pane").alias("high")).first()
-        low, high = (0, -1) if span.low is None else (span.low, span.high)
-        first = (low - size) // slide * slide + slide
-        if newest.watermark_us is not None:
-            first = max(first, (newest.watermark_us - size) // slide * slide + slide)
-        totals = self._totals(newest.batch_id, first, high // slide * slide)
-        return self._finished(totals.withColumn("correction_version", F.lit(0)))
+        """Results so far of the windows that the watermark has not closed, from the state store.
+
+        The listed fields are columns; found ones come as the map ``aggregations``.
+        """
+        stored = (
+            self.spark.read.format("statestore")
+            .option("path", f"{self.root}/checkpoint-windows")
+            .option("stateVarName", "panes")
+            .load()
+        )
+        rows = state.result_maps(state.open_totals(stored, self.windows)).withColumn(
+            "aggregations", F.map_from_entries("entries")
+        )
+        listed = [
+            F.col("aggregations")[f"{name}_{part}"].alias(f"{name}_{part}")
+            for name in (*(self.fields or ()), *self.attribute_fields)
+            for part in ("sum", "min", "max", "avg")
+        ]
+        return rows.select(
+            *self.windows.bounds("start"),
+            F.col("version").alias("correction_version"),
+            "event_count",
+            *listed,
+            *(["aggregations"] if self.fields is None else []),
+        )
 
     def table(self, name: str) -> DataFrame:
         """A table the flow wrote: ``dead_letters``, ``late_events`` or ``progress``."""
         return self.spark.read.parquet(f"{self.root}/{name}")
+
+
+def _partial(field: Column, n: Column, total: Column, low: Column, high: Column) -> Column:
+    return F.struct(
+        field.alias("field"), n.alias("n"), total.alias("total"), low.alias("low"), high.alias("high")
+    )
+
+
+def _one_row(spark: SparkSession, values: Sequence, schema: T.StructType) -> DataFrame:
+    """A row made by Spark itself, without a Python worker."""
+    return spark.range(1).select(
+        *[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(values, schema.fields, strict=True)]
+    )
