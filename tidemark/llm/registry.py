@@ -21,6 +21,14 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
     "spark.sql.python.filterPushdown.enabled": "true",
 }
+# Python workers give memory back to the system: they are many beside a JVM, and a long text leaves each of
+# them with arrays of its size otherwise.
+ENVIRONMENT = {
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+    "MALLOC_ARENA_MAX": "1",
+    "MALLOC_MMAP_THRESHOLD_": str(4 << 20),
+    "MALLOC_TRIM_THRESHOLD_": str(8 << 20),
+}
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -30,6 +38,8 @@ def configured(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     environment = spark.sparkContext.environment
+    for key, value in ENVIRONMENT.items():
+        environment.setdefault(key, value)
     known = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
