@@ -12,7 +12,7 @@ from tidemark.sources import messages
 from tidemark.sources.store import metrics_of
 from tidemark.streaming.jobs import Flow
 from tidemark.suite import data
-from tidemark.suite.data import DIM, EV, FIELDS, HOURLY, LATENESS, spread_sql, window_id_sql
+from tidemark.suite.data import DIM, EV, HOURLY, LATENESS, spread_sql, window_id_sql
 from tidemark.suite.ingest import ERROR, RAW, raw_messages
 from tidemark.suite.registry import once, query, snap, snap_sql
 
@@ -34,10 +34,11 @@ def finished_flow(spark, sf_dir: str) -> Flow:
         spark,
         f"{root}/out",
         HOURLY,
-        FIELDS,
+        None,
         LATENESS,
         dimension=lambda _: table,
         attribute_types=data.attribute_types(spark, sf_dir),
+        attribute_fields=["price"],
     )
     raw = raw_messages(spark, sf_dir).to(RAW_MESSAGE)
     origin = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
@@ -110,6 +111,39 @@ def stream_latest(spark, sf_dir):
     return rows.select("window_id", "correction_version", "event_count")
 
 
+MEASURED = [("value", "value"), ("k", "k"), ("price", "price")]
+PARTS = ["sum", "min", "max"]
+
+
+def _measures(merge: str) -> str:
+    return ", ".join(merge.format(part=part, name=name) for name, _ in MEASURED for part in PARTS)
+
+
+@query(
+    "stream_found_fields",
+    f"""WITH {DIM}, {FLOW},
+fedp AS (SELECT fed.*, dim.price FROM fed LEFT JOIN dim ON dim.key = CAST(user_id AS VARCHAR) AND dim.is_active),
+spreadp AS (SELECT * FROM {spread_sql('fedp', HOURLY)}),
+firsts AS (SELECT s, 0 AS b, 0 AS version, {_measures('{part}({name}) AS {name}_{part}')} FROM spreadp
+  WHERE accepted AND (wm0 IS NULL OR s + {SIZE} > wm0) AND s IN (SELECT s FROM v0) GROUP BY s),
+lates AS (SELECT s, b, 1 AS version, {_measures('{part}({name}) AS {name}_{part}')} FROM spreadp
+  WHERE s + {SIZE} <= wm0 AND s IN (SELECT s FROM v0) GROUP BY s, b),
+versions AS (SELECT s, sum(version) OVER w AS version, {_measures('{part}({name}_{part}) OVER w AS {name}_{part}')}
+  FROM (SELECT s, -1 AS b, * EXCLUDE (s, b) FROM firsts UNION ALL SELECT s, b, * EXCLUDE (s, b) FROM lates)
+  WINDOW w AS (PARTITION BY s ORDER BY b)),
+long AS (UNPIVOT (SELECT s, version, {_measures('CAST({name}_{part} AS DOUBLE) AS {name}_{part}')} FROM versions)
+  ON COLUMNS(* EXCLUDE (s, version)) INTO NAME metric VALUE metric_value)
+SELECT {ID} AS window_id, CAST(version AS INTEGER) AS correction_version, metric,
+       {snap_sql('metric_value', 2)} AS metric_value FROM long""",
+)
+def stream_found_fields(spark, sf_dir):
+    """Every version of the fields found in the messages, and of an attribute of the dimension."""
+    rows = metrics_of(finished_flow(spark, sf_dir).store.window_results())
+    return rows.filter("metric <> 'count' and not endswith(metric, '_avg')").select(
+        "window_id", "correction_version", "metric", snap("metric_value", 2).alias("metric_value")
+    )
+
+
 @query(
     "stream_end_to_end",
     f"""WITH {DIM}, {FLOW}, rows_out AS (
