@@ -16,9 +16,11 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import payload
 from tidemark.functions.times import Windows, micros
 from tidemark.operators import watermark
 from tidemark.operators.windows import (
+    SHARES,
     aggregations,
     field_partials,
     finished,
@@ -27,7 +29,7 @@ from tidemark.operators.windows import (
 )
 from tidemark.plans.durable import written
 from tidemark.plans.ordered import OrderedRows, Running
-from tidemark.schemas import ARRIVAL_ORDER
+from tidemark.schemas import ARRIVAL_ORDER, FACT_COLUMNS
 
 
 @dataclass(frozen=True)
@@ -36,11 +38,16 @@ class WindowReplay:
 
     ``of`` runs and stores that replay. The on-time partials, which every result starts from, are
     stored when first asked for.
+
+    ``fields`` are the numeric columns to aggregate. With None they are found in the events'
+    ``payload_json``: ``closed``, ``open`` and ``corrections`` then count events only, and ``found_versions``
+    and ``results`` tell of every field in long form, so no task holds the fields of a window until their map
+    is made.
     """
 
     replayed: DataFrame
     windows: Windows
-    fields: Sequence[str]
+    fields: Sequence[str] | None
     lateness_seconds: float = 10.0
     time: str = "event_time"
     order: Sequence[str] = ARRIVAL_ORDER
@@ -50,7 +57,7 @@ class WindowReplay:
         cls,
         events: DataFrame,
         windows: Windows,
-        fields: Sequence[str],
+        fields: Sequence[str] | None,
         lateness_seconds: float = 10.0,
         idle_timeout_seconds: float | None = None,
         time: str = "event_time",
@@ -65,11 +72,19 @@ class WindowReplay:
         replayed = watermark.replay(events, lateness_seconds, idle_timeout_seconds, time, order)
         return cls(written(replayed, "replayed"), windows, fields, lateness_seconds, time, order)
 
+    @property
+    def _listed(self) -> Sequence[str]:
+        return self.fields or ()
+
     @cached_property
     def on_time(self) -> DataFrame:
-        """One partial per window over the accepted, on-time events.
+        """One partial per window over the accepted, on-time events."""
+        return written(self._on_time(self.replayed, self._listed), "on-time")
 
-        Events are reduced to (pane, first window still open on arrival) before they are spread
+    def _on_time(self, rows: DataFrame, fields: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+        """Partials of accepted, on-time rows by window.
+
+        They are reduced to (pane, first window still open on arrival) before they are spread
         over windows; nearly all share the pane's own first window.
         """
         pane = self.windows.pane_of(micros(self.time))
@@ -77,14 +92,13 @@ class WindowReplay:
             self.windows.first_start(pane), self.windows.first_open_start(micros("watermark"))
         )
         panes = (
-            self.replayed.filter(F.col("decision") == watermark.ACCEPT)
+            rows.filter(F.col("decision") == watermark.ACCEPT)
             .withColumns({"_pane": pane, "_first": first})
             .filter(F.col("_first") <= self.windows.last_start(F.col("_pane")))
-            .groupBy("_pane", "_first")
-            .agg(F.count("*").alias("_n"), *field_partials(self.fields))
+            .groupBy(*keys, "_pane", "_first")
+            .agg(F.count("*").alias("_n"), *field_partials(fields))
         )
-        spread = window_partials(panes, self.windows, self.fields, first=F.col("_first"))
-        return written(spread, "on-time")
+        return window_partials(panes, self.windows, fields, keys, first=F.col("_first"))
 
     @cached_property
     def _last_watermark(self) -> Column:
@@ -95,7 +109,7 @@ class WindowReplay:
 
     def closed(self) -> DataFrame:
         """Version 0 of every window the watermark has closed."""
-        return self._closed_partials().select(*self.windows.bounds("_start"), *finished(self.fields))
+        return self._closed_partials().select(*self.windows.bounds("_start"), *finished(self._listed))
 
     def open(self) -> DataFrame:
         """Current aggregates of the windows still open."""
@@ -103,7 +117,7 @@ class WindowReplay:
             self.on_time.filter(F.col("_start") > self._last_watermark - self.windows.size)
             .select(
                 *self.windows.bounds("_start"),
-                *finished(self.fields),
+                *finished(self._listed),
                 F.lit(True).alias("is_partial"),
             )
         )
@@ -115,7 +129,7 @@ class WindowReplay:
             self.replayed, closed, self.windows, self.lateness_seconds, self.time, self.order
         ).select("_start", F.col(self.order[0]).alias("emitted_at"))
         return closed.join(points, "_start").select(
-            *self.windows.bounds("_start"), *finished(self.fields), "emitted_at"
+            *self.windows.bounds("_start"), *finished(self._listed), "emitted_at"
         )
 
     def _late(self) -> DataFrame:
@@ -135,7 +149,7 @@ class WindowReplay:
                 *self.order,
                 F.lit(1).alias("_late"),
                 F.lit(1).cast("bigint").alias("_n"),
-                *[_as_partial(name, part) for name in self.fields for part in _PARTS],
+                *[_as_partial(name, part) for name in self._listed for part in _PARTS],
             )
         )
 
@@ -156,6 +170,9 @@ class WindowReplay:
         Version 0 enters the scan as the window's first row, so one ordered scan does the join
         and the running merge; a window with very many late events spans several ranges.
         """
+        return self._corrections(late_scope)
+
+    def _corrections(self, late_scope: str, places: bool = False) -> DataFrame:
         if late_scope not in ("all", "newest"):
             raise ValueError("late_scope must be 'all' or 'newest'")
         closed = self._closed_partials()
@@ -165,7 +182,7 @@ class WindowReplay:
         rows = closed.withColumn("_late", F.lit(0)).unionByName(late, allowMissingColumns=True)
         ordered = OrderedRows.of(rows, ["_late", *self.order], ["_start"])
         after = {"_n": Running("sum", F.col("_n"))}
-        for name in self.fields:
+        for name in self._listed:
             for part, kind in _PARTS.items():
                 column = f"_{name}_{part}"
                 after[column] = Running(kind, F.col(column))
@@ -182,6 +199,7 @@ class WindowReplay:
             *self.windows.bounds("_start"),
             F.col("correction_version").cast("int").alias("correction_version"),
             F.col(self.order[0]).alias("emitted_at"),
+            *(["_start", *self.order] if places else []),
             *self._state("_after"),
             F.struct(
                 (F.col("correction_version") - 1).cast("int").alias("correction_version"),
@@ -192,14 +210,99 @@ class WindowReplay:
     def _state(self, prefix: str) -> list[Column]:
         """``finished`` columns computed from the prefixed partial columns."""
         out = [F.col(f"{prefix}_n").cast("bigint").alias("event_count")]
-        for name in self.fields:
+        for name in self._listed:
             at = f"{prefix}_{name}"
             out += [F.col(f"{at}_{part}").alias(f"{name}_{part}") for part in ("sum", "min", "max")]
             out.append(F.try_divide(f"{at}_sum", f"{at}_n").alias(f"{name}_avg"))
         return out
 
+    @cached_property
+    def _found(self) -> DataFrame:
+        """One row per (event, numeric field of its payload)."""
+        keep = [*self.order, self.time, "watermark", "decision"]
+        values = payload.numeric_fields(self.replayed.select(*keep, "payload_json"), keep)
+        return written(values.filter(~F.col("field").isin(FACT_COLUMNS)), "found-fields")
+
+    def found_versions(self, late_scope: str = "all") -> DataFrame:
+        """One row per (window, version, field that it holds): ``_start``, ``correction_version``, ``field``
+        and the merged partial of the field, whether or not the version's event has it.
+
+        A window's versions and the fields found in it are laid out first, which is the size of the result; the
+        partials run along (window, field) in ordered ranges, so neither a window with very many late
+        events nor one with very many fields meets in a task.
+        """
+        on_time = written(self._on_time(self._found, ["value"], ["field"]), "found-on-time")
+        first = on_time.join(self._closed_partials().select("_start"), "_start", "left_semi")
+        late = written(
+            self._corrections(late_scope, places=True).select("_start", "correction_version", *self.order),
+            "found-late",
+        )
+        values = self._found.select(
+            *self.order, "field", *[_as_partial("value", part) for part in _PARTS]
+        )
+        hits = late.join(values, list(self.order)).drop(*self.order)
+        rows = written(
+            first.select("_start", F.lit(0).alias("correction_version"), "field", *_value_columns()).unionByName(
+                hits.select("_start", "correction_version", "field", *_value_columns())
+            ),
+            "found-hits",
+        )
+        # From the version that brings a field on, every version has it.
+        since = rows.groupBy("_start", "field").agg(F.min("correction_version").alias("_since"))
+        slots = (
+            late.select("_start", "correction_version")
+            .join(since, "_start")
+            .filter(F.col("correction_version") >= F.col("_since"))
+            .drop("_since")
+        )
+        laid = rows.unionByName(slots, allowMissingColumns=True)
+        laid = laid.groupBy("_start", "field", "correction_version").agg(*merged_values())
+        scanned = OrderedRows.of(laid, ["correction_version"], ["_start", "field"]).running(
+            **{f"_after{name}": Running(_PARTS[name.rpartition("_")[2]], F.col(name)) for name in _value_columns()}
+        )
+        return scanned.select(
+            "_start", "correction_version", "field", *[F.col(f"_after{x}").alias(x) for x in _value_columns()]
+        )
+
+    def _found_results(self, late_scope: str) -> DataFrame:
+        first = self.closed_with_time().withColumns(
+            {"correction_version": F.lit(0), "_start": micros("window_start")}
+        )
+        versions = first.unionByName(
+            self._corrections(late_scope, places=True).drop("previous", *self.order)
+        )
+        entries = F.array_compact(
+            F.array(
+                *[
+                    F.when(x.isNotNull(), F.struct(F.concat_ws("_", "field", F.lit(part)).alias("key"), x.alias("value")))
+                    for part, x in {
+                        "avg": F.try_divide("_value_sum", "_value_n"),
+                        **{part: F.col(f"_value_{part}") for part in ("max", "min", "sum")},
+                    }.items()
+                ]
+            )
+        )
+        # The fields of a window meet in two stages, first by shares of them.
+        keys = ["_start", "correction_version"]
+        maps = (
+            self.found_versions(late_scope)
+            .withColumn("_salt", F.pmod(F.xxhash64("field"), F.lit(SHARES)))
+            .groupBy(*keys, "_salt")
+            .agg(F.flatten(F.collect_list(entries)).alias("_entries"))
+            .groupBy(*keys)
+            .agg(F.flatten(F.collect_list("_entries")).alias("_entries"))
+        )
+        count = F.struct(F.lit("count").alias("key"), F.col("event_count").cast("double").alias("value"))
+        none = F.array().cast("array<struct<key: string, value: double>>")
+        whole = F.concat(F.array(count), F.coalesce("_entries", none))
+        return _stored_rows(
+            versions.join(maps, keys, "left"), F.map_from_entries(F.array_sort(whole))
+        )
+
     def results(self, late_scope: str = "all") -> DataFrame:
         """All versions of all closed windows in the layout of the stored table."""
+        if self.fields is None:
+            return self._found_results(late_scope)
         first = self.closed_with_time().withColumn("correction_version", F.lit(0))
         return result_rows(
             first.unionByName(self.corrections(late_scope).drop("previous")), self.fields
@@ -209,6 +312,15 @@ class WindowReplay:
 _PARTS = {"sum": "sum", "min": "min", "max": "max", "n": "sum"}
 
 
+def _value_columns() -> list[str]:
+    return [f"_value_{part}" for part in _PARTS]
+
+
+def merged_values() -> list[Column]:
+    merge = {"sum": F.sum, "min": F.min, "max": F.max}
+    return [merge[kind](f"_value_{part}").alias(f"_value_{part}") for part, kind in _PARTS.items()]
+
+
 def _as_partial(name: str, part: str) -> Column:
     value = F.col(name).cast("double")
     inf = float("inf")
@@ -223,11 +335,15 @@ def _as_partial(name: str, part: str) -> Column:
 
 def result_rows(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Wide window rows in the layout of the stored table."""
+    return _stored_rows(rows, aggregations(fields))
+
+
+def _stored_rows(rows: DataFrame, aggregations_map: Column) -> DataFrame:
     return rows.select(
         "window_id",
         "window_start",
         "window_end",
-        packed(aggregations(fields)).alias("aggregations_json"),
+        packed(aggregations_map).alias("aggregations_json"),
         F.col("event_count").cast("int").alias("event_count"),
         (F.col("correction_version") > 0).alias("is_correction"),
         F.col("correction_version").cast("int").alias("correction_version"),

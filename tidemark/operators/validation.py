@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import payload
 from tidemark.functions.rules import Rules
+from tidemark.plans.durable import written
 
 # Names a message body must have, and the JSON type of each.
 REQUIRED_FIELDS = {
@@ -89,8 +90,9 @@ def field_profile(messages: DataFrame, text: str = "value") -> DataFrame:
             F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("_objects"),
         )
     )
-    # One row for each field and type: few enough for one window.
-    objects = F.sum("_objects").over(Window.partitionBy(F.lit(0)))
+    # Names may be free, so the rows stay apart; only their total is one number.
+    found = written(found, "profile")
+    objects = found.agg(F.sum("_objects")).scalar()
     return (
         found.withColumn("share", F.col("n_messages") / objects)
         .filter(F.col("field").isNotNull())

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.times import Windows, floor_to, micros
 
 INFINITY = float("inf")
+# Shares in which the fields of a window are first gathered.
+SHARES = 16
 
 
 def assign(events: DataFrame, windows: Windows, time: str = "event_time") -> DataFrame:
@@ -205,8 +207,8 @@ def aggregate_fields(
     """Aggregations of every field found in the data, as one map per window.
 
     ``values`` holds (``time``, ``field``, ``value``) rows. The window's count covers all
-    ``events``, those without any numeric field too. The per-window list grows with the number of
-    distinct field names only.
+    ``events``, those without any numeric field too. The entries of a window's map meet in two stages,
+    first by shares of its fields, so that very many names are not gathered row by row in one task.
     """
     per_field = aggregate(values, windows, ["value"], ["field"], time)
     entries = F.array_compact(
@@ -223,8 +225,12 @@ def aggregate_fields(
             ]
         )
     )
-    fields = per_field.groupBy("window_id").agg(
-        F.flatten(F.collect_list(entries)).alias("_entries")
+    fields = (
+        per_field.withColumn("_share", F.pmod(F.xxhash64("field"), F.lit(SHARES)))
+        .groupBy("window_id", "_share")
+        .agg(F.flatten(F.collect_list(entries)).alias("_entries"))
+        .groupBy("window_id")
+        .agg(F.flatten(F.collect_list("_entries")).alias("_entries"))
     )
     counts = aggregate(events, windows, [], time=time)
     none = F.array().cast("array<struct<key: string, value: double>>")

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.times import SECOND, Windows, floor_to
+from tidemark.operators.windows import SHARES
 
 # The field under which all events are counted; others have FIELD before their name.
 COUNT = ""
@@ -270,7 +271,7 @@ def open_totals(state: DataFrame, windows: Windows) -> DataFrame:
     return flat.mapInPandas(batches, CHANGES)
 
 
-def result_maps(changes: DataFrame, salts: int = 16) -> DataFrame:
+def result_maps(changes: DataFrame, salts: int = SHARES) -> DataFrame:
     """start, step, version, event_count and the map of aggregations of each window version.
 
     Entries of a version are those of its step and, for a field without one, of its last step before; what

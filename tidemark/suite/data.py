@@ -114,6 +114,19 @@ def window_replay(spark: SparkSession, sf_dir: str) -> WindowReplay:
     return WindowReplay.of(events, HOURLY, FIELDS, LATENESS)
 
 
+@once
+def found_fields_replay(spark: SparkSession, sf_dir: str) -> WindowReplay:
+    """A replay that finds its fields: ``value`` in every payload and one of five names beside it."""
+    text = F.concat(
+        F.lit('{"value":'), F.col("value").cast("string"), F.lit(',"kind_'),
+        (F.col("event_id") % 5).cast("string"), F.lit('":'), F.col("k").cast("string"), F.lit("}"),
+    )
+    rows = events(spark, sf_dir).select(
+        "event_time", F.col("arrived_at").alias("ingest_time"), "partition", "offset", text.alias("payload_json")
+    )
+    return WindowReplay.of(rows, HOURLY, None, LATENESS)
+
+
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_replay(spark, sf_dir).replayed
 

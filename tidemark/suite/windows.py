@@ -9,6 +9,7 @@ from tidemark.functions.rules import violation_counts
 from tidemark.functions.times import Windows, window_bounds
 from tidemark.operators import windows as w
 from tidemark.operators.corrections import latest
+from tidemark.sources.store import metrics_of
 from tidemark.operators.validation import window_rules
 from tidemark.suite import data
 from tidemark.suite.data import EV, FIELDS, FIVE_MINUTES, HOURLY, REPLAY, spread_sql, window_id_sql
@@ -161,6 +162,40 @@ def agg_by_field(spark, sf_dir):
     )
 
 
+# Each event with the fields of a payload of its own: one that all have, and one of five names.
+FOUND = f"""{REPLAY},
+late_versions AS (SELECT s, arr, part, off, version FROM corr),
+numbers AS (
+  SELECT wm.*, field, x FROM wm, LATERAL (
+    VALUES ('value', CAST(value AS DOUBLE)), ('kind_' || event_id % 5, CAST(k AS DOUBLE))) AS t(field, x)),
+numbers_spread AS (SELECT * FROM {spread_sql('numbers', HOURLY)}),
+hits AS (
+  SELECT s, 0 AS version, field, sum(x) AS sx, min(x) AS lo, max(x) AS hi FROM numbers_spread
+  WHERE decision = 'accept' AND s + {SIZE} > wm AND s IN (SELECT s FROM closed) GROUP BY s, field
+  UNION ALL
+  SELECT n.s, version, field, x, x, x FROM numbers_spread n JOIN late_versions USING (s, arr, part, off)),
+all_versions AS (SELECT s, 0 AS version FROM closed UNION ALL SELECT s, version FROM corr),
+found AS (
+  SELECT a.s, a.version, field, sum(sx) AS sum, min(lo) AS min, max(hi) AS max
+  FROM all_versions a JOIN hits h ON h.s = a.s AND h.version <= a.version GROUP BY a.s, a.version, field)"""
+
+
+@query(
+    "window_found_fields",
+    f"""WITH {FOUND}, long AS (
+  SELECT s, version, field, unnest(['sum', 'min', 'max']) AS part, unnest([sum, min, max]) AS x FROM found)
+SELECT {ID} AS window_id, CAST(version AS INTEGER) AS correction_version, field || '_' || part AS metric,
+       {snap_sql('x', 2)} AS metric_value FROM long""",
+)
+def window_found_fields(spark, sf_dir):
+    """All versions of all closed windows with the fields found in the payloads, none of them listed."""
+    results = data.found_fields_replay(spark, sf_dir).results()
+    rows = metrics_of(results).filter("metric <> 'count' and not endswith(metric, '_avg')")
+    return rows.select(
+        "window_id", "correction_version", "metric", snap("metric_value", 2).alias("metric_value")
+    )
+
+
 SHOW_V0 = f"""{ID} AS window_id, n AS event_count, {snap_sql('value_sum', 2)} AS value_sum,
        value_min, value_max, {snap_sql('value_sum / n', 6)} AS value_avg,
        CAST(k_sum AS DOUBLE) AS k_sum"""
