@@ -3,16 +3,18 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from helpers import EPOCH, at, log, naive, seconds, up
 from pyspark.sql import functions as F
 
-from tidemark.functions.times import Windows
+from tidemark.functions.times import SECOND, Windows
 from tidemark.operators import dimension
 from tidemark.operators import windows as w
 from tidemark.operators.corrections import latest
 from tidemark.schemas import RAW_MESSAGE
 from tidemark.sources import messages
+from tidemark.streaming import state
 from tidemark.streaming.jobs import HEARTBEAT, Flow
 
 SHAPE = Windows(60, 20)
@@ -195,3 +197,135 @@ def test_odd_numbers_and_attributes_do_not_stop_the_flow(spark, tmp_path):
     assert [(r.partition_id, json.loads(r.dimension_attrs_json)) for r in stored] == [
         (0, {"event_time_right": "soon", "partition_right": "text", "tier": "gold"})
     ]
+
+
+def test_found_fields_and_attributes(spark, tmp_path):
+    """A field that first appears in the third batch is in first results and in corrections; numbers of the
+    dimension count like those of the message; a new Flow object goes on where the last one stood."""
+    table = dimension.replay(log(spark, up("u1", 1, price=10.0), up("u2", 1, price=2)))
+
+    def flow():
+        return Flow(
+            spark, str(tmp_path / "out"), Windows(60, 60), None, LATENESS, dimension=lambda _: table,
+            attribute_types={"price": "double"}, attribute_fields=["price"],
+        )
+
+    def message(number, event, key, **numbers):
+        return (json.dumps({"event_time": at(event).isoformat(), "join_key": key, **numbers}), "t", 0, number, at(event))
+
+    batches = [
+        [message(0, 0, "u1", value=1), message(1, 10, "u3", value=2, text="x", flag=True)],
+        [message(2, 90, "u2", value=4)],
+        [message(3, 95, "u1", value=8, rare=5), message(4, 5, "u1", rare=7, nested={"a": 1})],
+        [message(5, 400, "u1", value=16)],
+    ]
+    for number, batch in enumerate(batches):
+        flow().process(raw_batch(spark, batch), number)
+    rows = {
+        (seconds(r.window_start) - seconds(naive(at(0))), r.correction_version): json.loads(r.aggregations_json)
+        for r in flow().store.window_results().collect()
+    }
+    first = {"count": 2, "price_avg": 10, "price_max": 10, "price_min": 10, "price_sum": 10}
+    first |= {"value_avg": 1.5, "value_max": 2, "value_min": 1, "value_sum": 3}
+    second = first | {"count": 3, "price_sum": 20} | {f"rare_{part}": 7 for part in ("avg", "max", "min", "sum")}
+    assert rows[0, 0] == first and rows[0, 1] == second
+    assert rows[60, 0] == {
+        "count": 2, "price_avg": 6, "price_max": 10, "price_min": 2, "price_sum": 12,
+        "rare_avg": 5, "rare_max": 5, "rare_min": 5, "rare_sum": 5,
+        "value_avg": 6, "value_max": 8, "value_min": 4, "value_sum": 12,
+    }
+    assert len(rows) == 3
+
+
+def test_events_of_the_future_are_set_aside(spark, tmp_path):
+    """A far date neither moves the watermark nor closes what is open."""
+    flow = flow_of(spark, tmp_path / "out")
+    far = ('{"event_time":253402300799,"join_key":"u1","value":1}', "t", 0, 77, at(1))
+    near = raw_rows([(250, 1, 2.0, "u1")])
+    flow.process(raw_batch(spark, [far, *near, *raw_rows([(0, 1, 1.0, "u1")])]), 0)
+    flow.process(raw_batch(spark, raw_rows([(255, 255, 2.0, "u1")])), 1)
+    assert [r.error for r in flow.table("dead_letters").collect()] == ["Field 'event_time' lies in the future"]
+    assert flow.store.joined_events().count() == 3
+    assert flow.table("progress").agg(F.max("watermark_us")).first()[0] == seconds(naive(at(255 - LATENESS))) * 1e6
+
+
+def test_published_batches_are_taken_once(spark, tmp_path):
+    """A batch that crashed after it was published publishes nothing more; windows may lag behind batches."""
+    flow = flow_of(spark, tmp_path / "out", Windows(60, 60))
+    batches = [[(0, 0, 1.0, "u1")], [(100, 100, 2.0, "u1")], [(5, 101, 4.0, "u1")], [(300, 300, 8.0, "u1")]]
+    for number, batch in enumerate(batches):
+        flow.ingest(raw_batch(spark, raw_rows(batch)), number)
+        flow.ingest(raw_batch(spark, raw_rows(batch)), number)
+    assert flow.store.window_results().count() == 0
+    flow.settle()
+    expected, _ = model(batches, Windows(60, 60))
+    assert versions_of(flow) == expected and any(version == 1 for _, version in expected)
+    emitted = {(seconds(r.window_start), r.correction_version): r.emitted_at for r in flow.store.window_results().collect()}
+    base = seconds(naive(at(0)))
+    assert emitted[base, 0] == naive(at(100)) and emitted[base, 1] == naive(at(101)) and emitted[base + 60, 0] == naive(at(300))
+    flow.settle()
+    assert versions_of(flow) == expected
+
+
+@pytest.mark.parametrize(("size", "slide", "seed"), [(60, 60, 1), (60, 5, 2), (50, 20, 3), (60, 25, 4)])
+def test_state_of_blocks(size, slide, seed):
+    """The state of blocks, kept as bytes between batches, against windows worked on one by one."""
+    shape = Windows(size, slide)
+    rng = random.Random(seed)
+    length = state.block_length(shape)
+    blobs, marks, found, want, versions, open_now = {}, [None], {}, {}, {}, {}
+    clock = 0
+    for batch in range(12):
+        before = marks[-1]
+        rows = []
+        for _ in range(25):
+            clock += rng.choice([0, 2, 7])
+            rows.append(((clock - rng.choice([0, 0, 5, 60, 200])) * SECOND, rng.choice([1.0, -2.5, 4.0])))
+        touched = set()
+        keyed = {}
+        for us, value in rows:
+            accepted = before is None or us >= before - 15 * SECOND
+            pane = us // shape.pane * shape.pane
+            first = (us - shape.size) // shape.slide * shape.slide + shape.slide
+            for start in range(first, us // shape.slide * shape.slide + 1, shape.slide):
+                closed = before is not None and start + shape.size <= before
+                if (closed and start in versions) or (accepted and not closed):
+                    n, total = open_now.get(start, (0, 0.0))
+                    open_now[start] = (n + 1, total + value)
+                    if closed:
+                        touched.add(start)
+            for block in {start // length * length for start in range(first, us // shape.slide * shape.slide + 1, shape.slide)}:
+                keyed.setdefault(block, []).append((accepted, (pane, 1, value, value, value)))
+        for start in touched:
+            versions[start] += 1
+            want[start, versions[start]] = open_now[start]
+        after = max([us for us, _ in rows] + [0]) - 15 * SECOND
+        marks.append(after if before is None else max(before, after))
+        for start in open_now:
+            if start not in versions and start + shape.size <= marks[-1]:
+                versions[start] = 0
+                want[start, 0] = open_now[start]
+        for block in {*keyed, *blobs}:
+            own = state._Block(shape, block, state.COUNT, *blobs.get(block, (None, None)))
+            if block in keyed:
+                values = np.array([row for _, row in keyed[block]], state._PANE)
+                own.add(batch, before, np.array([a for a, _ in keyed[block]]), values)
+            own.close(marks[-1])
+            blobs[block] = own.panes.blob(), own.closed_blob()
+            for start, _, step, version, n, total, _, _ in own.out:
+                assert (step == -1) == (version == 0)
+                found[start, version] = (n, total)
+    assert {k: (n, pytest.approx(t)) for k, (n, t) in want.items()} == found
+    assert any(version > 1 for _, version in found)
+
+
+def test_panes_go_with_their_windows():
+    """What a block keeps of panes is bounded by its open windows."""
+    shape = Windows(300, 1)
+    own = state._Block(shape, 0, state.COUNT, None, None)
+    for second in range(0, 600):
+        values = np.array([(second * SECOND, 1, 1.0, 1.0, 1.0)], state._PANE)
+        own.add(second, (second - 1) * SECOND if second else None, np.array([True]), values)
+        assert len(own.panes.rows) <= 302
+    own.close(600 * SECOND)
+    assert len(own.panes.rows) == 0 and len(own.closed) == 300 and own.next_end() is None
