@@ -78,6 +78,50 @@ def replay(changes: DataFrame) -> DataFrame:
     )
 
 
+# What is left of a key's changes: its winning upsert, if it has one, and the place of its last delete.
+STATE = T.StructType(
+    [
+        T.StructField("dimension_key", T.StringType()),
+        T.StructField("attributes_json", T.StringType()),
+        T.StructField("version", T.LongType()),
+        T.StructField("updated_at", T.TimestampType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("deleted", T.LongType()),
+    ]
+)
+
+
+def as_states(changes: DataFrame) -> DataFrame:
+    """Each change as the state it would leave alone."""
+    wins = (F.col("op") == "upsert") & (F.col("version") > 0)
+    kept = [F.when(wins, F.col(name)).alias(name) for name in STATE.fieldNames()[1:5]]
+    return changes.select("dimension_key", *kept, F.when(F.col("op") == "delete", F.col("seq")).alias("deleted"))
+
+
+def fold_states(states: DataFrame) -> DataFrame:
+    """One state per key. Folding in any order and in any parts gives what ``replay`` gives of all changes."""
+    rank = F.when(F.col("version").isNotNull(), F.struct(F.col("version"), (-F.col("seq")).alias("first")))
+    return (
+        states.groupBy("dimension_key")
+        .agg(
+            F.max_by(F.struct("attributes_json", "version", "updated_at", "seq"), rank).alias("_row"),
+            F.max("deleted").alias("deleted"),
+        )
+        .select("dimension_key", *[F.col(f"_row.{name}").alias(name) for name in STATE.fieldNames()[1:5]], "deleted")
+    )
+
+
+def from_states(states: DataFrame) -> DataFrame:
+    """The table that the states stand for."""
+    return states.filter(F.col("version").isNotNull()).select(
+        "dimension_key",
+        "attributes_json",
+        "version",
+        "updated_at",
+        F.coalesce(F.col("deleted") < F.col("seq"), F.lit(True)).alias("is_active"),
+    )
+
+
 def as_changes(table: DataFrame) -> DataFrame:
     """A stored table as the start of a change log; an inactive row is a load and its delete."""
     rows = table.select(

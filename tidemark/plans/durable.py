@@ -87,6 +87,29 @@ def moved(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot rename {source} to {target}")
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that appears whole: under another name first, then renamed."""
+    file_system, location = _file_system(spark, path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.draft")
+    out = file_system.create(draft, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    file_system.delete(location, False)
+    if not file_system.rename(draft, location):
+        raise OSError(f"cannot write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    file_system, location = _file_system(spark, path)
+    source = file_system.open(location)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
 def release(spark: SparkSession) -> bool:
     """Drop every scratch table of this application; call it when the job's results are stored."""
     return remove(spark, scratch_root(spark))

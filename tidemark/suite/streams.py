@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import dimension
 from tidemark.operators.corrections import latest
 from tidemark.plans.durable import scratch_path, written
 from tidemark.schemas import RAW_MESSAGE
 from tidemark.sources import messages
+from tidemark.sources.dimension_table import DimensionTable
 from tidemark.sources.store import metrics_of
 from tidemark.streaming.jobs import Flow
 from tidemark.suite import data
@@ -178,22 +178,41 @@ def stream_end_to_end(spark, sf_dir):
     return joined.unionByName(late).unionByName(dead)
 
 
+@once
+def standing_dimension(spark, sf_dir: str) -> DimensionTable:
+    """The change log landed in three stretches, each merged into the standing table as a batch."""
+    root = scratch_path(spark, "changes")
+    changes = data.changes(spark, sf_dir)
+    top = changes.agg(F.max("seq")).first()[0] or 0
+    table = DimensionTable(spark, f"{root}/table", n_buckets=8, max_deltas=1)
+    for number in range(3):
+        part = F.least(F.floor(F.greatest("seq", F.lit(0)) * 3 / (top + 1)), F.lit(2))
+        changes.filter(part == number).write.mode("append").parquet(f"{root}/landing")
+        table.start(messages.dimension_changes(spark, f"{root}/landing", streaming=True)).awaitTermination()
+    return table
+
+
 @query(
     "dim_changelog",
     f"WITH {DIM} SELECT key AS dimension_key, version, is_active FROM dim",
 )
 def dim_changelog(spark, sf_dir):
-    """The change log read as a stream into a change table, then folded."""
-    root = scratch_path(spark, "changes")
-    data.changes(spark, sf_dir).write.parquet(f"{root}/landing")
-    run = (
-        messages.dimension_changes(spark, f"{root}/landing", streaming=True)
-        .writeStream.format("parquet")
-        .option("path", f"{root}/log")
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
+    """The change log consumed as a stream into the standing table."""
+    return standing_dimension(spark, sf_dir).table().select("dimension_key", "version", "is_active")
+
+
+@query(
+    "dim_point_lookup",
+    f"""WITH {DIM} SELECT key AS dimension_key, version, is_active, order_key FROM dim
+WHERE key IN (SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'purchase')""",
+)
+def dim_point_lookup(spark, sf_dir):
+    """The standing table's rows for the keys of some events."""
+    buyers = data.events(spark, sf_dir).filter("event_type = 'purchase'")
+    keys = buyers.select(F.col("user_id").cast("string").alias("dimension_key"))
+    return standing_dimension(spark, sf_dir).lookup(keys).select(
+        "dimension_key",
+        "version",
+        "is_active",
+        F.get_json_object("attributes_json", "$.order_key").cast("bigint").alias("order_key"),
     )
-    run.awaitTermination()
-    folded = dimension.replay(messages.dimension_changes(spark, f"{root}/log"))
-    return folded.select("dimension_key", "version", "is_active")
