@@ -39,13 +39,6 @@ from tidemark.sources.store import Store
 from tidemark.streaming import state
 
 HEARTBEAT = "_heartbeat"
-# State with timers needs RocksDB; with a changelog a batch writes what it changes.
-STATE_SETTINGS = {
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    ),
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-}
 # Fixed value: error text of the dead-letter envelope for an event ahead of its arrival.
 FUTURE = "Field 'event_time' lies in the future"
 
@@ -163,8 +156,7 @@ class Flow:
 
     def _windows_query(self, trigger: Mapping) -> StreamingQuery:
         make_folder(self.spark, f"{self.root}/published")
-        for key, value in STATE_SETTINGS.items():
-            self.spark.conf.set(key, value)
+        state.set_state_store(self.spark)
         partials = (
             self.spark.readStream.schema(state.PARTIALS)
             .option("recursiveFileLookup", True)

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -54,6 +54,21 @@ _CLOSED = np.dtype([("start", "<i8"), ("version", "<i8"), *[(x, _PANE[x]) for x
 _NEVER = np.iinfo(np.int64).min
 
 
+# State with timers needs RocksDB; with a changelog a batch writes what it changes.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def set_state_store(spark: SparkSession) -> None:
+    """Session settings that queries with such state are started under."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+
+
 def block_length(windows: Windows) -> int:
     return -(-windows.size // windows.slide) * windows.slide
 

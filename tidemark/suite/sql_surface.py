@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import readonly_sql
+from tidemark.plans.intervals import Span, interval_join
+from tidemark.plans.neighbours import framed, ranked, span_sums
 from tidemark.plans.ordered import as_of_join
 from tidemark.suite import data
-from tidemark.suite.registry import query, snap_sql
+from tidemark.suite.registry import query, snap, snap_sql
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -336,3 +338,86 @@ def sql_asof_join(spark, sf_dir):
         open_orders, done, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["done_at"], ["done_key", "n_done"]
     )
     return joined.select("o_orderkey", "done_key", "n_done")
+
+
+DAY = 86_400_000_000
+
+
+@query(
+    "range_join",
+    f"""SELECT o_orderkey, count(*) AS n_lines, {snap_sql('sum(l_quantity)', 2)} AS quantity,
+       min(l_shipdate) AS first_shipped
+FROM orders JOIN lineitem ON o_orderdate >= l_shipdate AND o_orderdate < l_shipdate + to_days(l_linenumber % 3 + 1)
+GROUP BY o_orderkey""",
+)
+def range_join(spark, sf_dir):
+    """Each order with the lines that are on their way when it comes in: two large sides and no equality."""
+    orders = data.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("ordered")
+    )
+    lines = data.table(spark, sf_dir, "lineitem").select(
+        "l_quantity",
+        "l_shipdate",
+        F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("shipped"),
+        (F.pmod("l_linenumber", F.lit(3)) + 1).alias("days"),
+    )
+    way = Span(F.col("shipped"), F.col("shipped") + F.col("days") * DAY)
+    pairs = interval_join(orders, lines, Span.at(F.col("ordered")), way)
+    return pairs.groupBy("o_orderkey").agg(
+        F.count("*").alias("n_lines"),
+        snap(F.sum("l_quantity"), 2).alias("quantity"),
+        F.min("l_shipdate").alias("first_shipped"),
+    )
+
+
+# A total order of the lines, and what rows of equal place are.
+TOTAL = ["l_shipdate", "l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+ORDERED = ", ".join(TOTAL)
+
+
+@query(
+    "window_whole_table",
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice,
+  row_number() OVER w AS row_number, rank() OVER p AS rank, dense_rank() OVER p AS dense_rank,
+  CAST(ntile(7) OVER w AS INT) AS ntile, lag(l_quantity, 2) OVER w AS before, lead(l_quantity) OVER w AS after,
+  {snap_sql('sum(l_quantity) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING)', 2)} AS around,
+  count(*) OVER (ORDER BY l_shipdate RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW) AS last_month
+FROM lineitem WINDOW w AS (ORDER BY {ORDERED}), p AS (ORDER BY l_shipdate)""",
+)
+def window_whole_table(spark, sf_dir):
+    """Ranks, neighbours, frames of rows and of days over all lines at once, no PARTITION BY."""
+    lines = data.table(spark, sf_dir, "lineitem").select(*TOTAL)
+    rows = ranked(lines, TOTAL, peers=["l_shipdate"], tiles=7)
+    rows = rows.withColumn("day_us", F.unix_micros(F.col("l_shipdate").cast("timestamp")))
+    rows = span_sums(rows, "day_us", 30 * DAY, {"last_month": F.lit(1).cast("bigint")})
+    quantity = F.col("l_quantity")
+    rows = framed(
+        rows,
+        {"before": (F.max(quantity), -2, -2), "after": (F.max(quantity), 1, 1), "around": (F.sum(quantity), -3, 1)},
+    )
+    return rows.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "row_number", "rank", "dense_rank",
+        "ntile", "before", "after", snap("around", 2).alias("around"), "last_month",
+    )
+
+
+@query(
+    "window_hot_partition",
+    """SELECT event_id, kind, row_number() OVER w AS row_number, rank() OVER p AS rank,
+  lag(event_id) OVER w AS before, count(*) OVER (PARTITION BY kind ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)
+    AS last_hour
+FROM (SELECT event_id, CASE WHEN event_id % 10 < 6 THEN NULL ELSE event_type END AS kind,
+  epoch_us(ts) // 1000000 AS s FROM events)
+WINDOW w AS (PARTITION BY kind ORDER BY s, event_id), p AS (PARTITION BY kind ORDER BY s)""",
+)
+def window_hot_partition(spark, sf_dir):
+    """The same by a partition key that most rows lack."""
+    events = data.table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(F.col("event_id") % 10 >= 6, F.col("event_type")).alias("kind"),
+        F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("s"),
+    )
+    rows = ranked(events, ["s", "event_id"], ["kind"], peers=["s"])
+    rows = span_sums(rows, "s", 3600, {"last_hour": F.lit(1).cast("bigint")}, ["kind"])
+    rows = framed(rows, {"before": (F.max("event_id"), -1, -1)}, ["kind"])
+    return rows.select("event_id", "kind", "row_number", "rank", "before", "last_hour")

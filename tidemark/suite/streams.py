@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.corrections import latest
 from tidemark.plans.durable import scratch_path, written
-from tidemark.schemas import RAW_MESSAGE
+from tidemark.schemas import ARRIVAL_ORDER, RAW_MESSAGE
 from tidemark.sources import messages
 from tidemark.sources.dimension_table import DimensionTable
 from tidemark.sources.store import metrics_of
+from tidemark.streaming import temporal
 from tidemark.streaming.jobs import Flow
+from tidemark.streaming.state import set_state_store
 from tidemark.suite import data
 from tidemark.suite.data import DIM, EV, HOURLY, LATENESS, spread_sql, window_id_sql
 from tidemark.suite.ingest import ERROR, RAW, raw_messages
-from tidemark.suite.registry import once, query, snap, snap_sql
+from tidemark.suite.registry import ORACLES, once, query, snap, snap_sql
 
 ID = window_id_sql(HOURLY)
 SIZE = HOURLY.size
@@ -216,3 +218,55 @@ def dim_point_lookup(spark, sf_dir):
         "is_active",
         F.get_json_object("attributes_json", "$.order_key").cast("bigint").alias("order_key"),
     )
+
+
+@once
+def live_as_of(spark, sf_dir: str):
+    """Facts and changes landed in four stretches each, in turn; positions count as seconds."""
+    root = scratch_path(spark, "as-of")
+    set_state_store(spark)
+    moment = lambda position: F.timestamp_micros(position * 1_000_000).alias("moment")
+    position = F.col("offset") * 3 + F.col("partition")
+    facts = data.facts(spark, sf_dir).select("event_id", "join_key", *ARRIVAL_ORDER, moment(position))
+    changes = data.changes(spark, sf_dir).select("*", moment(F.col("seq")))
+    paths = {name: f"{root}/{name}" for name in ("facts", "changes")}
+    frames = {"facts": facts, "changes": changes}
+    top = facts.agg(F.max(F.unix_seconds("moment"))).first()[0] or 0
+    fact_schema, change_schema = facts.schema, changes.schema
+    # The last stretch moves both watermarks past every fact; its rows are of no key.
+    end = F.timestamp_micros(F.lit((10 * top + 10) * 1_000_000)).alias("moment")
+    for number in range(5):
+        for name, frame in frames.items():
+            share = F.least(F.floor(F.greatest(F.unix_seconds("moment"), F.lit(0)) * 4 / (top + 1)), F.lit(3))
+            part = frame.filter(share == number)
+            if number == 4:
+                part = frame.limit(1).select(
+                    *[end if c == "moment" else F.lit("no-one").alias(c) if c.endswith("_key") else c for c in frame.columns]
+                )
+            part.write.mode("append").parquet(paths[name])
+        joined = temporal.enrich_as_of(
+            spark.readStream.schema(fact_schema).parquet(paths["facts"]),
+            spark.readStream.schema(change_schema).parquet(paths["changes"]),
+            "moment",
+            "moment",
+        )
+        run = (
+            joined.writeStream.format("parquet")
+            .option("path", f"{root}/joined")
+            .option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        run.awaitTermination()
+    return spark.read.schema(joined.schema).parquet(f"{root}/joined")
+
+
+@query("stream_enrich_as_of", ORACLES["enrich_as_of"])
+def stream_enrich_as_of(spark, sf_dir):
+    """The as-of join of both logs as live streams, fed in turn."""
+    return live_as_of(spark, sf_dir).select(
+        "event_id",
+        "version",
+        F.get_json_object("attributes_json", "$.order_key").cast("bigint").alias("order_key"),
+        F.get_json_object("attributes_json", "$.name").alias("name"),
+    )
