@@ -21,14 +21,15 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
     "spark.sql.python.filterPushdown.enabled": "true",
 }
-# Python workers give memory back to the system: they are many beside a JVM, and a long text leaves each of
-# them with arrays of its size otherwise.
-ENVIRONMENT = {
+# For several operators in a row on executors whose memory is short: Python workers give memory back to the
+# system instead of keeping what their largest batch took, and scans hold fewer texts at a time.
+FRUGAL_ENVIRONMENT = {
     "ARROW_DEFAULT_MEMORY_POOL": "system",
     "MALLOC_ARENA_MAX": "1",
     "MALLOC_MMAP_THRESHOLD_": str(4 << 20),
     "MALLOC_TRIM_THRESHOLD_": str(8 << 20),
 }
+FRUGAL_SETTINGS = {"spark.sql.parquet.columnarReaderBatchSize": "512"}
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -38,14 +39,21 @@ def configured(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     environment = spark.sparkContext.environment
-    for key, value in ENVIRONMENT.items():
-        environment.setdefault(key, value)
     known = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
     return spark
 
 
+def frugal(spark: SparkSession) -> SparkSession:
+    """``configured``, with less memory beside the JVM's heap."""
+    for key, value in FRUGAL_SETTINGS.items():
+        spark.conf.set(key, value)
+    for key, value in FRUGAL_ENVIRONMENT.items():
+        spark.sparkContext.environment.setdefault(key, value)
+    return configured(spark)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(build: Query) -> Query:
         @wraps(build)
