@@ -14,6 +14,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+# A writer holds a row group in memory until it is full.
+ROW_GROUP_BYTES = 16 << 20
 _LOCAL_ROOTS: dict[str, str] = {}
 
 
@@ -38,7 +40,7 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     """Write ``frame`` once and return the stored table."""
     spark = frame.sparkSession
     path = scratch_path(spark, label)
-    frame.write.parquet(path)
+    frame.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
