@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import near_dedup
 from tidemark.llm.joins import join_stored
 from tidemark.llm.words import binary, chunks, shingles, words
-from tidemark.plans.durable import written
+from tidemark.plans.durable import discard, written
 from tidemark.plans.sizing import left_join
 
 PLACES = 128
@@ -248,7 +248,9 @@ def _jaccards(pairs: DataFrame, source: DataFrame) -> DataFrame:
         .mapInArrow(_jaccard_batches, "doc_id bigint, near_doc bigint, jaccard double")
         .filter(F.col("jaccard") >= PERCENT / 100)
     )
-    return written(checked, "print-near")
+    near = written(checked, "print-near")
+    discard(sets)
+    return near
 
 
 def near_pairs(docs: DataFrame) -> DataFrame:
@@ -282,6 +284,7 @@ def near_pairs(docs: DataFrame) -> DataFrame:
         .select("doc_id", F.col("first").alias("near_doc"))
     )
     copies = written(copies.distinct(), "print-copies")
+    discard(prints)
     key = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.xxhash64(i, F.substring("fingerprint", i * (2 * ROWS) + 1, F.lit(2 * ROWS))),
@@ -291,6 +294,7 @@ def near_pairs(docs: DataFrame) -> DataFrame:
     members = written(
         banded.join(lowest.filter("n > 1").drop("n"), "band").filter("node <> low"), "print-members"
     )
+    discard(first)
     star = members.select(F.col("node").alias("doc_id"), F.col("low").alias("near_doc"))
     near = _jaccards(written(copies.unionByName(star).distinct(), "print-pairs"), source)
     # Documents that are similar to the smallest of a band get its label; the others one of their own.
@@ -300,11 +304,13 @@ def near_pairs(docs: DataFrame) -> DataFrame:
     mixed = labelled.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
     left = labelled.join(mixed.filter("l0 <> l1").select("band"), "band")
     left = written(left.select("band", "node", "n_shingles", "label"), "print-left")
+    discard(members)
     more = near_dedup._block_links(left, docs).select(F.col("b").alias("doc_id"), F.col("a").alias("near_doc"))
     more = written(
         more.distinct().join(near.select("doc_id", "near_doc"), ["doc_id", "near_doc"], "left_anti"), "print-more"
     )
     near = near.unionByName(_jaccards(more, source))
+    discard(left, more)
     smallest = near.join(copies, ["doc_id", "near_doc"], "left_anti").groupBy("doc_id")
     smallest = smallest.agg(F.min(F.struct("near_doc", "jaccard")).alias("near"))
     of_copies = copies.join(smallest.withColumnRenamed("doc_id", "first"), F.col("near_doc") == F.col("first"))
@@ -317,5 +323,5 @@ def compared(docs: DataFrame) -> DataFrame:
     # Rows that repeat a doc_id have a similarity for each of their texts; the largest counts.
     near = near_pairs(docs).groupBy("doc_id", "near_doc").agg(F.max("jaccard").alias("jaccard"))
     near = near.groupBy("doc_id").agg(F.min(F.struct("near_doc", "jaccard")).alias("near"))
-    near = near.select("doc_id", "near.near_doc", "near.jaccard")
-    return left_join(with_edits(docs), near, ["doc_id"], ["doc_id"])
+    near = written(near.select("doc_id", "near.near_doc", "near.jaccard"), "print-nearest")
+    return left_join(with_edits(docs), near, ["doc_id"], ["doc_id"], store_table=False)
