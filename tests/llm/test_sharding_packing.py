@@ -150,6 +150,29 @@ def test_padded_to_the_longest_of_the_bucket(spark):
     assert padded == longest and max(padded.values()) == 5001
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_least_padding_by_real_lengths(spark, seed):
+    """Padding as little as the best of all choices of boundaries among the lengths that occur."""
+    rng = random.Random(seed)
+    lengths = sorted(rng.sample(range(200, 6000), 11))
+    rows = [(i, "w " * rng.choice(lengths)) for i in range(120)]
+    found = packing.packed(table(spark, rows), buckets=4).collect()
+    counts = defaultdict(int)
+    for r in found:
+        counts[packing.np.searchsorted(lengths, r.n_tokens)] += 1
+    there = [lengths[k] for k in sorted(counts)]
+    n = {lengths[k]: c for k, c in counts.items()}
+    best = min(
+        sum(c * min(e for e in (*ends, there[-1]) if e >= x) for x, c in n.items())
+        for k in range(4)
+        for ends in combinations(there[:-1], k)
+    )
+    assert sum(r.padded_tokens for r in found) <= best * (1 + 1 / 128)
+    cells = {int(r.g) for r in spark.createDataFrame([(x,) for x in there], "x long").select(packing.grid_length(packing.F.col("x")).alias("g")).collect()}
+    if len(cells) == len(there):
+        assert sum(r.padded_tokens for r in found) == best
+
+
 def test_grid(spark):
     rows = spark.range(0, 200_000, 7).selectExpr("id").withColumn("g", packing.grid_length(packing.F.col("id")))
     found = rows.toPandas()

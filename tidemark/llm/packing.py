@@ -3,7 +3,7 @@
 Dynamic programming over the histogram of all lengths finds the bucket boundaries for which padding
 every document to its bucket's boundary costs the fewest tokens. Lengths are counted on a grid, exact
 up to 256 and in steps of 1/128 above, so the histogram has a few thousand places at most whatever
-the corpus; documents are padded to the longest of their bucket. In a bucket, documents in order of length
+the corpus, each counted as long as its longest document; documents are padded to the longest of their bucket. In a bucket, documents in order of length
 fill one batch after the other.
 """
 
@@ -82,13 +82,11 @@ def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Dat
         F.count(F.lit(1)).alias("n"), F.max("n_tokens").alias("longest")
     )
     histogram = histogram.orderBy("grid").collect()
-    ends = boundaries([x["grid"] for x in histogram], [x["n"] for x in histogram], buckets)
-    # One row for each place of the grid that occurs.
-    number = np.searchsorted(np.array(ends, np.int64), [x["grid"] for x in histogram])
-    longest = {}
-    for x, k in zip(histogram, number.tolist(), strict=True):
-        longest[k] = max(longest.get(k, 1), x["longest"])
-    table = [(x["grid"], k, longest[k]) for x, k in zip(histogram, number.tolist(), strict=True)]
+    # One row for each place of the grid that occurs; what counts there is its longest document.
+    longest = [max(x["longest"], 1) for x in histogram]
+    ends = boundaries(longest, [x["n"] for x in histogram], buckets)
+    number = np.searchsorted(np.array(ends, np.int64), longest).tolist()
+    table = [(x["grid"], k, ends[k]) for x, k in zip(histogram, number, strict=True)]
     lookup = spark.createDataFrame(table, "grid bigint, bucket int, padded_tokens bigint")
     bucketed = placed.join(F.broadcast(lookup), "grid").drop("grid")
     ranked = OrderedRows.of(bucketed, ["n_tokens", "doc_id"], ["bucket"]).running(
