@@ -155,3 +155,31 @@ def test_retention_drops_whole_dates(spark, store):
     left = [d for d in os.listdir(store.events_path) if d.startswith("event_date")]
     assert left == [f"event_date={at(2 * DAY).date()}"]
     assert store.joined_events().count() == 2
+
+
+def test_newest_results_read_few_dates(spark, store):
+    """Thirty dates, of which the newest hundred results need two; a late correction of an old window counts."""
+    for day in range(30):
+        rows = [(f"d{day}w{i}", day * DAY + 300 * i, 0, i) for i in range(60)]
+        store.add_windows(results(spark, *rows), day)
+    plain = lambda limit: st.newest_results(store.window_results(), limit).collect()
+    found = store.latest_windows()
+    assert len({path.split("window_date=")[1][:10] for path in found.inputFiles()}) == 2
+    assert found.collect() == plain(100)
+    late = results(spark, ("d3w5", 3 * DAY + 1500, 1, 9)).withColumn("emitted_at", F.lit(at(40 * DAY)))
+    store.add_windows(late, 30)
+    found = store.latest_windows(5)
+    assert found.collect() == plain(5) and found.first().window_id == "d3w5"
+    assert len({path.split("window_date=")[1][:10] for path in found.inputFiles()}) <= 2
+    assert store.latest_windows(5000).collect() == plain(5000)
+    store.drop_before(at(28 * DAY))
+    assert store.latest_windows(20).collect() == plain(20)
+
+
+def test_newest_results_without_an_index(spark, store):
+    """Dates that were stored before there was an index are read first, whatever the others tell."""
+    store.add_windows(results(spark, ("a", 0, 0, 1)), 0)
+    store.add_windows(results(spark, ("b", 5 * DAY, 0, 1)), 1)
+    os.remove(f"{store.index_path}/batch-0.json")
+    assert [r.window_id for r in store.latest_windows(1).collect()] == ["b"]
+    assert [r.window_id for r in store.latest_windows(9).collect()] == ["b", "a"]

@@ -329,3 +329,21 @@ def test_panes_go_with_their_windows():
         assert len(own.panes.rows) <= 302
     own.close(600 * SECOND)
     assert len(own.panes.rows) == 0 and len(own.closed) == 300 and own.next_end() is None
+
+
+def test_batch_reports(spark, tmp_path):
+    """Each batch's rows and times by Spark's own account, the join's share by the flow's."""
+    flow = flow_of(spark, tmp_path / "out", Windows(60, 60), name="told")
+    reports = flow.reports()
+    land = str(tmp_path / "land")
+    for number, batch in enumerate([[(0, 0, 1.0, "u1"), (1, 1, 2.0, "u2")], [(100, 100, 4.0, "u1")]]):
+        raw_batch(spark, raw_rows(batch)).coalesce(1).write.mode("append").parquet(land)
+        flow.start(messages.landed(spark, land, streaming=True)).awaitTermination()
+    assert reports.wait()
+    spark.streams.removeListener(reports)
+    rows = {(r.query, r.batch_id): r for r in reports.table().collect()}
+    assert [rows["told-ingest", i].n_rows for i in (0, 1)] == [2, 1]
+    assert all(r.trigger_ms >= r.steps_ms["addBatch"] > 0 for r in rows.values() if r.n_rows)
+    assert any(r.state_rows > 0 for (name, _), r in rows.items() if name == "told-windows")
+    for r in flow.table("progress").collect():
+        assert 0 < r.join_seconds < r.elapsed_seconds

@@ -44,6 +44,21 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, and let Spark drop shuffle files that only they needed.
+
+    Spark drops a shuffle's files once the driver's garbage collector finds that no plan refers to it, which may
+    be long after.
+    """
+    for table in tables:
+        root = scratch_root(table.sparkSession)
+        for folder in {path.rpartition("/")[0] for path in table.inputFiles()}:
+            if root.rpartition("/")[2] in folder:
+                remove(table.sparkSession, folder)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
 def _file_system(spark: SparkSession, path: str):
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     return location.getFileSystem(spark._jsc.hadoopConfiguration()), location

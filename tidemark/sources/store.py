@@ -2,6 +2,7 @@
 
 ``joined_events``   event_date / batch_id
 ``window_results``  window_date / batch_id
+``window_index``    for each batch of results the dates it wrote and its newest emission
 
 A batch overwrites only its own (date, batch) folders, so a repeated batch replaces what its
 first attempt wrote. Window results are appended; a later write of the same (window, version)
@@ -10,19 +11,21 @@ wins when the table is read, and ``compact_windows`` folds the copies away.
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Iterable, Sequence
 from datetime import date, datetime, timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.times import Windows, micros, timestamp
 from tidemark.operators.corrections import latest
 from tidemark.operators.windows import unpacked
-from tidemark.plans.durable import dated, folders, remove, written
+from tidemark.plans.durable import dated, folders, remove, write_text, written
 from tidemark.plans.sizing import left_join
 from tidemark.schemas import FACT_COLUMNS, JOINED_EVENTS, WINDOW_RESULTS
 
@@ -37,6 +40,7 @@ class Store:
         self.spark = spark
         self.events_path = f"{root.rstrip('/')}/joined_events"
         self.windows_path = f"{root.rstrip('/')}/window_results"
+        self.index_path = f"{root.rstrip('/')}/window_index"
 
     # -- reading -------------------------------------------------------------------------------
 
@@ -84,12 +88,25 @@ class Store:
         )
 
     def add_windows(self, results: DataFrame, batch_id: int) -> None:
+        seen = Observation(f"windows-{uuid.uuid4().hex}")
+        rows = results.select(*RESULT_COLUMNS).observe(seen, F.max(micros("emitted_at")).alias("newest"))
         self._write(
-            results.select(*RESULT_COLUMNS).withColumn("window_date", F.to_date("window_start")),
-            self.windows_path,
-            "window_date",
-            batch_id,
+            rows.withColumn("window_date", F.to_date("window_start")), self.windows_path, "window_date", batch_id
         )
+        days = [x[1] for x in self._dated_folders(f"batch_id={batch_id}")]
+        newest = seen.get.get("newest") if days else None
+        if newest is not None:
+            text = "\n".join(json.dumps({"window_date": str(day), "newest_us": newest}) for day in days)
+            write_text(self.spark, f"{self.index_path}/batch-{batch_id}.json", text)
+
+    def _dated_folders(self, batch: str = "batch_id=*") -> list[tuple[str, date, int]]:
+        """(path, date, batch) of the stored folders of window results, from a listing alone."""
+        found = []
+        for name in folders(self.spark, f"{self.windows_path}/window_date=*/{batch}"):
+            part = re.search(r"window_date=(\d{4}-\d\d-\d\d)/batch_id=(\d+)$", name)
+            if part:
+                found.append((name, date.fromisoformat(part[1]), int(part[2])))
+        return found
 
     def _write(self, rows: DataFrame, path: str, day: str, batch_id: int) -> None:
         # Rebalancing by date keeps the files per date few, and splits a date that is very large.
@@ -111,10 +128,8 @@ class Store:
         """
         writes = self.window_writes()
         batches: dict[date, list[int]] = {}
-        for name in folders(self.spark, f"{self.windows_path}/window_date=*/batch_id=*"):
-            found = re.search(r"window_date=(\d{4}-\d\d-\d\d)/batch_id=(\d+)$", name)
-            if found:
-                batches.setdefault(date.fromisoformat(found[1]), []).append(int(found[2]))
+        for _, day, batch in self._dated_folders():
+            batches.setdefault(day, []).append(batch)
         newest = {day: max(found) for day, found in batches.items() if len(found) > 1}
         if not newest:
             return
@@ -200,8 +215,36 @@ class Store:
     # -- queries -------------------------------------------------------------------------------
 
     def latest_windows(self, limit: int = 100) -> DataFrame:
-        """The newest results by emission; several versions of one window may appear."""
-        return newest_results(self.window_results(), limit)
+        """The newest results by emission; several versions of one window may appear.
+
+        Dates are read in order of their newest emission, more and more of them, until the last of the results
+        is newer than anything on the dates that are left.
+        """
+        days = self._newest_dates()
+        take = 2
+        while True:
+            read = days[:take]
+            rows = _last_written(self.window_writes([day for _, day in read])).select(*RESULT_COLUMNS)
+            found = newest_results(rows, limit)
+            if take >= len(days):
+                return found
+            last = found.agg(F.min(micros("emitted_at")), F.count("*")).first()
+            if last[1] == limit and last[0] > days[take][0]:
+                return found
+            take *= 2
+
+    def _newest_dates(self) -> list[tuple[float, date]]:
+        """(newest emission at most, date) of the stored dates, the newest first; one row per date.
+
+        A date that the index does not know comes first.
+        """
+        known: dict[date, float] = {}
+        if folders(self.spark, f"{self.index_path}/*.json"):
+            index = self.spark.read.schema("window_date date, newest_us long").json(self.index_path)
+            rows = index.groupBy("window_date").agg(F.max("newest_us").alias("newest_us")).collect()
+            known = {row["window_date"]: row["newest_us"] for row in rows}
+        stored = {day for _, day, _ in self._dated_folders()}
+        return sorted(((known.get(day, float("inf")), day) for day in stored), reverse=True)
 
     def windows_at(self, instant: datetime, longest_seconds: int | None = None) -> DataFrame:
         """Newest correction of each window that contains the instant.

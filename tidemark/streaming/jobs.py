@@ -37,6 +37,7 @@ from tidemark.plans.sizing import measured_bytes
 from tidemark.schemas import FACT_COLUMNS, WINDOW_RESULTS
 from tidemark.sources.store import Store
 from tidemark.streaming import state
+from tidemark.streaming.progress import BatchReports
 
 HEARTBEAT = "_heartbeat"
 # Fixed value: error text of the dead-letter envelope for an event ahead of its arrival.
@@ -51,6 +52,7 @@ PROGRESS = T.StructType(
         T.StructField("n_dead", T.LongType()),
         T.StructField("elapsed_seconds", T.DoubleType()),
         T.StructField("now_us", T.LongType()),
+        T.StructField("join_seconds", T.DoubleType()),
     ]
 )
 
@@ -109,7 +111,8 @@ class Flow:
 
     Events more than ``future_seconds`` ahead of their arrival are dead letters, so that none moves the
     watermark to a time that has not come; None accepts them. Late events correct a closed window for
-    ``keep_seconds`` after the end of its block, always if None.
+    ``keep_seconds`` after the end of its block, always if None. ``name`` begins the names of the flow's
+    queries; no two flows that run at once may share it.
     """
 
     spark: SparkSession
@@ -123,6 +126,7 @@ class Flow:
     attribute_fields: Sequence[str] = ()
     future_seconds: float | None = 300.0
     keep_seconds: float | None = None
+    name: str = "flow"
 
     def __post_init__(self):
         self.root = self.root.rstrip("/")
@@ -136,6 +140,7 @@ class Flow:
         trigger = trigger or {"availableNow": True}
         first = (
             raw.writeStream.foreachBatch(self.ingest)
+            .queryName(f"{self.name}-ingest")
             .option("checkpointLocation", f"{self.root}/checkpoint")
             .trigger(**trigger)
             .start()
@@ -166,11 +171,18 @@ class Flow:
         return (
             state.window_changes(partials, self.windows, self.keep_seconds)
             .writeStream.foreachBatch(self.store_results)
+            .queryName(f"{self.name}-windows")
             .option("checkpointLocation", f"{self.root}/checkpoint-windows")
             .trigger(**trigger)
             .start()
         )
 
+    def reports(self) -> BatchReports:
+        """Start to report on the batches of both queries, under the flow's folder."""
+        listener = BatchReports(self.spark, f"{self.root}/reports", f"{self.name}-")
+        self.spark.streams.addListener(listener)
+        return listener
+
     # -- from messages to partials -------------------------------------------------------------
 
     def ingest(self, batch: DataFrame, batch_id: int) -> None:
@@ -196,8 +208,10 @@ class Flow:
             after = self._advanced(before, seen, last_arrival, lateness)
             # A batch is written only where it has rows; what its first attempt left is overwritten.
             self._write(ingest.dead_letters(decoded), "dead_letters", batch_id, seen.n_dead)
+            joining = time.monotonic()
             if seen.n_accepted:
                 self.store.add_events(self._enriched(facts.filter(on_time)), batch_id)
+            joined = time.monotonic() - joining
             self._write(facts.filter(~on_time), "late_events", batch_id, seen.n_dropped)
             arrived = [t for t in (last_arrival, seen.arrival) if t is not None]
             row = (
@@ -208,6 +222,7 @@ class Flow:
                 seen.n_dead,
                 time.monotonic() - started,
                 seen.now,
+                joined,
             )
             self._write(_one_row(self.spark, row, PROGRESS), "progress", batch_id, 1)
             n_events = seen.n_accepted + seen.n_dropped

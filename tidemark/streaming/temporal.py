@@ -6,8 +6,10 @@ the changes up to its moment leave of its key (``operators.dimension``): the win
 after it. A change at the very moment counts. Changes are kept only until they are folded into
 the key's state, facts until they are joined.
 
-Facts of one key are dealt to ``salts`` states by their place in the topic, and every change goes to each of
-them, so that a key with a third of all facts does not wait in one task.
+Keys lie in buckets by their hash; a state is that of a bucket, so a batch asks for as many states as there are
+buckets, and within one only for the keys whose moments have come. Facts are dealt to ``salts`` copies of
+their bucket by their place in the topic, and every change goes to each copy, so that a key with a
+third of all facts does not wait in one task.
 
 A change that comes after the watermark has passed its moment is folded when it comes, so it counts for
 facts that are still waiting; a fact that comes so late takes the state that the watermark has reached.
@@ -24,28 +26,27 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.schemas import ARRIVAL_ORDER
 
-PENDING = "at long, side int, tie string, version long, seq long, body string"
+PENDING = "at long, side int, tie string, key string, version long, seq long, body string"
 JOINED = "body string, attributes_json string, version long"
 _CHANGE, _DELETE, _FACT = 0, 1, 2
+_NAMES = [x.split()[0] for x in PENDING.split(", ")]
 
 
 class AsOf(StatefulProcessor):
-    """Keys (join key, salt); pending facts and changes, and the state that the watermark has reached."""
+    """Keys (bucket, salt); pending facts and changes, and the state of each key that the watermark has reached."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.pending = handle.getListState("pending", PENDING)
-        self.winner = handle.getValueState("winner", "version long, seq long, body string")
-        self.deleted = handle.getValueState("deleted", "seq long")
+        self.folded = handle.getMapState("folded", "key string", "version long, seq long, body string, deleted long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in PENDING.split(", ")]
         new = [
             tuple(None if pd.isna(x) else x for x in row)
             for frame in rows
-            for row in frame[names].itertuples(index=False, name=None)
+            for row in frame[_NAMES].itertuples(index=False, name=None)
         ]
-        self.pending.appendList([(int(a), int(b), c, _whole(d), _whole(e), f) for a, b, c, d, e, f in new])
+        self.pending.appendList([(int(a), int(b), c, d, _whole(e), _whole(f), g) for a, b, c, d, e, f, g in new])
         # A moment is over once the watermark is beyond it. One timer for the earliest is enough: it asks
         # for the next.
         self.handle.registerTimer(min(int(row[0]) for row in new) + 1)
@@ -56,22 +57,25 @@ class AsOf(StatefulProcessor):
         rows = sorted(self.pending.get(), key=lambda x: (x[0], x[1] == _FACT, x[2]))
         due = [row for row in rows if row[0] < watermark]
         rest = rows[len(due) :]
-        winner = self.winner.get() if self.winner.exists() else None
-        deleted = self.deleted.get()[0] if self.deleted.exists() else None
+        states: dict[str, list] = {}
+        changed: set[str] = set()
         out = []
-        for _, side, _, version, seq, body in due:
-            if side == _CHANGE:
-                if winner is None or (version, -seq) > (winner[0], -winner[1]):
-                    winner = (version, seq, body)
-            elif side == _DELETE:
-                deleted = seq if deleted is None else max(deleted, seq)
-            else:
-                live = winner is not None and (deleted is None or deleted < winner[1])
-                out.append((body, winner[2] if live else None, winner[0] if live else None))
-        if winner is not None:
-            self.winner.update(tuple(winner))
-        if deleted is not None:
-            self.deleted.update((deleted,))
+        for _, side, _, own, version, seq, body in due:
+            if own not in states:
+                known = self.folded.getValue((own,)) if self.folded.containsKey((own,)) else None
+                states[own] = [None, None, None, None] if known is None else list(known)
+            state = states[own]
+            if side == _FACT:
+                live = state[0] is not None and (state[3] is None or state[3] < state[1])
+                out.append((body, state[2] if live else None, state[0] if live else None))
+                continue
+            changed.add(own)
+            if side == _DELETE:
+                state[3] = seq if state[3] is None else max(state[3], seq)
+            elif state[0] is None or (version, -seq) > (state[0], -state[1]):
+                state[:3] = version, seq, body
+        for own in changed:
+            self.folded.updateValue((own,), tuple(states[own]))
         if rest:
             if due:
                 self.pending.put(rest)
@@ -99,13 +103,14 @@ def enrich_as_of(
     fact_time: str,
     change_time: str,
     delay: str = "0 seconds",
-    salts: int = 8,
+    buckets: int = 64,
+    salts: int = 4,
 ) -> DataFrame:
     """Streams of facts and changes to a stream of facts with ``attributes_json`` and ``version``.
 
     ``fact_time`` and ``change_time`` are comparable timestamps, to the millisecond; ``delay`` is how far out of
     order either stream may be. Both columns are null where the key is unknown or deleted at that moment. A fact
-    without a time or key is not joined. Facts need the columns of ``ARRIVAL_ORDER``, which tell
+    without a time or key is not joined. ``buckets`` times ``salts`` states are what the work is dealt over. Facts need the columns of ``ARRIVAL_ORDER``, which tell
     them apart.
     """
     place = F.concat_ws("|", *ARRIVAL_ORDER)
@@ -116,7 +121,8 @@ def enrich_as_of(
 
     def row(key: Column, salt: Column, at: str, side: Column, tie: Column, version: Column, seq: Column, body: Column):
         return [
-            key.alias("key"), salt.alias("salt"), F.unix_millis(at).alias("at"), side.cast("int").alias("side"),
+            F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"), salt.alias("salt"),
+            key.alias("key"), F.unix_millis(at).alias("at"), side.cast("int").alias("side"),
             tie.cast("string").alias("tie"), version.cast("bigint").alias("version"),
             seq.cast("bigint").alias("seq"), body.cast("string").alias("body"),
         ]
@@ -146,7 +152,7 @@ def enrich_as_of(
         )
     )
     rows = one.unionByName(two).filter("at is not null and key is not null")
-    joined = rows.groupBy("key", "salt").transformWithStateInPandas(
+    joined = rows.groupBy("bucket", "salt").transformWithStateInPandas(
         statefulProcessor=AsOf(), outputStructType=JOINED, outputMode="Append", timeMode="EventTime"
     )
     schema = facts.schema

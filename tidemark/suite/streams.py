@@ -12,6 +12,7 @@ from tidemark.sources.dimension_table import DimensionTable
 from tidemark.sources.store import metrics_of
 from tidemark.streaming import temporal
 from tidemark.streaming.jobs import Flow
+from tidemark.streaming.progress import REPORT
 from tidemark.streaming.state import set_state_store
 from tidemark.suite import data
 from tidemark.suite.data import DIM, EV, HOURLY, LATENESS, spread_sql, window_id_sql
@@ -42,6 +43,7 @@ def finished_flow(spark, sf_dir: str) -> Flow:
         attribute_types=data.attribute_types(spark, sf_dir),
         attribute_fields=["price"],
     )
+    reports = flow.reports()
     raw = raw_messages(spark, sf_dir).to(RAW_MESSAGE)
     origin = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
     stretch = F.floor((F.unix_micros("arrived_at") - origin) / STRETCH)
@@ -49,6 +51,8 @@ def finished_flow(spark, sf_dir: str) -> Flow:
     for number in range(bounds["first"] or 0, (-1 if bounds["last"] is None else bounds["last"]) + 1):
         raw.filter(stretch == number).write.mode("append").parquet(land)
         flow.start(messages.landed(spark, land, streaming=True)).awaitTermination()
+    reports.wait()
+    spark.streams.removeListener(reports)
     return flow
 
 
@@ -113,6 +117,24 @@ def stream_latest(spark, sf_dir):
     return rows.select("window_id", "correction_version", "event_count")
 
 
+@query(
+    "stream_batch_reports",
+    f"""WITH {RAW}, f AS (SELECT (arr - {ORIGIN_SQL}) // {STRETCH} AS b, count(*) AS n FROM raw GROUP BY b)
+SELECT row_number() OVER (ORDER BY b) - 1 AS batch_id, n AS n_rows, true AS has_times, 0 AS late_rows_dropped FROM f""",
+)
+def stream_batch_reports(spark, sf_dir):
+    """Spark's account of each batch of messages. No state drops late rows: they correct closed windows."""
+    flow = finished_flow(spark, sf_dir)
+    rows = spark.read.schema(REPORT).json(f"{flow.root}/reports")
+    dropped = rows.filter("query = 'flow-windows'").agg(F.coalesce(F.sum("late_rows_dropped"), F.lit(0)))
+    return rows.filter("query = 'flow-ingest' and n_rows > 0").select(
+        "batch_id",
+        "n_rows",
+        ((F.col("trigger_ms") > 0) & (F.col("steps_ms")["addBatch"] <= F.col("trigger_ms"))).alias("has_times"),
+        dropped.scalar().cast("int").alias("late_rows_dropped"),
+    )
+
+
 MEASURED = [("value", "value"), ("k", "k"), ("price", "price")]
 PARTS = ["sum", "min", "max"]
 
@@ -249,6 +271,7 @@ def live_as_of(spark, sf_dir: str):
             spark.readStream.schema(change_schema).parquet(paths["changes"]),
             "moment",
             "moment",
+            buckets=8,
         )
         run = (
             joined.writeStream.format("parquet")

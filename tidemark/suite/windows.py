@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import payload
 from tidemark.functions.rules import violation_counts
 from tidemark.functions.times import Windows, window_bounds
+from tidemark.operators import sketches
 from tidemark.operators import windows as w
 from tidemark.operators.corrections import latest
 from tidemark.sources.store import metrics_of
@@ -196,6 +197,28 @@ def window_found_fields(spark, sf_dir):
     )
 
 
+# Distinct users of each window from sketches of its panes: within 5 % of the exact count, or two.
+@query(
+    "window_distinct",
+    f"""WITH {EV} SELECT {ID} AS window_id, count(DISTINCT user_id) AS n_users, true AS within_bounds
+FROM {spread_sql('ev', HOURLY)} GROUP BY s""",
+)
+def window_distinct(spark, sf_dir):
+    """On-time events and late ones are sketched apart and merged, as corrections are."""
+    events = data.events(spark, sf_dir)
+    late = F.col("event_id") % 10 == 0
+    keys = ["_pane"]
+    parts = [sketches.pane_sketches(events.filter(part), HOURLY, "user_id") for part in (~late, late)]
+    panes = sketches.merged(parts[0].unionByName(parts[1]), keys)
+    found = sketches.estimated(sketches.window_sketches(panes, HOURLY), "estimate")
+    exact = w.assign(events, HOURLY).groupBy("window_id").agg(F.count_distinct("user_id").alias("n_users"))
+    told = found.select(HOURLY.bounds("_start")[0], "estimate").join(exact, "window_id")
+    bound = F.greatest(F.col("n_users") * 0.05, F.lit(2.0))
+    return told.select(
+        "window_id", "n_users", (F.abs(F.col("estimate") - F.col("n_users")) <= bound).alias("within_bounds")
+    )
+
+
 SHOW_V0 = f"""{ID} AS window_id, n AS event_count, {snap_sql('value_sum', 2)} AS value_sum,
        value_min, value_max, {snap_sql('value_sum / n', 6)} AS value_avg,
        CAST(k_sum AS DOUBLE) AS k_sum"""
