@@ -183,3 +183,24 @@ def test_newest_results_without_an_index(spark, store):
     os.remove(f"{store.index_path}/batch-0.json")
     assert [r.window_id for r in store.latest_windows(1).collect()] == ["b"]
     assert [r.window_id for r in store.latest_windows(9).collect()] == ["b", "a"]
+
+
+def test_ids_are_found_through_bloom_filters(spark, store):
+    """An id that lies within the least and greatest of every file, but in one only."""
+    for number in range(8):
+        rows = spark.range(number, 8000, 8).selectExpr("cast(id as string) event_id", "id")
+        rows = rows.selectExpr(
+            "event_id", f"timestamp'2024-01-0{number + 1} 00:00:00' event_time", "timestamp'2024-01-09' ingest_time",
+            "concat('u', id % 10) join_key", "'{}' payload_json", "'t' source_topic", "0 `partition`", "id `offset`",
+        )
+        store.add_events(rows, number)
+    found = store.events_by("event_id", ["4243"])
+    assert [(r.event_id, r.join_key) for r in found.collect()] == [("4243", "u3")]
+    read = found._jdf.queryExecution().executedPlan()
+    plan = read.executedPlan() if "Adaptive" in read.nodeName() else read
+    scans = [plan]
+    while scans[-1].children().size():
+        scans.append(scans[-1].children().head())
+    scan = next(x for x in reversed(scans) if "Scan" in x.nodeName())
+    assert scan.metrics().get("numOutputRows").get().value() < 8000 / 4
+    assert store.events_by("join_key", ["u3", "zzz"]).count() == 800

@@ -28,6 +28,20 @@ _COMMENTS = re.compile(r"\A(?:\s+|--[^\n]*(?:\n|\Z)|/\*.*?\*/)+", re.DOTALL)
 _PLACE = re.compile(r"line (\d+),? pos(?:ition)? (\d+)")
 
 
+# Functions by the names and meanings that other engines' SQL gives them, made of Spark's own. Weeks start on
+# Mondays; a bucket's width is days to seconds.
+FUNCTIONS = {
+    "time_bucket": """(width INTERVAL DAY TO SECOND, at TIMESTAMP_NTZ) RETURNS TIMESTAMP_NTZ RETURN
+        CAST(timestamp_micros(unix_micros(CAST(at AS TIMESTAMP)) - pmod(
+          unix_micros(CAST(at AS TIMESTAMP)) - unix_micros(TIMESTAMP '2000-01-03 00:00:00Z'),
+          CAST((extract(DAY FROM width) * 86400 + extract(HOUR FROM width) * 3600 + extract(MINUTE FROM width) * 60
+            + extract(SECOND FROM width)) * 1000000 AS BIGINT))) AS TIMESTAMP_NTZ)""",
+    "epoch": "(at TIMESTAMP_NTZ) RETURNS DOUBLE RETURN unix_micros(CAST(at AS TIMESTAMP)) / 1e6D",
+    "epoch_us": "(at TIMESTAMP_NTZ) RETURNS BIGINT RETURN unix_micros(CAST(at AS TIMESTAMP))",
+    "json_extract_string": "(body STRING, place STRING) RETURNS STRING RETURN get_json_object(body, place)",
+}
+
+
 class QueryRefused(ValueError):
     def __init__(self, message: str, line: int = 1, column: int = 0):
         super().__init__(message)
@@ -44,8 +58,16 @@ class Validation:
     error_column: int | None = None
 
 
+def define(spark: SparkSession) -> None:
+    """Make ``FUNCTIONS`` known to the session, unless it has functions of these names."""
+    for name, body in FUNCTIONS.items():
+        if not spark.catalog.functionExists(name):
+            spark.sql(f"CREATE TEMPORARY FUNCTION {name}{body}")
+
+
 def run(spark: SparkSession, text: str, args: Sequence | None = None) -> DataFrame:
     """The result of a read-only statement; ``args`` fill its ``?`` marks. Nothing is collected."""
+    define(spark)
     text = text.strip().removesuffix(";")
     _check_first_word(text)
     _check_functions(text)

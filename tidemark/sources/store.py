@@ -73,9 +73,20 @@ class Store:
             return self.spark.createDataFrame([], schema)
 
     def register(self) -> None:
-        """Make both tables known to SQL under their names, with the date columns that prune them."""
+        """Make both tables known to SQL under their names, with the date columns that prune them, and the table
+        function ``windows_at(instant)``: the newest correction of each window that contains an instant."""
         self.joined_events().createOrReplaceTempView("joined_events")
         self.dated_results().createOrReplaceTempView("window_results")
+        layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in WINDOW_RESULTS.fields)
+        columns = [f"newest.{name}" for name in RESULT_COLUMNS if name != "window_id"]
+        # No result starts on a date after the instant.
+        self.spark.sql(
+            f"""CREATE OR REPLACE TEMPORARY FUNCTION windows_at(instant TIMESTAMP) RETURNS TABLE ({layout}) RETURN
+            SELECT window_id, {', '.join(columns)} FROM (
+              SELECT window_id, max_by(struct(*), correction_version) AS newest FROM window_results
+              WHERE window_date <= CAST(instant AS DATE) AND window_start <= instant AND window_end > instant
+              GROUP BY window_id)"""
+        )
 
     # -- writing -------------------------------------------------------------------------------
 
@@ -85,6 +96,7 @@ class Store:
             self.events_path,
             "event_date",
             batch_id,
+            ["event_id", "join_key"],
         )
 
     def add_windows(self, results: DataFrame, batch_id: int) -> None:
@@ -108,16 +120,23 @@ class Store:
                 found.append((name, date.fromisoformat(part[1]), int(part[2])))
         return found
 
-    def _write(self, rows: DataFrame, path: str, day: str, batch_id: int) -> None:
+    def _write(
+        self, rows: DataFrame, path: str, day: str, batch_id: int, sought: Sequence[str] = ()
+    ) -> None:
+        """Columns in ``sought`` get Bloom filters, so a search for some of their values skips the row groups
+        without them; the adaptive kind takes no more room than a column's values ask for."""
         # Rebalancing by date keeps the files per date few, and splits a date that is very large.
-        (
+        writer = (
             rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
             .hint("rebalance", day)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(day, "batch_id")
-            .parquet(path)
         )
+        if sought:
+            writer = writer.option("parquet.bloom.filter.adaptive.enabled", True)
+        for name in sought:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{name}", True)
+        writer.partitionBy(day, "batch_id").parquet(path)
 
     def compact_windows(self) -> None:
         """Fold the copies of each window result into one per (window, version).
@@ -270,6 +289,14 @@ class Store:
         return rows if event_ids is None else rows.filter(F.col("event_id").isin(list(event_ids)))
 
 
+    def events_by(self, column: str, values: Sequence[str]) -> DataFrame:
+        """Stored events with one of a few values of ``event_id`` or ``join_key``, of whatever date.
+
+        Every file's footer is asked; row groups whose Bloom filters rule the values out are not read.
+        """
+        return self.joined_events().filter(F.col(column).isin(list(values)))
+
+
 def _with_partitions(layout: T.StructType, day: str) -> T.StructType:
     return T.StructType([*layout.fields, T.StructField(day, T.DateType()), _BATCH])
 

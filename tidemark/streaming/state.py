@@ -69,8 +69,12 @@ def set_state_store(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+# Windows that start in a block, at least: a batch that brings many hours at once then asks for few states.
+BLOCK_WINDOWS = 64
+
+
 def block_length(windows: Windows) -> int:
-    return -(-windows.size // windows.slide) * windows.slide
+    return max(-(-windows.size // windows.slide), BLOCK_WINDOWS) * windows.slide
 
 
 def blocks_of(pane: Column, windows: Windows) -> Column:

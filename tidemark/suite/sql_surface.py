@@ -285,6 +285,15 @@ FROM events GROUP BY 1, 2""",
 FROM events GROUP BY 1, 2""",
 )
 
+# Text for text what the other engine runs.
+statement(
+    "sql_functions",
+    """SELECT CAST(epoch(time_bucket(INTERVAL '6 hours', ts)) AS BIGINT) AS bucket,
+       CAST(epoch(time_bucket(INTERVAL '7 days', ts)) AS BIGINT) AS week,
+       json_extract_string(props, '$.k') AS k, count(*) AS n_events, min(epoch_us(ts)) AS first_us
+FROM events GROUP BY 1, 2, 3""",
+)
+
 statement(
     "sql_array_map",
     """SELECT word, count(*) AS n_parts, CAST(sum(n) AS BIGINT) AS letters FROM (

@@ -16,7 +16,7 @@ from tidemark.sources.store import (
 )
 from tidemark.suite import data
 from tidemark.suite.data import DIM, HOURLY, REPLAY, window_id_sql
-from tidemark.suite.registry import once, query, snap, snap_sql
+from tidemark.suite.registry import ORACLES, once, query, snap, snap_sql
 
 CUTOFF = datetime(2024, 1, 20, 12, tzinfo=timezone.utc)
 INSTANT = datetime(2024, 1, 15, 9, 40, tzinfo=timezone.utc)
@@ -171,6 +171,17 @@ def windows_at_time(spark, sf_dir):
     )
 
 
+@query("sql_table_function", ORACLES["windows_at_time"])
+def sql_table_function(spark, sf_dir):
+    """The same through the SQL gate, from a table function over the registered tables."""
+    store(spark, sf_dir).register()
+    return readonly_sql.run(
+        spark,
+        f"""SELECT window_id, correction_version, event_count
+FROM windows_at(TIMESTAMP '{INSTANT:%Y-%m-%d %H:%M:%S}')""",
+    )
+
+
 @query(
     "windows_at_many_times",
     f"""WITH {RESULTS}, top AS (SELECT s, max(version) AS v, max(n) AS n FROM results GROUP BY s)
@@ -214,6 +225,20 @@ def limited_result(spark, sf_dir):
     return readonly_sql.limited(ordered, 50)
 
 
+SOUGHT = ["17", "4242", "9001", "no-such-id"]
+
+
+@query(
+    "lookup_by_id",
+    f"""WITH {data.EV} SELECT CAST(event_id AS VARCHAR) AS event_id, us AS event_time_us,
+       CAST(user_id AS VARCHAR) AS join_key FROM ev WHERE CAST(event_id AS VARCHAR) IN ({', '.join(repr(x) for x in SOUGHT)})""",
+)
+def lookup_by_id(spark, sf_dir):
+    """Events by id alone, without a date: found through the Bloom filters of the stored files."""
+    rows = store(spark, sf_dir).events_by("event_id", SOUGHT)
+    return rows.select("event_id", F.unix_micros("event_time").alias("event_time_us"), "join_key")
+
+
 @query(
     "lookup_events",
     f"""WITH {data.EV} SELECT CAST(event_id AS VARCHAR) AS event_id, us AS event_time_us FROM ev
