@@ -347,3 +347,29 @@ def test_batch_reports(spark, tmp_path):
     assert any(r.state_rows > 0 for (name, _), r in rows.items() if name == "told-windows")
     for r in flow.table("progress").collect():
         assert 0 < r.join_seconds < r.elapsed_seconds
+
+
+def test_upkeep_while_it_runs(spark, tmp_path):
+    """Results are folded and old ones deleted between batches; what is left is as without it."""
+    flow = flow_of(spark, tmp_path / "out", Windows(3600, 3600), upkeep_batches=2, retention_days=1)
+    days = [0, 1, 2, 3]
+    for number, day in enumerate(days):
+        rows = raw_rows([(day * 86_400 + k, day * 86_400 + k, 1.0, "u1") for k in (0, 10, 5000)])
+        flow.process(raw_batch(spark, [*rows, ("oops", "t", 0, 999, at(day * 86_400))]), number)
+    flow.upkeep()
+    newest = 3 * 86_400 + 5000 - LATENESS
+    kept = [r.event_time for r in flow.store.joined_events().collect()]
+    assert sorted(kept) == sorted(
+        naive(at(day * 86_400 + k)) for day in days for k in (0, 10, 5000) if day * 86_400 + k >= newest - 86_400
+    )
+    ends = {seconds(r.window_end) - seconds(naive(at(0))) for r in flow.store.window_results().collect()}
+    assert ends == {3 * 86_400 + 3600, 2 * 86_400 + 7200}
+    assert len(flow.store._dated_folders()) == len({day for _, day, _ in flow.store._dated_folders()})
+    assert {r.batch_id for r in flow.table("progress").collect()} == {2, 3}
+    assert flow.table("dead_letters").count() == 2
+    # It goes on from there; the events of the third day are past their time by then.
+    flow.process(raw_batch(spark, raw_rows([(4 * 86_400, 4 * 86_400, 1.0, "u1")])), 4)
+    flow.upkeep()
+    assert sorted(r.event_time for r in flow.store.joined_events().collect()) == [
+        naive(at(x)) for x in (3 * 86_400, 3 * 86_400 + 10, 3 * 86_400 + 5000, 4 * 86_400)
+    ]

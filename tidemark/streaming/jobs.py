@@ -22,6 +22,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from tidemark.functions import payload
 from tidemark.functions.times import SECOND, Windows, micros, timestamp
 from tidemark.operators import enrich, ingest
 from tidemark.operators.windows import field_partials, packed, unpacked
-from tidemark.plans.durable import exists, make_folder, moved
+from tidemark.plans.durable import exists, folders, make_folder, moved, remove
 from tidemark.plans.sizing import measured_bytes
 from tidemark.schemas import FACT_COLUMNS, WINDOW_RESULTS
 from tidemark.sources.store import Store
@@ -111,7 +112,9 @@ class Flow:
 
     Events more than ``future_seconds`` ahead of their arrival are dead letters, so that none moves the
     watermark to a time that has not come; None accepts them. Late events correct a closed window for
-    ``keep_seconds`` after the end of its block, always if None. ``name`` begins the names of the flow's
+    ``keep_seconds`` after the end of its block, always if None. Every ``upkeep_batches`` batches of results the
+    stored results are folded and, with ``retention_days``, what is older than that before the watermark is deleted from
+    all tables. ``name`` begins the names of the flow's
     queries; no two flows that run at once may share it.
     """
 
@@ -126,6 +129,8 @@ class Flow:
     attribute_fields: Sequence[str] = ()
     future_seconds: float | None = 300.0
     keep_seconds: float | None = None
+    retention_days: float | None = None
+    upkeep_batches: int = 64
     name: str = "flow"
 
     def __post_init__(self):
@@ -390,6 +395,34 @@ class Flow:
             )
         finally:
             changes.unpersist()
+        if batch_id % self.upkeep_batches == self.upkeep_batches - 1:
+            self.upkeep()
+
+    def upkeep(self) -> None:
+        """Fold stored results and delete what is past its time; only the query that stores results may call it."""
+        self.store.compact_windows()
+        for path in folders(self.spark, f"{self.root}/published/batch_id=*"):
+            # Partials that have been taken are deleted file by file; a batch's empty folder goes here.
+            if not folders(self.spark, f"{path}/*.parquet") and self._settled(path):
+                remove(self.spark, path)
+        if self.retention_days is None:
+            return
+        progress = self.table("progress")
+        newest = progress.agg(F.max("watermark_us")).first()[0]
+        if newest is None:
+            return
+        cutoff = newest - round(self.retention_days * 86_400 * SECOND)
+        self.store.drop_before(datetime.fromtimestamp(cutoff / SECOND, timezone.utc))
+        # Batches as old as that: one number each, of those that have not been deleted yet.
+        old = progress.filter(F.col("now_us") < cutoff).select("batch_id").collect()
+        for row in old:
+            for name in ("dead_letters", "late_events", "progress"):
+                remove(self.spark, f"{self.root}/{name}/batch_id={row['batch_id']}")
+
+    def _settled(self, path: str) -> bool:
+        """Whether a later batch has been published: the newest one's folder tells that it was."""
+        number = int(path.rpartition("=")[2])
+        return exists(self.spark, f"{self.root}/progress/batch_id={number + 1}")
 
     def _emitted(self, steps: Sequence[int], first: int | None) -> Column:
         """Arrival of the batch that made a correction, or that closed a window.
