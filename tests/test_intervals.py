@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans.intervals import Span, interval_join
+from tidemark.plans.intervals import Span, covering_aggregates, interval_join
 
 
 def rows_of(rng, count, hot, longest):
@@ -52,3 +52,35 @@ def test_plan_and_shares(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert found.count() == 3000 * 300
+
+
+def covered(points, intervals):
+    return covering_aggregates(
+        points,
+        intervals,
+        F.col("at"),
+        Span(F.col("t"), F.col("u")),
+        {"n": F.count("*"), "low": F.min("b")},
+        {"n_over": F.sum("n"), "lowest": F.min("low")},
+    )
+
+
+def test_covering_aggregates_equal_all_pairs(spark):
+    rng = random.Random(3)
+    points = [(i, rng.choice([None, 7, 7, rng.randrange(-50, 120)])) for i in range(300)]
+    right = rows_of(rng, 200, 0.35, 50)
+    over = {i: [b for b, t, u in right if None not in (t, u) and at is not None and t <= at < u] for i, at in points}
+    found = covered(
+        spark.createDataFrame(points, "a long, at long").repartition(3),
+        spark.createDataFrame(right, "b long, t long, u long").repartition(3),
+    )
+    assert found.columns == ["a", "at", "n_over", "lowest"]
+    assert {r.a: (r.n_over, r.lowest) for r in found.collect()} == {i: (len(b), min(b)) for i, b in over.items() if b}
+
+
+def test_many_points_of_one_place_meet_many_equal_intervals(spark):
+    """The pairs of rows would be 40 thousand millions."""
+    points = spark.range(200_000).selectExpr("id a", "id % 3 at")
+    found = covered(points, spark.range(200_000).selectExpr("id b", "id % 2 t", "2L u"))
+    rows = found.groupBy("at").agg(F.count("*").alias("n"), F.min("n_over").alias("n_over")).collect()
+    assert sorted((r.at, r.n, r.n_over) for r in rows) == [(0, 66667, 100_000), (1, 66667, 200_000)]

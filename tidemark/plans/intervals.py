@@ -10,13 +10,14 @@ one task and none gets more than its share of either side.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.durable import written
-from tidemark.plans.sizing import BROADCAST_BYTES, TARGET_ROWS, measured_bytes
+from tidemark.plans.sizing import BROADCAST_BYTES, TARGET_ROWS, left_join, measured_bytes
 
 
 @dataclass(frozen=True)
@@ -72,6 +73,35 @@ def interval_join(
     )
 
 
+def covering_aggregates(
+    points: DataFrame,
+    intervals: DataFrame,
+    at: Column,
+    span: Span,
+    partials: Mapping[str, Column],
+    merged: Mapping[str, Column],
+) -> DataFrame:
+    """``points``, each with aggregates over the intervals that contain it; points in none are left out.
+
+    Rows at one place have one answer, and rows of one interval one share in it. So intervals are reduced to
+    ``partials`` by their bounds, places are joined with those, ``merged`` folds the partials of a place by their
+    names, and the answer goes back to the points: pairs are of places and bounds, however many rows share them.
+    """
+    placed = written(points.withColumn("_at", at.cast("bigint")), "points")
+    bounds = {"_from": span.start.cast("bigint"), "_to": span.end.cast("bigint")}
+    reduced = intervals.groupBy(*[c.alias(name) for name, c in bounds.items()]).agg(
+        *[c.alias(name) for name, c in partials.items()]
+    )
+    places = placed.select(F.col("_at").alias("_place")).distinct()
+    found = (
+        interval_join(places, reduced, Span.at(F.col("_place")), Span(F.col("_from"), F.col("_to")))
+        .groupBy(F.col("_place").alias("_at"))
+        .agg(*[c.alias(name) for name, c in merged.items()], F.lit(True).alias("_found"))
+    )
+    columns = [*points.columns, *merged]
+    return left_join(placed, found, ["_at"], points.columns).filter("_found").select(*columns)
+
+
 def _bin(at: Column, width: int) -> Column:
     return F.floor((at - F.pmod(at, F.lit(width))) / width).cast("bigint")
 

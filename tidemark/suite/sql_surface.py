@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import readonly_sql
-from tidemark.plans.intervals import Span, interval_join
+from tidemark.plans.intervals import Span, covering_aggregates
 from tidemark.plans.neighbours import framed, ranked, span_sums
 from tidemark.plans.ordered import as_of_join
 from tidemark.suite import data
@@ -371,11 +371,13 @@ def range_join(spark, sf_dir):
         (F.pmod("l_linenumber", F.lit(3)) + 1).alias("days"),
     )
     way = Span(F.col("shipped"), F.col("shipped") + F.col("days") * DAY)
-    pairs = interval_join(orders, lines, Span.at(F.col("ordered")), way)
-    return pairs.groupBy("o_orderkey").agg(
-        F.count("*").alias("n_lines"),
-        snap(F.sum("l_quantity"), 2).alias("quantity"),
-        F.min("l_shipdate").alias("first_shipped"),
+    partials = {"n": F.count("*"), "sum": F.sum("l_quantity"), "first": F.min("l_shipdate")}
+    merged = {"n_lines": F.sum("n"), "total": F.sum("sum"), "first_shipped": F.min("first")}
+    found = covering_aggregates(orders, lines, F.col("ordered"), way, partials, merged)
+    return found.groupBy("o_orderkey").agg(
+        F.sum("n_lines").alias("n_lines"),
+        snap(F.sum("total"), 2).alias("quantity"),
+        F.min("first_shipped").alias("first_shipped"),
     )
 
 
