@@ -3,6 +3,7 @@
 import random
 from datetime import timedelta
 
+import pandas as pd
 from helpers import EPOCH, at
 
 from tidemark.schemas import DIMENSION_CHANGE, FACT_EVENT
@@ -95,3 +96,64 @@ def test_equals_sequential_run(spark, tmp_path):
     found.pop("end", None)
     want = expected(rows)
     assert {k: found.get(k) for k in want} == want
+
+
+class Handle:
+    """A state in memory that counts how often it is asked."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, []
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getMapState(self, name, key_schema, value_schema):
+        return Table(self)
+
+
+class Table(dict):
+    def __init__(self, handle):
+        self.handle = handle
+
+    def __getattribute__(self, name):
+        if name in ("containsKey", "getValue", "updateValue", "removeKey"):
+            self.handle.calls += 1
+        return super().__getattribute__(name)
+
+    containsKey = dict.__contains__
+    getValue = dict.__getitem__
+    updateValue = dict.__setitem__
+    removeKey = dict.__delitem__
+
+
+class Watermark:
+    def __init__(self, at):
+        self.getCurrentWatermarkInMs = lambda: at
+
+
+def test_state_is_asked_by_parts_not_by_keys():
+    """5,000 keys, each with a change at 10, a fact at 20 and a later change, taken by two watermarks."""
+    handle, job = Handle(), temporal.AsOf()
+    job.init(handle)
+    number = range(5000)
+    frames = [
+        pd.DataFrame(
+            {
+                "bucket": 0, "salt": 0, "part": [i % temporal.PARTS for i in number], "key": [f"k{i}" for i in number],
+                "at": at, "side": side, "version": version, "seq": seq, "body": [f"{at}-{i}" for i in number],
+            }
+        )
+        for at, side, version, seq in ((20, 2, None, None), (30, 0, 2, 7), (10, 0, 1, 5))
+    ]
+    assert [len(x) for x in job.handleInputRows((0, 0), iter(frames), None)] == [0]
+    assert handle.timers == [11]
+    first = pd.concat(job.handleExpiredTimer((0, 0), Watermark(21), None))
+    assert handle.timers[-1] == 31
+    want = [(f"20-{i}", f"10-{i}", 1) for i in number]
+    assert sorted(first.itertuples(index=False, name=None)) == sorted(want)
+    assert len(pd.concat(job.handleExpiredTimer((0, 0), Watermark(31), None))) == 0
+    frame = frames[0].assign(at=40)
+    list(job.handleInputRows((0, 0), iter([frame]), None))
+    last = pd.concat(job.handleExpiredTimer((0, 0), Watermark(50), None))
+    assert set(zip(last["attributes_json"], last["version"])) == {(f"30-{i}", 2) for i in number}
+    assert handle.calls <= 20 * temporal.PARTS
