@@ -3,6 +3,7 @@
 import pytest
 
 from tidemark.operators import readonly_sql as sql
+from tidemark.suite import sql_surface
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -84,3 +85,15 @@ def test_limited(spark):
     assert len(cut) == 4 and all(r.truncated and r.total_available == 10 for r in cut)
     whole = sql.limited(frame, 10).collect()
     assert len(whole) == 10 and not any(r.truncated for r in whole)
+
+
+def test_estimates_are_grouped_apart_from_exact_counts(spark, tmp_path):
+    """A sketch is of a flag; in one grouping with the exact count every (flag, part) would have its own."""
+    rows = "id % 3 AS l_returnflag, id % 500 AS l_partkey"
+    for name in sql_surface.TABLES:
+        spark.range(5000).selectExpr(*rows.split(", ")).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = sql_surface.sql_approx_distinct(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    sketches = [line for line in plan.splitlines() if "approx_count_distinct" in line]
+    assert sketches and not [line for line in sketches if "l_partkey" in line.split("functions=")[0]]
+    assert sorted((r.l_returnflag, r.within_bounds) for r in found.collect()) == [(0, True), (1, True), (2, True)]
