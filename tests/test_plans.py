@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.plans import sizing
 from tidemark.plans.ordered import RANGE, OrderedRows, Running, as_of_join
+from tidemark.plans.sizing import dealt
+from tidemark.session import prepare
 
 
 def skewed(spark, n=4000, seed=1):
@@ -139,3 +141,27 @@ def test_measured_bytes(spark):
     frame = spark.createDataFrame([("abcd", 1), (None, 2)], "s string, n long")
     assert sizing.measured_bytes(frame) == (4 + 16 + 16) + (0 + 16 + 16)
     assert sizing.measured_bytes(frame.filter("false")) == 0
+
+
+def test_ranges_grow_with_the_data(spark):
+    """The default number of ranges follows the size of the rows, not only the shuffle's width of 4."""
+    small = {"advisoryPartitionSizeInBytes": "32k", "coalescePartitions.minPartitionSize": "16k"}
+    prepare(spark)
+    for name, value in small.items():
+        spark.conf.set(f"spark.sql.adaptive.{name}", value)
+    try:
+        rows = spark.range(400_000).selectExpr("id", "xxhash64(id) AS i")
+        ordered = OrderedRows.of(rows, ["i"])
+        assert ordered.rows.select(RANGE).distinct().count() > 20
+        found = ordered.running(n=Running("count", F.lit(1)), low=Running("max", F.col("i"), before=True))
+        assert found.agg(F.max("n"), F.count_distinct("n"), F.count_if(F.col("low") >= F.col("i"))).first()[:] == (
+            400_000, 400_000, 0,
+        )
+    finally:
+        for name in small:
+            spark.conf.unset(f"spark.sql.adaptive.{name}")
+
+
+def test_work_is_dealt_over_all_tasks(spark):
+    rows = dealt(spark.range(1000).coalesce(1), "id")
+    assert rows.select(F.spark_partition_id()).distinct().count() == 4

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.durable import written
+from tidemark.session import INITIAL_PARTITIONS
 
 RANGE = "_range"
 
@@ -69,13 +70,17 @@ class OrderedRows:
         group: Sequence[str] = (),
         ranges: int | None = None,
     ) -> OrderedRows:
-        """Cut ``frame`` into ranges and store them, so that range numbers never change again."""
-        if ranges is None:
+        """Cut ``frame`` into ranges and store them, so that range numbers never change again.
+
+        Without a number of ranges Spark joins small ones to the advisory size where the session lets shuffles
+        begin with many partitions, so that a range stays as large as it is when the data grow.
+        """
+        conf = frame.sparkSession.conf
+        if ranges is None and conf.get(INITIAL_PARTITIONS, None) is None:
             # Twice the shuffle width evens out ranges that meet in one window task.
-            ranges = 2 * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        cut = frame.repartitionByRange(ranges, *group, *order).withColumn(
-            RANGE, F.spark_partition_id()
-        )
+            ranges = 2 * int(conf.get("spark.sql.shuffle.partitions"))
+        count = () if ranges is None else (ranges,)
+        cut = frame.repartitionByRange(*count, *group, *order).withColumn(RANGE, F.spark_partition_id())
         return cls(written(cut, "ranges"), order, group)
 
     def running(self, **columns: Running) -> DataFrame:
