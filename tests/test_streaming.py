@@ -373,3 +373,16 @@ def test_upkeep_while_it_runs(spark, tmp_path):
     assert sorted(r.event_time for r in flow.store.joined_events().collect()) == [
         naive(at(x)) for x in (3 * 86_400, 3 * 86_400 + 10, 3 * 86_400 + 5000, 4 * 86_400)
     ]
+
+
+def test_a_batch_of_one_file_is_decoded_by_many_tasks(spark, tmp_path):
+    class Watched(Flow):
+        def _decoded(self, batch):
+            self.tasks = batch.select(F.spark_partition_id()).distinct().count()
+            return super()._decoded(batch)
+
+    rows = [(json.dumps({"event_id": f"e{i}", "join_key": "a", "event_time": 1000 + i}), "t", 0, i, at(i)) for i in range(200)]
+    flow = Watched(spark, str(tmp_path / "out"), Windows(60, 60), ["value"])
+    flow.ingest(spark.createDataFrame(rows, RAW_MESSAGE).coalesce(1), 0)
+    assert flow.tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert flow.store.joined_events().count() == 200

@@ -34,7 +34,7 @@ from tidemark.functions.times import SECOND, Windows, micros, timestamp
 from tidemark.operators import enrich, ingest
 from tidemark.operators.windows import field_partials, packed, unpacked
 from tidemark.plans.durable import exists, folders, make_folder, moved, remove
-from tidemark.plans.sizing import measured_bytes
+from tidemark.plans.sizing import dealt, measured_bytes
 from tidemark.schemas import FACT_COLUMNS, WINDOW_RESULTS
 from tidemark.sources.store import Store
 from tidemark.streaming import state
@@ -194,7 +194,7 @@ class Flow:
         started = time.monotonic()
         lateness = round(self.lateness_seconds * SECOND)
         before, last_arrival = self._standing(batch_id)
-        whole = self._decoded(batch).persist()
+        whole = self._decoded(dealt(batch, "topic", "partition", "offset")).persist()
         try:
             decoded = whole.filter(F.col("source_topic") != HEARTBEAT)
             facts = ingest.fact_events(decoded)
